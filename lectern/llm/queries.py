@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import exact_dedup, mixing, packing, simhash
+from lectern.llm import (
+    chunks,
+    exact_dedup,
+    language,
+    mixing,
+    packing,
+    permutation_index,
+    simhash,
+    toxicity,
+    training_order,
+    warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +34,10 @@ def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -34,6 +53,41 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = permutation_index.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("rank", F.col("rank").cast("int"))
+
+
+def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    records = warc.round_trip(pages).where("kind = 'record'")
+    kind = pages.schema["page_id"].dataType
+    revisit, named = F.col("warc_type") == "revisit", F.regexp_extract("payload_digest", "sha256:(.*)", 1)
+    page = lambda c: F.nullif(F.regexp_extract(c, "urn:x-page:([^>]*)", 1), F.lit("")).cast(kind)
+    return records.select(
+        page("record_id").alias("page_id"),
+        F.when(revisit, F.col("http_length")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        F.when(revisit, named).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        page("refers_to").alias("refers_to"),
+    )
+
+
+OP5_SQL = """
+WITH page AS (
+    SELECT page_id, coalesce(html, '') AS html FROM pages
+), known AS (
+    SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
+           min(page_id) OVER (PARTITION BY html) AS first_id
+    FROM page
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM known
+"""
+
+
 def op6_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
@@ -44,5 +98,48 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", mixing.taken_words().alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_packing, op3_exact_dedup, op6_simhash_ball, op7_source_mixing)}
-ORACLES = {"op3_exact_dedup": OP3_SQL}
+def _remainder(column: str, of: int) -> Column:
+    """crc32 of a column as text, modulo ``of``; null is the empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % of
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = _remainder("doc_id", 4) == 2
+    model = language.fit(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), language.identify(spark, model, F.col("text")).alias("x"))
+    return found.select("doc_id", "held_out", F.col("x.lang").alias("lang_pred"), F.col("x.score").alias("score"))
+
+
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document: its slot in the training order, and the shard and
+    the checksum of the slot's record as read back from the shard."""
+    manifest, index = training_order.materialise_order(_table(spark, sf_dir, "documents"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            crc = [zlib.crc32(memoryview(ids.as_buffer())) for ids in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64())], ["slot", "record_crc32"])
+
+    read = training_order.read_shards(manifest).mapInArrow(sums, "slot long, record_crc32 long")
+    rows = index.join(read, "slot").select("slot", "record_crc32", F.posexplode("pieces").alias("place", "piece"))
+    shard = F.floor(F.col("slot") / training_order.SHARD).alias("shard")
+    return rows.select("slot", shard, "place", "piece.*", "record_crc32")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = _remainder("doc_id", 5) == 0
+    model = toxicity.fit(docs.where(~held_out), labels.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), toxicity.toxicity(spark, model, F.col("text")).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_hilbert_packing, op2_chunk_dedup, op3_exact_dedup, op4_permutation_index, op5_warc_salvage,
+        op6_simhash_ball, op7_source_mixing, op8_language_id, op9_training_order, op10_toxicity,
+    )
+}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op5_warc_salvage": OP5_SQL}
