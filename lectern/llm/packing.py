@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
 def _sliced(batch: pa.RecordBatch, column: int, size: int = OUT_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``size`` bytes of text, at least a row each."""
     start, held = 0, 0
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     for i, n in enumerate(lengths):
         held += n
         if held >= size:
