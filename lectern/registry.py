@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+from lectern.plans import activity, business, retrieval
+
+PARTS = (retrieval, business, activity)
+QUERIES: dict[str, Callable] = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
 FLAGSHIP = "ranked_search"
