@@ -78,14 +78,14 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     Rows that agree in id and text with the one that stays are reduced to one.
     """
     found = exact_duplicates(docs, doc_id, text)
-    gone = found.where("not kept").select("doc_id", "text_sha256")
-    keep = found.where("kept and group_size > 1").select("doc_id", "text_sha256")
-    twice = materialize(gone.join(keep, ["doc_id", "text_sha256"], "left_semi").distinct(), "twice")
-    losers = gone.join(keep, ["doc_id", "text_sha256"], "left_anti")
+    gone = found.where("not kept").select("doc_id", "text_sha256").distinct().alias("g")
+    keep = found.where("kept and group_size > 1").select("doc_id", "text_sha256").alias("k")
+    same = F.col("g.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("g.text_sha256") == F.col("k.text_sha256"))
+    twice = materialize(gone.join(keep, same, "left_semi"), "twice")  # keys of repeated rows
     digest = F.sha2(_body(text), 256)
-    keys = {"doc_id": F.col(doc_id), "text_sha256": digest}
-    rest = sieve.without(docs, losers.unionByName(twice), keys)
-    once = docs.withColumns({"__id": F.col(doc_id), "__sha": digest}).alias("d").join(
-        twice.alias("t"), (F.col("__id") == F.col("t.doc_id")) & (F.col("__sha") == F.col("t.text_sha256")), "left_semi"
-    )
-    return rest if twice.isEmpty() else rest.unionByName(once.dropDuplicates(["__id", "__sha"]).drop("__id", "__sha"))
+    rest = sieve.without(docs, gone, {"doc_id": F.col(doc_id), "text_sha256": digest})
+    if twice.isEmpty():
+        return rest
+    again = docs.select(F.struct("*").alias("whole"), F.col(doc_id).alias("id"), digest.alias("sha"))
+    once = again.join(twice, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("text_sha256")), "left_semi")
+    return rest.unionByName(once.dropDuplicates(["id", "sha"]).select("whole.*"))

@@ -274,19 +274,21 @@ def taken_words(pieces: str = "pieces") -> Column:
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mix as documents: a row of all columns for each document and epoch of which
     the mix takes words, with those words as its text (and ``n_chars``, if there is one)."""
-    own = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    plan = mixing_plan(own, doc_id, text, source, row="__row", **how).where(F.size("pieces") > 0)
-    plan = plan.select(F.col("row_no").alias("__row"), F.col("size").alias("__size"), F.col("pieces").alias("__pieces"))
-    epoch = F.explode(F.array_distinct(F.transform("__pieces", lambda p: p["epoch"]))).alias("__epoch")
-    rows = own.join(plan, "__row").select("*", epoch)
-    now = F.filter("__pieces", lambda p: p["epoch"] == F.col("__epoch"))
-    words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    own = materialize(docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct("*").alias("doc")), "rows")
+    narrow = own.select("row_no", *(F.col("doc")[c].alias(n) for c, n in ((doc_id, "id"), (text, "body"), (source, "source"))))
+    plan = mixing_plan(narrow, "id", "body", "source", row="row_no", **how).where(F.size("pieces") > 0)
+    epoch = F.explode(F.array_distinct(F.transform("pieces", lambda p: p["epoch"]))).alias("epoch")
+    rows = own.join(plan.select("row_no", "size", "pieces"), "row_no").select("doc", "size", "pieces", epoch)
+    now = F.filter("pieces", lambda p: p["epoch"] == F.col("epoch"))
+    body = F.col("doc")[text]
+    words = F.regexp_extract_all(body, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = _let(words, lambda w: F.array_join(F.flatten(F.transform(
         F.array_sort(F.transform(now, lambda p: F.struct(p["start"].alias("start"), p["words"].alias("words")))),
         lambda p: F.slice(w, (p["start"] + 1).cast("int"), p["words"].cast("int")),
     )), ""))
-    whole = F.aggregate(now, F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("__size")
-    out = rows.withColumn(text, F.when(whole, F.col(text)).otherwise(cut))
+    whole = F.aggregate(now, F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("size")
+    out = rows.select("doc", F.when(whole, body).otherwise(cut).alias("cut"))
+    doc = F.col("doc").withField(text, F.col("cut"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        doc = doc.withField("n_chars", F.length("cut").cast(docs.schema["n_chars"].dataType))
+    return out.select(doc.alias("doc")).select("doc.*")

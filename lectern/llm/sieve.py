@@ -36,16 +36,16 @@ def mark(rows: DataFrame, sieve: DataFrame, key: Column, out: str, bits: int = B
 
 def without(rows: DataFrame, losers: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """Rows of ``rows`` whose keys are not in ``losers``; wide rows that the sieve clears
-    are not shuffled.  ``keys`` maps the columns of ``losers`` to expressions over ``rows``."""
-    columns = rows.columns
-    names = {k: f"__key_{i}" for i, k in enumerate(keys)}
+    are not shuffled.  ``keys`` maps the columns of ``losers`` to expressions over ``rows``.
+    Nulls are equal.  Rows are carried as one struct, so their names cannot clash."""
+    names = {k: f"key_{i}" for i, k in enumerate(keys)}
     losers = losers.select(*(F.col(k).alias(names[k]) for k in keys)).distinct()
     sieve = build(losers, F.struct(*names.values()))
-    marked = mark(rows.withColumns({names[k]: c for k, c in keys.items()}), sieve, F.struct(*names.values()), "__maybe")
-    clear = marked.where("not __maybe").select(*columns)
-    on = None
-    left, right = marked.where("__maybe").alias("l"), losers.alias("r")
+    wrapped = rows.select(F.struct("*").alias("whole"), *(c.alias(names[k]) for k, c in keys.items()))
+    marked = mark(wrapped, sieve, F.struct(*names.values()), "maybe")
+    left, right = marked.where("maybe").alias("l"), losers.alias("r")
+    same = F.lit(True)
     for n in names.values():
-        same = F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}"))
-        on = same if on is None else on & same
-    return clear.unionByName(left.join(right, on, "left_anti").select(*(F.col(f"l.`{c}`") for c in columns)))
+        same &= F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}"))
+    kept = left.join(right, same, "left_anti").select("whole")
+    return marked.where("not maybe").select("whole").unionByName(kept).select("whole.*")
