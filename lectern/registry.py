@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lectern.plans import activity, business, retrieval
+from lectern.plans import activity, business, corpus, retrieval
 
-PARTS = (retrieval, business, activity)
+PARTS = (retrieval, business, activity, corpus)
 QUERIES: dict[str, Callable] = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
 FLAGSHIP = "ranked_search"
