@@ -79,7 +79,7 @@ def safe_path(path: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences of a text: split after an end mark and space, at bullets and at blank lines."""
-    parts = F.split(F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1"), r"(?<=[.!?])\s+|\n\s*[-*•]\s+|\n\s*\n")
+    parts = F.split(F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1"), r"\n\s*[-*•]\s+|\n\s*\n|(?<=[.!?])\s+")
     trimmed = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
     return F.filter(trimmed, lambda s: s != "")
 
