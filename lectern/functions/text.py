@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
 
-# Words a query of two or more words may do without.
+# Words that a query of two or more words does without.
 STOP_WORDS = (
-    "a about after all also an and any are as at be because been before being between both but by can could did do does "
-    "each for from had has have how i if in into is it its me my no not of on or our so that the their them then there "
-    "these they this to was we what when where which who why will with would you your"
+    "a an and are as at be by can could did do does for from had has have how i if in into is it its me my of on or our "
+    "please should so than that the their them then there these this those to was were what when where which who why "
+    "will with would you your about explain tell show find give list"
 ).split()
 
 # Typographic signs and the plain signs that they fold to.
@@ -79,7 +79,7 @@ def safe_path(path: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences of a text: split after an end mark and space, at bullets and at blank lines."""
-    parts = F.split(F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1"), r"\n\s*[-*•]\s+|\n\s*\n|(?<=[.!?])\s+")
+    parts = F.split(F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1"), r"\n\s*[-*•]\s+|\n\s*\n|(?<=[.!?])\s+(?=[\"'(0-9\p{Lu}])")
     trimmed = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
     return F.filter(trimmed, lambda s: s != "")
 
