@@ -23,7 +23,7 @@ from lectern.storage import materialize
 
 PIVOTS = 512  # at most: 256 KB of 64 dimensions
 PREFIX = 64
-SHARE, LEAST = 0.3, 512  # of a segment to compare exactly, and how many at least
+SHARE, LEAST = 0.45, 512  # of a segment to compare exactly, and how many at least
 SEGMENT, QUERY_BLOCK = 8192, 2048
 
 
