@@ -28,7 +28,7 @@ from lectern.storage import materialize
 
 WINDOW = 16  # a power of two
 SHORTEST, MEAN, LONGEST = 12, 32, 256  # bytes: least, expected beyond the least, most
-LEAST_WORDS = 15
+LEAST_WORDS = 20
 _OUT = 100_000  # rows given back to Spark at a time
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
