@@ -10,6 +10,7 @@ one of its bucket keeps every component; the distance of each link is verified a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,22 +28,39 @@ from lectern.storage import materialize
 SHINGLE_WORDS = 3
 RADIUS = 2
 SEED = 42
+NEAR_WORDS, NEAR_SIMILARITY, LANES, PIECE = 5, 0.8, 4, 28  # of near duplicates by similarity
 BLOCK = 65_536  # shingles hashed at a time: bounds memory for very long texts
 
 
+def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Other 64 bits of the same shingles; lane 0 is the hash itself."""
+    if not lane:
+        return hashes
+    x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     """The 64-bit SimHash: a bit is 1 if set in over half of the shingles' hashes."""
+    return int(wide_fingerprint(text, words, 1)[0])
+
+
+def wide_fingerprint(text: str | None, words: int, lanes: int) -> np.ndarray:
+    """``lanes`` SimHashes of 64 bits each, from independent bits of each shingle."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both ASCII only
     total = max(1, len(found) - words + 1) if found else 0
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((lanes, 64), np.int64)
     digest = xxhash.xxh64_intdigest
     for start in range(0, total, BLOCK):
         part = found[start : min(start + BLOCK, total) + words - 1]
-        grams = zip(*(part[i:] for i in range(words)), strict=False) if total > 1 or len(found) >= words else [found]
+        grams = zip(*(part[i:] for i in range(words)), strict=False) if len(found) >= words else [found]
         hashes = np.fromiter((digest(b" ".join(g), SEED) for g in grams), np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(ones * 2 > total, bitorder="little").view(np.uint64)[0])
+        for lane in range(lanes):
+            bits = np.unpackbits(_mixed(hashes, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[lane] += bits.sum(axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > total, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
@@ -69,7 +87,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     pairs within ``radius`` bits.  ``radius`` is even and at most 4."""
     if radius % 2 or not 0 <= radius <= 4:
         raise ValueError("radius must be 0, 2 or 4")
-    variants = fps.select("fp").distinct().select("fp", F.explode(F.lit(ball(radius // 2))).alias("mask"))
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as asked: each row becomes many
+    own = fps.select("fp").repartition(parts, "fp").distinct()
+    variants = own.select("fp", F.explode(F.lit(ball(radius // 2))).alias("mask"))
     met = variants.select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     hub = met.withColumn("hub", F.min("fp").over(W.partitionBy("variant")))
     near = hub.where("hub <> fp").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
@@ -99,9 +119,72 @@ def simhash_components(
     return marked.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
-    """``docs`` with one document of each component: the one with the least id."""
-    found = simhash_components(docs, doc_id, text, **how)
+def farthest(similarity: float, bits: int) -> int:
+    """Differing bits, of ``bits``, up to which documents count as similar: those that a
+    Jaccard similarity of shingles gives on average, and one standard deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def pieces(lanes: list[str]) -> list[Column]:
+    """Two pieces of ``PIECE`` bits of each lane, and those that the lanes' last bits make."""
+    mask, rest = F.lit((1 << PIECE) - 1), 64 - 2 * PIECE
+    out = [p for n in lanes for p in (F.col(n).bitwiseAND(mask), F.shiftrightunsigned(n, PIECE).bitwiseAND(mask))]
+    last = [F.shiftrightunsigned(n, 2 * PIECE) for n in lanes]
+    each = -(-PIECE // rest)
+    for i in range(0, len(last) - each + 1, each):
+        joined = F.lit(0).cast("long")
+        for k, own in enumerate(last[i : i + each]):
+            joined = joined.bitwiseOR(F.shiftleft(own, k * rest))
+        out.append(joined.bitwiseAND(mask))
+    return out
+
+
+def similar_components(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY
+) -> DataFrame:
+    """``(doc_id, component_id)`` per row, linked at a similarity of shingles, not at two bits.
+
+    Fingerprints are ``LANES`` times 64 bits, which tell similarities apart; each of their
+    pieces is hashed by its own ball of radius two, so documents meet if any piece is
+    within two bits: of pairs at 0.8, 0.85 and 0.9 that is 84, 95 and 99 %.  A link of a
+    bucket's member to its least one counts if all bits together say that they are
+    similar.  A bucket holds one document by chance at ten million distinct texts; more
+    texts take longer pieces and more lanes.  Nulls, empty and repeated rows are treated
+    as in ``simhash_components``; rows with a null id are not linked.
+    """
+    names = [f"f{i}" for i in range(LANES)]
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([wide_fingerprint(t.as_py(), words, LANES) for t in batch.column(1)], np.uint64).reshape(-1, LANES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, i].view(np.int64)) for i in range(LANES))], ["doc_id", *names])
+
+    marked = materialize(narrow.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names)), "wide")
+    least = materialize(marked.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node")), "distinct")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as asked: each row becomes many
+    tables = F.array(*(F.struct(F.lit(i << PIECE).alias("table"), p.alias("part")) for i, p in enumerate(pieces(names))))
+    met = least.repartition(parts, "node").select("node", F.explode(tables).alias("t")).select(
+        "node", "t.table", "t.part", F.explode(F.lit([0] + [1 << b for b in range(PIECE)]).cast("array<bigint>")).alias("mask")
+    )
+    keyed = met.select("node", F.col("table").bitwiseOR(F.col("part").bitwiseXOR(F.col("mask"))).alias("variant"))
+    hub = keyed.withColumn("hub", F.min("node").over(W.partitionBy("variant")))
+    edges = materialize(hub.where("hub <> node").select("node", "hub").distinct(), "collisions")
+    left = least.select("node", F.array(*names).alias("mine"))
+    right = least.select(F.col("node").alias("hub"), F.array(*names).alias("other"))
+    apart = F.aggregate(F.zip_with("mine", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
+    close = edges.join(left, "node").join(right, "hub").where(apart <= farthest(similarity, 64 * LANES))
+    roots = components(close.select(F.col("node").alias("u"), F.col("hub").alias("v")))
+    rooted = least.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
+    return marked.join(materialize(rooted, "rooted"), names, "left").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """``docs`` with one document of each group of ``similar_components``: that with the
+    least id."""
+    found = similar_components(docs, doc_id, text, **how)
     losers = materialize(found.where("doc_id <> component_id").select("doc_id"), "losers")
     return sieve.without(docs, losers, {"doc_id": F.col(doc_id)})
 

@@ -114,7 +114,26 @@ def test_simhash_components_odd_rows(spark, odd, empty):
     assert {r.component_id for r in got if r.doc_id in (6, 7)} == {6}
     assert simhash.simhash_components(empty).count() == 0
     kept = simhash.drop_near_duplicates(odd)
-    assert kept.columns == odd.columns and {1, 3, 6} <= {r.doc_id for r in kept.collect()}
+    assert kept.columns == odd.columns and {1, 3, 6, None} <= {r.doc_id for r in kept.collect()}
+    assert simhash.similar_components(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
+
+
+def test_similar_components_find_edited_copies(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    rows, near = [], 0
+    for i in range(120):
+        words = [word() for _ in range(400)]
+        rows.append((2 * i, " ".join(words)))
+        for at in rng.integers(0, 400, 5):  # five words of 400 differ: a similarity of about 0.88
+            words[at] = word()
+        rows.append((2 * i + 1, " ".join(words)))
+    rows += [(1000, None), (1001, ""), (None, rows[0][1]), (1002, rows[2][1])]
+    found = simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r.doc_id: r.component_id for r in found}
+    assert len(found) == len(rows) and got[1002] == 2 and got[1000] == got[1001] == 1000
+    near = sum(got[2 * i + 1] == 2 * i for i in range(120))
+    assert near >= 114 and all(got[2 * i] == 2 * i for i in range(120))
 
 
 # mixing
@@ -276,6 +295,8 @@ def test_decoding_restores_obfuscated_words():
     letters = toxicity.Letters({k: v * 50 for k, v in count.items()})
     assert letters.restore("1d10t") == ["idiot"] and letters.restore("stuuuupid!!!") == ["stupid"]
     assert letters.restore("i.d.i.o.t") == ["idiot"] and letters.restore("tr@sh,") == ["trash"] and letters.restore("l0ser") == ["loser"]
+    assert letters.restore("id*ot") == ["idiot"] and letters.restore("ss-tt-uu-pp-ii-dd") == ["stupid"] and letters.restore("iiddiioott") == ["idiot"]
+    assert letters.restore("idi\u043et") == ["idiot"] and letters.restore("mo\u200bron") == ["moron"] and letters.restore("ｌｏｓｅｒ") == ["loser"]
     assert letters.restore("hello") == ["hello"] and letters.restore("12345") == []
 
 
