@@ -120,3 +120,29 @@ def clock(seconds: Column) -> Column:
 def percent(score: Column, possible: Column) -> Column:
     """100 score / possible, to one decimal; null where nothing was possible."""
     return F.round(F.try_divide(score * 100.0, F.nullif(possible, F.lit(0.0))), 1)
+
+
+# Formats of lines that are there for the tool and not for the reader.
+PLUMBING = (
+    r"(?m)^> Some pages or slides are visual \(see the '> Visual content' markers\)\.[^\n]*\n?",
+    r"(?m)^Original file: [^\n]+\n",
+)
+# Fixed value: format of a visual note, of which the reasons stay.
+VISUAL_LINE = r"(?m)^> Visual content: (.+?)\. View (?:the (?:page|slide) image for exact details|it directly)\.[ \t]*$"
+# Fixed value: format of a link to an extracted picture, of which the name stays.
+ASSET_LINK = r"\[(Slide \d+ image \d+[^\]\n]*)\]\((?:[^)\s]*\.assets/[^)\s]+)\)"
+
+
+def reading_view(text: Column) -> Column:
+    """A text for reading: no plumbing, short visual notes and picture links, one blank line."""
+    out = text
+    for pattern in PLUMBING:
+        out = F.regexp_replace(out, pattern, "")
+    out = F.regexp_replace(F.regexp_replace(out, VISUAL_LINE, "> Visual: $1"), ASSET_LINK, "$1")
+    return F.regexp_replace(out, r"\n{3,}", "\n\n")
+
+
+def markdown_row(*columns: Column) -> Column:
+    """Columns as a row of a Markdown table; bars and line breaks are escaped."""
+    cell = lambda c: F.regexp_replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*\n\s*", " ")
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |"))

@@ -65,3 +65,18 @@ def move_keys(items: DataFrame, moves: DataFrame, path: str, separator: str = "/
 def latest(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
     return rows.withColumn("__nth", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__nth = 1").drop("__nth")
+
+
+def keep_last_good(old: DataFrame, new: DataFrame, listings: DataFrame, kind: str) -> DataFrame:
+    """The new rows of kinds whose listing was complete, and the old rows of the others."""
+    whole = listings.groupBy(kind).agg(F.bool_and("complete").alias("whole")).where("whole").select(kind)
+    return new.join(F.broadcast(whole), kind, "left_semi").unionByName(old.join(F.broadcast(whole), kind, "left_anti"))
+
+
+def last_state(rows: DataFrame, key: str, at: str, ok: str) -> DataFrame:
+    """``(key, state, last_good)``: current after a success, stale after a failure that
+    follows one, failed where nothing ever succeeded."""
+    good = F.max(F.when(F.col(ok), F.col(at)))
+    found = rows.groupBy(key).agg(good.alias("last_good"), F.max(at).alias("last"))
+    state = F.when(F.col("last_good").isNull(), "failed").when(F.col("last_good") < F.col("last"), "stale").otherwise("current")
+    return found.select(key, state.alias("state"), "last_good")

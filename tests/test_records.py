@@ -95,3 +95,16 @@ def test_predicates(spark):
     assert [r.folder for r in predicates.course_folders(courses, "fin 2").collect()] == ["FinanceXA"]
     docs = frame(spark, [("Finance_A/x.md",), ("FinanceXA/y.md",)], "path string")
     assert [r.path for r in predicates.in_course(docs, predicates.course_folders(courses, "Finance_A")).collect()] == ["Finance_A/x.md"]
+
+
+def test_courses_and_states(spark):
+    from lectern.operators import changes
+
+    courses = frame(spark, [("1", "Bonds", "B", "f1"), ("2", "bonds", "C", "f2"), ("3", "Stocks", "S", "Bonds")], "id string, name string, code string, folder string")
+    pick = lambda w: [r.id for r in predicates.one_course(courses, w).collect()]
+    assert pick("Bonds") == ["3"] and pick("s") == ["3"] and pick("BONDS") == [] and pick("none") == []
+    listings = frame(spark, [("f", True), ("p", False)], "kind string, complete boolean")
+    old, new = frame(spark, [(1, "f"), (2, "p")], "k int, kind string"), frame(spark, [(3, "f"), (4, "p")], "k int, kind string")
+    assert {r.k for r in changes.keep_last_good(old, new, listings, "kind").collect()} == {3, 2}
+    runs = frame(spark, [("a", 1, True), ("a", 2, False), ("b", 1, False), ("c", 2, True)], "k string, at int, ok boolean")
+    assert {r.k: r.state for r in changes.last_state(runs, "k", "at", "ok").collect()} == {"a": "stale", "b": "failed", "c": "current"}

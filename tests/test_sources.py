@@ -65,3 +65,32 @@ def test_paged_listing(spark, tmp_path):
     spark.dataSource.register(PagedJson)
     rows = spark.read.format("paged_json").schema("listing string, id long, at timestamp").option("path", f"file://{tmp_path}").load()
     assert sorted((r.listing, r.id) for r in rows.collect()) == [("files", 1), ("files", 2), ("files", 3), ("pages", 4)]
+
+
+def _zip(parts):
+    import io
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_office(spark):
+    w, a, p, s, r = (f'xmlns:{k}="http://schemas.openxmlformats.org/{v}"' for k, v in {
+        "w": "wordprocessingml/2006/main", "a": "drawingml/2006/main", "p": "presentationml/2006/main", "s": "spreadsheetml/2006/main", "r": "officeDocument/2006/relationships"
+    }.items())
+    rels = lambda *t: "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="{x}"/>' for i, x in enumerate(t, 1)) + "</Relationships>"
+    word = _zip({"word/document.xml": f'<w:document {w}><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:p><w:r><w:t>a </w:t><w:t>b</w:t></w:r></w:p></w:document>'})
+    slide = lambda *t: f"<p:sld {p} {a}>" + "".join(f"<a:p><a:r><a:t>{x}</a:t></a:r></a:p>" for x in t) + "</p:sld>"
+    deck = _zip({"ppt/presentation.xml": f'<p:presentation {p} {r}><p:sldId r:id="r2"/><p:sldId r:id="r1"/></p:presentation>', "ppt/_rels/presentation.xml.rels": rels("slides/slide1.xml", "slides/slide2.xml"),
+                 "ppt/slides/slide1.xml": slide("Last", "x"), "ppt/slides/slide2.xml": slide("First")})
+    book = _zip({"xl/workbook.xml": f'<s:workbook {s} {r}><s:sheet name="S" r:id="r1"/></s:workbook>', "xl/_rels/workbook.xml.rels": rels("worksheets/sheet1.xml"),
+                 "xl/sharedStrings.xml": f"<s:sst {s}><s:si><s:t>head</s:t></s:si></s:sst>",
+                 "xl/worksheets/sheet1.xml": f'<s:worksheet {s}><s:row><s:c r="A1" t="s"><s:v>0</s:v></s:c><s:c r="C1"><s:v>2.5</s:v></s:c></s:row></s:worksheet>'})
+    from lectern.sources.office import office_text
+
+    files_in = spark.createDataFrame([("w", "document", word), ("d", "slides", deck), ("b", "spreadsheet", book), ("x", "slides", b"no")], "id string, kind string, content binary")
+    got = {r.id: (r.text, r.error) for r in office_text(files_in, "id", "kind", "content").collect()}
+    assert got == {"w": ("# Top\n\na b", None), "d": ("## [Slide 1] First\n\n## [Slide 2] Last\nx", None), "b": ("## [Sheet: S]\nhead |  | 2.5", None), "x": (None, "BadZipFile")}

@@ -87,3 +87,9 @@ def test_chunks_keep_every_paragraph(sizes):
 def test_pack_edges():
     assert sections.pack(None) == [] and sections.pack("short") == ["short"]
     assert len(sections.pack("a" * 4000)) == 3
+
+
+def test_reading_view_and_tables(spark):
+    page = "Original file: x.pdf\n> Visual content: chart or diagram. View the slide image for exact details.\n[Slide 1 image 2](a.assets/p.png)\n\n\n\nend"
+    assert values(spark, [page], text.reading_view) == ["> Visual: chart or diagram\nSlide 1 image 2\n\nend"]
+    assert values(spark, ["a|b\nc"], lambda c: text.markdown_row(c, F.lit(None))) == ["| a\\|b c |  |"]
