@@ -29,7 +29,7 @@ def mark_and_sweep(items: DataFrame, seen: DataFrame, listings: DataFrame, key:
     """``items`` with ``state``: seen; removed if unseen and every listing of its kind was
     complete; kept if a listing failed; restored if seen after it was removed."""
     whole = listings.groupBy(kind).agg(F.bool_and("complete").alias("whole"))
-    joined = items.join(seen.select(key).distinct().withColumn("found", F.lit(True)), key, "left").join(F.broadcast(whole), kind, "left")
+    joined = items.join(seen.select(key).distinct().withColumn("found", F.lit(True)), key, "left").join(whole, kind, "left")
     state = (
         F.when(F.col("found") & F.col("removed"), "restored").when(F.col("found"), "seen")
         .when(F.col("removed"), "removed").when(F.coalesce("whole", F.lit(False)), "removed").otherwise("kept")
@@ -70,7 +70,7 @@ def latest(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
 def keep_last_good(old: DataFrame, new: DataFrame, listings: DataFrame, kind: str) -> DataFrame:
     """The new rows of kinds whose listing was complete, and the old rows of the others."""
     whole = listings.groupBy(kind).agg(F.bool_and("complete").alias("whole")).where("whole").select(kind)
-    return new.join(F.broadcast(whole), kind, "left_semi").unionByName(old.join(F.broadcast(whole), kind, "left_anti"))
+    return new.join(whole, kind, "left_semi").unionByName(old.join(whole, kind, "left_anti"))
 
 
 def last_state(rows: DataFrame, key: str, at: str, ok: str) -> DataFrame:

@@ -136,7 +136,7 @@ def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = items.select("item_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("passage"), F.concat_ws(" ", F.slice(words("text"), 1, 5)).alias("start"))
     flat = docs.select("doc_id", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")).alias("flat")).withColumn("w", F.split("flat", " "))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, 5))))
-    starts = flat.select("doc_id", F.explode(grams).alias("start")).join(F.broadcast(wanted.select("start").distinct()), "start", "left_semi")
+    starts = flat.select("doc_id", F.explode(grams).alias("start")).join(wanted.select("start").distinct(), "start", "left_semi")
     pairs = starts.join(wanted, "start").join(flat.select("doc_id", "flat"), "doc_id").where(F.contains("flat", "passage"))
     found = pairs.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
     return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first_doc")
