@@ -62,7 +62,11 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         .where("group_size > 1"),
         "groups",
     )
-    joined = rows.join(groups, "text_sha256", "left")
+    # undigested rows are alone: they do not meet on their null digest
+    nobody = F.lit(None).cast(groups.schema["keep"].dataType).alias("keep"), F.lit(None).cast("long").alias("group_size")
+    alone = rows.where("text_sha256 is null").select("text_sha256", "doc_id", "row_no", *nobody)
+    met = rows.where("text_sha256 is not null").join(groups, "text_sha256", "left").select(*alone.columns)
+    joined = met if digest_all else alone.unionByName(met)
     return joined.select(
         "doc_id",
         F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
