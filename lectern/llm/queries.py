@@ -121,8 +121,9 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
             crc = [zlib.crc32(memoryview(ids.as_buffer())) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64())], ["slot", "record_crc32"])
 
+    # the planner sees the manifest's few rows, not what the shards hold: never broadcast that
     read = training_order.read_shards(manifest).mapInArrow(sums, "slot long, record_crc32 long")
-    rows = index.join(read, "slot").select("slot", "record_crc32", F.posexplode("pieces").alias("place", "piece"))
+    rows = index.join(read.hint("merge"), "slot").select("slot", "record_crc32", F.posexplode("pieces").alias("place", "piece"))
     shard = F.floor(F.col("slot") / training_order.SHARD).alias("shard")
     return rows.select("slot", shard, "place", "piece.*", "record_crc32")
 
