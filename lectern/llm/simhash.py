@@ -28,7 +28,8 @@ from lectern.storage import materialize
 SHINGLE_WORDS = 3
 RADIUS = 2
 SEED = 42
-NEAR_WORDS, NEAR_SIMILARITY, LANES, PIECE = 5, 0.8, 4, 28  # of near duplicates by similarity
+NEAR_WORDS, NEAR_SIMILARITY, LANES, PIECE = 5, 0.8, 12, 28  # of near duplicates by similarity
+SPREAD = 5  # standard deviations of differing bits up to which a pair is worth a look at its shingles
 BLOCK = 65_536  # shingles hashed at a time: bounds memory for very long texts
 
 
@@ -47,22 +48,51 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(wide_fingerprint(text, words, 1)[0])
 
 
+def _grams(found: list[bytes], words: int) -> np.ndarray:
+    """Hashes of the shingles of a text's words, one of them all if they are too few."""
+    grams = zip(*(found[i:] for i in range(words)), strict=False) if len(found) >= words else [found]
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in grams), np.uint64)
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # both ASCII only
+
+
+def _ones(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """How many of the hashes have each bit set, by lane."""
+    out = np.empty((lanes, 64), np.int64)
+    for lane in range(lanes):
+        bits = np.unpackbits(_mixed(hashes, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out[lane] = bits.sum(axis=0, dtype=np.int32)
+    return out
+
+
 def wide_fingerprint(text: str | None, words: int, lanes: int) -> np.ndarray:
     """``lanes`` SimHashes of 64 bits each, from independent bits of each shingle."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both ASCII only
+    found = _words(text)
     total = max(1, len(found) - words + 1) if found else 0
     ones = np.zeros((lanes, 64), np.int64)
-    digest = xxhash.xxh64_intdigest
     for start in range(0, total, BLOCK):
-        part = found[start : min(start + BLOCK, total) + words - 1]
-        grams = zip(*(part[i:] for i in range(words)), strict=False) if len(found) >= words else [found]
-        hashes = np.fromiter((digest(b" ".join(g), SEED) for g in grams), np.uint64)
-        for lane in range(lanes):
-            bits = np.unpackbits(_mixed(hashes, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[lane] += bits.sum(axis=0, dtype=np.int32)
+        ones += _ones(_grams(found[start : min(start + BLOCK, total) + words - 1], words), lanes)
     return np.packbits(ones * 2 > total, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order; none for a text without words."""
+    found = _words(text)
+    total = max(1, len(found) - words + 1) if found else 0
+    parts = [np.unique(_grams(found[i : min(i + BLOCK, total) + words - 1], words)) for i in range(0, total, BLOCK)]
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate([*parts, np.empty(0, np.uint64)]))
+
+
+def set_fingerprint(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """As ``wide_fingerprint``, of a set: a shingle that a text repeats counts once, as in Jaccard."""
+    ones = np.zeros((lanes, 64), np.int64)
+    for start in range(0, len(hashes), BLOCK):
+        ones += _ones(hashes[start : start + BLOCK], lanes)
+    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """``(doc_id, fp long)`` per row; the fingerprint's 64 bits are the long's bits."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -120,10 +150,10 @@ def simhash_components(
 
 
 def farthest(similarity: float, bits: int) -> int:
-    """Differing bits, of ``bits``, up to which documents count as similar: those that a
-    Jaccard similarity of shingles gives on average, and one standard deviation."""
+    """Differing bits, of ``bits``, up to which a pair may be similar: those that a Jaccard
+    similarity of shingles gives on average, and ``SPREAD`` standard deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + math.sqrt(bits * share * (1 - share)))
+    return round(bits * share + SPREAD * math.sqrt(bits * share * (1 - share)))
 
 
 def pieces(lanes: list[str]) -> list[Column]:
@@ -140,30 +170,61 @@ def pieces(lanes: list[str]) -> list[Column]:
     return out
 
 
+def _verified(pairs: DataFrame, narrow: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of written ``(u, v)``, those whose texts are alike in ``similarity`` of their shingles.
+    Shingles are made for the texts that the pairs name, and for no others."""
+    asked = materialize(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "asked")
+    named = sieve.mark(narrow, sieve.build(asked, F.col("doc_id")), F.col("doc_id"), "maybe").where("maybe").drop("maybe")
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                own = [shingle_set(t.as_py(), words).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "own"])
+
+    sets = materialize(named.join(asked, "doc_id").mapInArrow(run, f"doc_id {kind}, own array<long>"), "sets")
+    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("own").alias("a")), "u").join(
+        sets.select(F.col("doc_id").alias("v"), F.col("own").alias("b")), "v"
+    )
+    shared = F.size(F.array_intersect("a", "b"))
+    return materialize(both.where(shared / (F.size("a") + F.size("b") - shared) >= similarity).select("u", "v").distinct(), "alike")
+
+
 def similar_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY
 ) -> DataFrame:
-    """``(doc_id, component_id)`` per row, linked at a similarity of shingles, not at two bits.
-
-    Fingerprints are ``LANES`` times 64 bits, which tell similarities apart; each of their
-    pieces is hashed by its own ball of radius two, so documents meet if any piece is
-    within two bits: of pairs at 0.8, 0.85 and 0.9 that is 84, 95 and 99 %.  A link of a
-    bucket's member to its least one counts if all bits together say that they are
-    similar.  A bucket holds one document by chance at ten million distinct texts; more
-    texts take longer pieces and more lanes.  Nulls, empty and repeated rows are treated
-    as in ``simhash_components``; rows with a null id are not linked.
+    """``(doc_id, component_id)`` per row, linked at a Jaccard similarity of shingle sets.
+
+    Texts with equal sets are one node.  Fingerprints of ``LANES`` times 64 bits find
+    candidates: each of their pieces is hashed by its own ball of radius two, so documents
+    meet if any piece is within two bits, and all bits together may not be farther apart
+    than ``farthest``.  A candidate counts if the shingles themselves say so.  A bucket
+    holds one document by chance at ten million distinct texts; more texts take longer
+    pieces and more lanes.  Nulls, empty and repeated rows are treated as in
+    ``simhash_components``; rows with a null id are not linked.
     """
-    names = [f"f{i}" for i in range(LANES)]
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
+    names = [f"f{i}" for i in range(LANES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([wide_fingerprint(t.as_py(), words, LANES) for t in batch.column(1)], np.uint64).reshape(-1, LANES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, i].view(np.int64)) for i in range(LANES))], ["doc_id", *names])
-
-    marked = materialize(narrow.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names)), "wide")
-    least = materialize(marked.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node")), "distinct")
+            fps, same = np.empty((batch.num_rows, LANES), np.uint64), []
+            for i, t in enumerate(batch.column(1)):
+                own = shingle_set(t.as_py(), words)
+                fps[i] = set_fingerprint(own, LANES)
+                same.append(xxhash.xxh3_128_digest(own.tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(same, pa.binary()), *(pa.array(fps[:, i].view(np.int64)) for i in range(LANES))],
+                ["doc_id", "same", *names],
+            )
+
+    marked = materialize(narrow.mapInArrow(run, f"doc_id {kind}, same binary, " + ", ".join(f"{n} long" for n in names)), "wide")
+    least = materialize(
+        marked.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), *(F.first(n).alias(n) for n in names)), "distinct"
+    )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as asked: each row becomes many
     tables = F.array(*(F.struct(F.lit(i << PIECE).alias("table"), p.alias("part")) for i, p in enumerate(pieces(names))))
     met = least.repartition(parts, "node").select("node", F.explode(tables).alias("t")).select(
@@ -176,9 +237,10 @@ def similar_components(
     right = least.select(F.col("node").alias("hub"), F.array(*names).alias("other"))
     apart = F.aggregate(F.zip_with("mine", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
     close = edges.join(left, "node").join(right, "hub").where(apart <= farthest(similarity, 64 * LANES))
-    roots = components(close.select(F.col("node").alias("u"), F.col("hub").alias("v")))
-    rooted = least.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
-    return marked.join(materialize(rooted, "rooted"), names, "left").select("doc_id", "component_id")
+    pairs = materialize(close.select(F.col("node").alias("u"), F.col("hub").alias("v")), "close")
+    roots = components(_verified(pairs, narrow, words, similarity))
+    rooted = least.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
+    return marked.join(materialize(rooted, "rooted"), "same", "left").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:

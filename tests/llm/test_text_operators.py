@@ -136,6 +136,24 @@ def test_similar_components_find_edited_copies(spark):
     assert near >= 114 and all(got[2 * i] == 2 * i for i in range(120))
 
 
+def test_similar_components_check_the_shingles(spark):
+    """What is alike in 0.7 of its shingles stays two, what is alike in 0.8 becomes one."""
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for i in range(200):
+        words = [word() for _ in range(404)]
+        other = [*words[: -44 if i % 2 else -72], *(word() for _ in range(44 if i % 2 else 72))]
+        sets = [{tuple(w[k : k + 5]) for k in range(400)} for w in (words, other)]
+        want[i] = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    assert all(0.795 < s < 0.805 if i % 2 else 0.69 < s < 0.71 for i, s in want.items())
+    found = simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r.doc_id: r.component_id for r in found}
+    linked = [i for i in want if got[2 * i + 1] == 2 * i]
+    alike = [i for i in want if want[i] >= 0.8]
+    assert all(want[i] >= 0.8 for i in linked) and len(alike) >= 90 and len(linked) >= 0.96 * len(alike)
+
+
 # mixing
 
 
