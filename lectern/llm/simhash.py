@@ -192,6 +192,67 @@ def _verified(pairs: DataFrame, narrow: DataFrame, words: int, similarity: float
     return materialize(both.where(shared / (F.size("a") + F.size("b") - shared) >= similarity).select("u", "v").distinct(), "alike")
 
 
+def _across(crowd: DataFrame, prints: DataFrame, roots: DataFrame, limit: int, most: int) -> DataFrame:
+    """``(u, v, more)``: pairs of a bucket within ``limit`` bits that no links join yet.
+
+    Bucket members outside their bucket's largest component are compared with all others;
+    each names at most its ``most`` nearest, and ``more`` says that it has others.
+    """
+    bucket = W.partitionBy("variant")
+    joined = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = joined.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).where("lo <> hi")
+    kind = crowd.schema["node"].dataType.simpleString()
+    rows = mixed.select("variant", "node", "root").join(prints, "node").select("variant", "node", "root", "mine")
+
+    def pairs_of(f: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        _, label = np.unique(label, return_inverse=True)
+        rest = np.nonzero(label != np.bincount(label).argmax())[0]
+        step = max(1, (1 << 22) // f.size)
+        for own in (rest[i : i + step] for i in range(0, len(rest), step)):
+            bits = np.bitwise_count(f[own][:, None] ^ f[None]).sum(axis=2, dtype=np.int32)
+            bits[label[own][:, None] == label[None]] = limit + 1
+            more = (bits <= limit).sum(axis=1) > most
+            if more.any():
+                far = np.argpartition(bits[more], most, axis=1)[:, most:]
+                cut = bits[more]
+                np.put_along_axis(cut, far, limit + 1, axis=1)
+                bits[more] = cut
+            a, b = np.nonzero(bits <= limit)
+            yield own[a], b, more[a]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def found(table: pa.Table, start: int, stop: int) -> Iterator[pa.RecordBatch]:
+            """Pairs of the whole buckets that the rows from ``start`` to ``stop`` are."""
+            node = table.column("node").combine_chunks()
+            label = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            f = table.column("mine").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, LANES)
+            variant = table.column("variant").to_numpy()
+            cuts = [start, *(np.nonzero(np.diff(variant[start:stop]))[0] + start + 1), stop]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                for a, b, more in pairs_of(f[lo:hi], label[lo:hi]):
+                    u, v = node.take(pa.array(lo + np.maximum(a, b))), node.take(pa.array(lo + np.minimum(a, b)))
+                    yield pa.RecordBatch.from_arrays([u, v, pa.array(more)], ["u", "v", "more"])
+
+        for batch in batches:
+            held.append(batch)
+            variant = batch.column(0).to_numpy()
+            if not len(variant) or variant[-1] == held[0].column(0)[0].as_py():
+                continue  # still one bucket
+            table = pa.Table.from_batches(held)
+            last = int(np.searchsorted(table.column("variant").to_numpy(), variant[-1]))
+            yield from found(table, 0, last)
+            held = table.slice(last).combine_chunks().to_batches()
+        if held and sum(b.num_rows for b in held):
+            table = pa.Table.from_batches(held)
+            yield from found(table, 0, len(table))
+
+    parts = int(crowd.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = rows.repartition(parts, "variant").sortWithinPartitions("variant", "node")
+    return sorted_rows.mapInArrow(run, f"u {kind}, v {kind}, more boolean")
+
+
 def similar_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY
 ) -> DataFrame:
@@ -200,7 +261,9 @@ def similar_components(
     Texts with equal sets are one node.  Fingerprints of ``LANES`` times 64 bits find
     candidates: each of their pieces is hashed by its own ball of radius two, so documents
     meet if any piece is within two bits, and all bits together may not be farther apart
-    than ``farthest``.  A candidate counts if the shingles themselves say so.  A bucket
+    than ``farthest``.  A candidate counts if the shingles themselves say so.  First each
+    member of a bucket is held against its least one; then, in rounds, against all those
+    of its bucket that no links join to it, until no candidate is left.  A bucket
     holds one document by chance at ten million distinct texts; more texts take longer
     pieces and more lanes.  Nulls, empty and repeated rows are treated as in
     ``simhash_components``; rows with a null id are not linked.
@@ -231,14 +294,28 @@ def similar_components(
         "node", "t.table", "t.part", F.explode(F.lit([0] + [1 << b for b in range(PIECE)]).cast("array<bigint>")).alias("mask")
     )
     keyed = met.select("node", F.col("table").bitwiseOR(F.col("part").bitwiseXOR(F.col("mask"))).alias("variant"))
-    hub = keyed.withColumn("hub", F.min("node").over(W.partitionBy("variant")))
-    edges = materialize(hub.where("hub <> node").select("node", "hub").distinct(), "collisions")
-    left = least.select("node", F.array(*names).alias("mine"))
-    right = least.select(F.col("node").alias("hub"), F.array(*names).alias("other"))
+    bucket = W.partitionBy("variant")
+    hub = keyed.withColumn("hub", F.min("node").over(bucket)).withColumn("size", F.count("*").over(bucket))
+    shared = materialize(hub.where("size > 1"), "collisions")
+    edges = materialize(shared.where("hub <> node").select("node", "hub").distinct(), "hubs")
+    prints, limit = least.select("node", F.array(*names).alias("mine")), farthest(similarity, 64 * LANES)
+    right = prints.select(F.col("node").alias("hub"), F.col("mine").alias("other"))
     apart = F.aggregate(F.zip_with("mine", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
-    close = edges.join(left, "node").join(right, "hub").where(apart <= farthest(similarity, 64 * LANES))
-    pairs = materialize(close.select(F.col("node").alias("u"), F.col("hub").alias("v")), "close")
-    roots = components(_verified(pairs, narrow, words, similarity))
+    close = edges.join(prints, "node").join(right, "hub").where(apart <= limit)
+    tested = materialize(close.select(F.col("node").alias("u"), F.col("hub").alias("v")), "close")
+    good = _verified(tested, narrow, words, similarity)
+    crowd, most = shared.where("size > 2").select("variant", "node"), 8
+    while True:
+        roots = materialize(components(good), "roots")
+        found = materialize(_across(crowd, prints, roots, limit, most), "across")
+        fresh = materialize(found.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"), "fresh")
+        if not fresh.isEmpty():
+            good = good.unionByName(_verified(fresh, narrow, words, similarity))
+            tested = tested.unionByName(fresh)
+        if found.where("more").isEmpty():
+            break
+        most *= 8
+    roots = components(good)
     rooted = least.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
     return marked.join(materialize(rooted, "rooted"), "same", "left").select("doc_id", "component_id")
 

@@ -154,6 +154,23 @@ def test_similar_components_check_the_shingles(spark):
     assert all(want[i] >= 0.8 for i in linked) and len(alike) >= 90 and len(linked) >= 0.96 * len(alike)
 
 
+def test_similar_components_within_a_family(spark):
+    """Near copies among many documents that share a long passage are found past strangers with lesser ids."""
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    rng, rows, n = np.random.default_rng(6), [], 600
+    passage = [word() for _ in range(300)]
+    for i in range(n):
+        own = [word() for _ in range(100)]
+        rows.append((i, " ".join(passage + own)))  # alike in 0.6
+        if i >= n - 150:
+            own[-19:] = [word() for _ in range(19)]
+            rows.append((10_000 + i, " ".join(passage + own)))  # alike in 0.9
+    found = simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r.doc_id: r.component_id for r in found}
+    assert all(got[i] == i for i in range(n))
+    assert sum(got[10_000 + i] == i for i in range(n - 150, n)) == 150
+
+
 # mixing
 
 
