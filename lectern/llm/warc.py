@@ -140,8 +140,6 @@ def _member(data: memoryview, at: int) -> tuple[int, bytes] | None:
         while not inflate.eof and pos < len(data):
             parts.append(inflate.decompress(data[pos : pos + _STEP]))
             pos += _STEP
-            if len(parts) == 1 and parts[0][:5] not in (b"WARC/", b"WARC/"[: len(parts[0])]):
-                return None
     except zlib.error:
         return None
     return (min(pos, len(data)) - len(inflate.unused_data), b"".join(parts)) if inflate.eof else None
@@ -157,11 +155,30 @@ def _digest_holds(named: str | None, block: bytes) -> bool:
     return True  # an algorithm this reader does not know proves nothing
 
 
+def _head(data: bytes | memoryview, at: int) -> bytes:
+    """The header at ``at`` with the empty line that ends it, looked for in growing blocks;
+    nothing if no such line or another record's begin comes first."""
+    size = 1 << 16
+    while True:
+        block = bytes(data[at : at + size])
+        end = block.find(b"\r\n\r\n")
+        following = _VERSION.search(block, 1, end if end >= 0 else len(block))
+        if following and block[following.start() - 2 : following.start()] == b"\r\n":
+            return b""
+        if end >= 0:
+            return block[: end + 4]
+        if at + size >= len(data):
+            return b""
+        size *= 4
+
+
 def parse_record(data: bytes | memoryview, at: int = 0) -> tuple[int, dict[str, str], bytes] | str:
     """End, header fields and block of the record at ``at``, or the check that failed."""
-    head = bytes(data[at : at + (1 << 16)])
-    end = head.find(b"\r\n\r\n")
-    if not _VERSION.match(head) or end < 0:
+    head = b""
+    if _VERSION.match(data, at):
+        head = _head(data, at)
+    end = len(head) - 4
+    if end < 0:
         return "no version line or end of header"
     fields: dict[str, str] = {}
     for line in head[:end].split(b"\r\n")[1:]:

@@ -183,6 +183,22 @@ def test_salvage_plain_records(damage):
     assert not list(warc.salvage(b""))
 
 
+def test_round_trip_of_a_long_url(spark):
+    urls = {1: "data:text/html," + "x" * 100_000, 2: "http://a/?q=" + "é" * 400_000, 3: "http://a/"}
+    pages = spark.createDataFrame([(i, u, f"<p>{i}</p>") for i, u in urls.items()], "page_id long, url string, html string")
+    got = warc.round_trip(pages).collect()
+    assert {r.record_id: r.uri for r in got if r.kind == "record"} == {f"<urn:x-page:{i}>": u for i, u in urls.items()}
+    assert len(got) == 3
+
+
+def test_salvage_a_member_whose_first_record_is_damaged():
+    member = gzip.compress(b"XARC" + record(1)[4:] + record(2) + record(3))
+    found = list(warc.salvage(gzip.compress(record(0)) + member + gzip.compress(record(4))))
+    assert [f["warc-record-id"] for _, _, f, _, _ in found if f] == [f"<urn:x-page:{i}>" for i in (0, 2, 3, 4)]
+    gaps = [why for _, _, f, _, why in found if f is None]
+    assert len(gaps) == 1 and "inside the member" in gaps[0]
+
+
 def test_read_archives_logs_gaps(spark):
     folder = fresh_path(spark, "damaged")
     pages = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(30)], "page_id long, url string, html string").coalesce(1)
