@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     At most about ``FIT_TOXIC`` and ``FIT_CLEAN`` documents are used, those whose hashed id
     is below the share that gives so many; they bound what is broadcast and collected.
-    Letters are counted first, then features by label, and the ``FEATURES`` that lean most
+    Letters are counted first, over all texts, labelled or not, then features by label, and the ``FEATURES`` that lean most
     to toxic documents make the model.  Null labels are no labels; a document that is
     marked twice is toxic if any mark says so.  With one label or none, every text scores
     by the share of toxic labels, or 0 without any.
@@ -257,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         spell()
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["pair", "n"])
 
-    counted = sample.mapInArrow(pairs, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = own.select("text").mapInArrow(pairs, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     letters = Letters({r["pair"]: r["n"] for r in counted.collect()})  # at most 0x250 squared rows
     base = toxic / (toxic + clean) if toxic + clean else 0.0
     if not toxic or not clean:

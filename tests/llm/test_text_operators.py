@@ -345,6 +345,13 @@ def test_toxicity_held_out(spark):
     assert sum(r.predicted for r in rows if r.toxic == 0) <= 0.02 * len(rows)
 
 
+def test_letters_are_counted_over_all_texts(spark):
+    docs = spark.createDataFrame([(1, "abc"), (2, "abd"), (3, "xyz xyz"), (None, "xw"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    counts = toxicity.fit(docs, labels).letters.counts
+    assert counts["xy"] == 2 and counts["xw"] == 1 and counts["^x"] == 3 and counts["ab"] == 2
+
+
 def test_toxicity_spaced_letters_and_odd_rows(spark, odd, empty):
     train = [(i, f"plain words number {i} here", 0) for i in range(40)] + [(100 + i, f"you idiot number {i} here", 1) for i in range(40)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in train], "doc_id long, text string")
