@@ -4,7 +4,9 @@ Three levels, each over what the last one left: texts whose length is unique are
 of the rest, texts whose (length, prefix hash) is unique are done; only of the rest the
 whole text is digested.  The sets of surviving keys travel as sieves of fixed size (see
 ``sieve``), so no level shuffles texts, and groups are formed over digests with partial
-aggregation, so a text that a third of all rows hold costs one row per task.
+aggregation, so a text that a third of all rows hold costs one row per task.  A row that
+an earlier level showed to be unique never enters the grouping; ``digest_all`` only adds
+its digest to the result.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from lectern.llm import sieve
 from lectern.storage import materialize
 
 PREFIX_CHARS = 64
+LARGE, SALTS = 1_000, 64  # copies from which a group's rows are dealt, and over how many keys
 
 
 def _body(text: str) -> Column:
@@ -31,6 +34,18 @@ def surviving_prefixes(docs: DataFrame, text: str = "text") -> DataFrame:
     return level1.groupBy("length", prefix).count().where("count > 1").select("length", "prefix")
 
 
+def _named(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with their group, if any.  Digests that the sieve of large groups marks are
+    dealt over ``SALTS`` keys, so the copies of one text are no one task's work."""
+    crowd, key = sieve.build(groups.where(F.col("group_size") > LARGE), F.col("text_sha256")), F.col("text_sha256")
+    rows, groups = sieve.mark(rows, crowd, key, "crowded"), sieve.mark(groups, crowd, key, "crowded")
+    few = rows.where("not crowded").drop("crowded").join(groups.where("not crowded").drop("crowded"), "text_sha256", "left")
+    salt = F.pmod(F.xxhash64("row_no"), F.lit(SALTS)).cast("int")
+    every = groups.where("crowded").drop("crowded").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    many = rows.where("crowded").drop("crowded").withColumn("salt", salt).join(every, ["text_sha256", "salt"], "left").drop("salt")
+    return few.unionByName(many)
+
+
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest_all: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -51,22 +66,21 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         marked.select(
             "doc_id",
             F.monotonically_increasing_id().alias("row_no"),
+            "maybe",
             F.when(F.lit(True) if digest_all else F.col("maybe"), F.sha2("body", 256)).alias("text_sha256"),
         ),
         "digests",
     )
     groups = materialize(
-        rows.where("text_sha256 is not null")
+        rows.where("maybe")
         .groupBy("text_sha256")
         .agg(F.max(F.struct("doc_id", "row_no")).alias("keep"), F.count("*").alias("group_size"))
         .where("group_size > 1"),
         "groups",
     )
-    # undigested rows are alone: they do not meet on their null digest
     nobody = F.lit(None).cast(groups.schema["keep"].dataType).alias("keep"), F.lit(None).cast("long").alias("group_size")
-    alone = rows.where("text_sha256 is null").select("text_sha256", "doc_id", "row_no", *nobody)
-    met = rows.where("text_sha256 is not null").join(groups, "text_sha256", "left").select(*alone.columns)
-    joined = met if digest_all else alone.unionByName(met)
+    alone = rows.where("not maybe").select("text_sha256", "doc_id", "row_no", *nobody)
+    joined = alone.unionByName(_named(rows.where("maybe"), groups).select(*alone.columns))
     return joined.select(
         "doc_id",
         F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),

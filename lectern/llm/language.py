@@ -2,7 +2,7 @@
 
 Counts per language are summed within each task and then over tasks.  The model is one
 matrix of log-probabilities, languages by ``BUCKETS``, which every task gets as a
-broadcast: its size is 128 KB a language, and at most ``MAX_LANGUAGES`` are learned.
+broadcast: its size is 128 KB a language, and the ``MAX_LANGUAGES`` most frequent are learned.
 Texts are scored whole, in batches of about ``BATCH_CHARS`` characters: the batch's
 n-grams are rows of a sparse matrix whose product with the model is a gather and a sum.
 """
@@ -94,22 +94,25 @@ class Model:
         return pred, np.where(named, odds.max(axis=0), 0.0)
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = FIT_DOCS) -> Model:
+def fit(
+    docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = FIT_DOCS, most: int = MAX_LANGUAGES
+) -> Model:
     """Learn from the rows of ``docs`` with a text and a language.
 
     At most about ``per_language`` documents of a language are used: those whose hashed
-    ``key`` is below the share that gives so many.  No rows: a model without languages.
+    ``key`` is below the share that gives so many.  Of more than ``most`` languages those
+    with the most rows are learned, of equal ones the first by name: both bound what is
+    broadcast.  No rows: a model without languages.
     """
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(key).alias("h"))
     rows = rows.where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
     shares = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / sizes[k])))))
-    chosen = rows.where(F.pmod("h", F.lit(1 << 30)) < shares[F.col("lang")] * float(1 << 30)).select("text", "lang")
+    below = F.pmod("h", F.lit(1 << 30)) < shares[F.col("lang")] * float(1 << 30)  # null, so false, for other languages
+    chosen = rows.where(below).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}

@@ -186,7 +186,10 @@ def write_shards(numbered: DataFrame, count: int, folder: str, length: int, id_b
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], ["shard", "path", "first", "records"])
 
     blocks = numbered.select("index", "ids").mapInArrow(send, "shard long, slots binary, block binary")
-    ranged = blocks.repartitionByRange("shard").sortWithinPartitions("shard")
+    parts = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, -(-count // shard))
+    span = max(1, -(-shards // parts))  # shards of a partition: their ranges are known, nothing is sampled
+    ranged = blocks.repartitionById(min(parts, shards), F.floor(F.col("shard") / span).cast("int")).sortWithinPartitions("shard")
     return materialize(ranged.mapInArrow(write, "shard long, path string, first long, records long"), "manifest")
 
 
