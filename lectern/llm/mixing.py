@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.llm.offsets import running_offsets
 from lectern.storage import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,28 +33,27 @@ STEPS = (1_000_000_007, 2_147_483_647, 998_244_353)  # primes over any block cou
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """``(source, source_size, n_docs, weight, target double)`` of ``(source, size)`` rows.
+    """``(source, place, source_size, n_docs, weight, target double)`` of ``(source, size)``
+    rows, one per source.
 
-    One row per source.  Weights repeat over the sources by code point, null last.
+    Weights repeat over the sources by code point, null last; ``place`` counts them from 0.
     Targets over ``most`` times the source's size stop there; what they leave is shared
-    again by weight until none is above.  Each round is an aggregation of the source
-    table, and caps at least one source more.
+    again by weight until none is above.  Sources meet their cap in the order of cap over
+    weight, so two running sums in that order tell the level at which the rest shares.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
-    table = materialize(totals.withColumn("weight", weight.cast("double")), "sources")
-    total = table.agg(F.sum("source_size")).first()[0] or 0
-    cap, level, capped = F.col("source_size") * F.lit(float(most)), 0.0, -1
-    while True:
-        over = F.col("weight") * F.lit(level) > cap
-        got = table.agg(
-            F.count_if(over), F.sum(F.when(over, cap).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight")))
-        ).first()
-        if got[0] == capped or not got[2]:
-            break
-        capped, level = got[0], (total - got[1]) / got[2]
-    return table.withColumn("target", F.least(F.col("weight") * F.lit(level), cap))
+    named = totals.withColumns({"unknown": F.col("source").isNull(), "name": F.coalesce("source", F.lit("")), "one": F.lit(1).cast("long")})
+    placed = running_offsets(named, ["unknown", "name"], "one", "place")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
+    capped = placed.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most).withColumn("full_at", F.col("cap") / F.col("weight"))
+    table = materialize(running_offsets(capped, ["full_at", "place"], {"cap": "caps", "weight": "weights"}), "sources")
+    sizes_of, weights_of = (v or 0 for v in table.agg(F.sum("source_size"), F.sum("weight")).first())
+    level = (F.lit(sizes_of) - F.col("caps")) / (F.lit(weights_of) - F.col("weights"))
+    found = table.select("full_at", "place", level.alias("level")).where("full_at >= level")
+    rest = found.agg(F.min(F.struct("full_at", "place", "level"))["level"]).first()[0]
+    cap = F.col("cap").cast("double")
+    target = cap if rest is None else F.least(F.col("weight") * F.lit(rest), cap)
+    return table.select("source", "place", "source_size", "n_docs", F.col("weight").cast("double").alias("weight"), target.alias("target"))
 
 
 def _uniform(*parts: Column) -> Column:
@@ -197,13 +197,8 @@ def mixing_plan(
     blocks = F.ceil(F.col("source_size") / block_words)
     epochs = F.least(F.floor(F.col("target") / F.greatest("source_size", F.lit(1))), F.lit(most))
     rest = F.least(F.round((F.col("target") - epochs * F.col("source_size")) / block_words).cast("long"), F.col("blocks"))
-    place = (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1).alias("place")
-    table = materialize(
-        table.withColumn("blocks", blocks)
-        .withColumn("quota", F.least(epochs * F.col("blocks") + rest, F.lit(most) * F.col("blocks")))
-        .select("*", place),
-        "quotas",
-    )
+    quota = F.least(epochs * F.col("blocks") + rest, F.lit(most) * F.col("blocks"))
+    table = materialize(table.withColumn("blocks", blocks).withColumn("quota", quota), "quotas")
     leaves = split_quotas(table.select("place", "quota"), shards)
     by_shard = W.partitionBy("place").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     offsets = leaves.withColumn("begin", F.coalesce(F.sum("blocks").over(by_shard), F.lit(0)))
@@ -272,23 +267,32 @@ def taken_words(pieces: str = "pieces") -> Column:
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The mix as documents: a row of all columns for each document and epoch of which
-    the mix takes words, with those words as its text (and ``n_chars``, if there is one)."""
+    """The mix as documents: a row of all columns for each document, epoch and shard that
+    takes words of it, with those words as its text (and ``n_chars``, if there is one).
+
+    Rows come shard by shard, in the order of the shard's local shuffle.  Nulls, empty,
+    long and repeated texts, clashing names and empty tables as in ``mixing_plan``.
+    """
     own = materialize(docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct("*").alias("doc")), "rows")
     narrow = own.select("row_no", *(F.col("doc")[c].alias(n) for c, n in ((doc_id, "id"), (text, "body"), (source, "source"))))
     plan = mixing_plan(narrow, "id", "body", "source", row="row_no", **how).where(F.size("pieces") > 0)
-    epoch = F.explode(F.array_distinct(F.transform("pieces", lambda p: p["epoch"]))).alias("epoch")
-    rows = own.join(plan.select("row_no", "size", "pieces"), "row_no").select("doc", "size", "pieces", epoch)
-    now = F.filter("pieces", lambda p: p["epoch"] == F.col("epoch"))
     body = F.col("doc")[text]
     words = F.regexp_extract_all(body, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = _let(words, lambda w: F.array_join(F.flatten(F.transform(
-        F.array_sort(F.transform(now, lambda p: F.struct(p["start"].alias("start"), p["words"].alias("words")))),
-        lambda p: F.slice(w, (p["start"] + 1).cast("int"), p["words"].cast("int")),
-    )), ""))
-    whole = F.aggregate(now, F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("size")
-    out = rows.select("doc", F.when(whole, body).otherwise(cut).alias("cut"))
+    part = F.explode(F.array_distinct(F.transform("pieces", lambda p: F.struct(p["shard"].alias("shard"), p["epoch"].alias("epoch")))))
+    rows = own.join(plan.select("row_no", "size", "pieces"), "row_no").select("doc", "size", "pieces", words.alias("words"))
+    rows = rows.select("*", part.alias("part"))
+    now = F.filter("pieces", lambda p: (p["epoch"] == F.col("part.epoch")) & (p["shard"] == F.col("part.shard")))
+    cut = F.array_join(F.flatten(F.transform(
+        F.array_sort(F.transform("now", lambda p: F.struct(p["start"].alias("start"), p["words"].alias("words")))),
+        lambda p: F.slice("words", (p["start"] + 1).cast("int"), p["words"].cast("int")),
+    )), "")
+    whole = F.aggregate("now", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("size")
+    out = rows.withColumn("now", now).select(
+        F.col("part.shard").alias("shard"), F.array_min(F.transform("now", lambda p: p["rank"])).alias("rank"),
+        "doc", F.when(whole, body).otherwise(cut).alias("cut"),
+    )
     doc = F.col("doc").withField(text, F.col("cut"))
     if "n_chars" in docs.columns:
         doc = doc.withField("n_chars", F.length("cut").cast(docs.schema["n_chars"].dataType))
-    return out.select(doc.alias("doc")).select("doc.*")
+    shuffled = out.select("shard", "rank", doc.alias("doc")).repartitionByRange("shard", "rank").sortWithinPartitions("shard", "rank")
+    return shuffled.select("doc.*")

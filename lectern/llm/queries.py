@@ -94,8 +94,9 @@ def op6_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pieces`` names, for each run of words taken, its shard and its rank there."""
     plan = mixing.mixing_plan(_table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", mixing.taken_words().alias("taken"))
+    return plan.select("doc_id", "size", "source_size", "target", mixing.taken_words().alias("taken"), "pieces")
 
 
 def _remainder(column: str, of: int) -> Column:
