@@ -28,8 +28,10 @@ from lectern.storage import materialize
 SHINGLE_WORDS = 3
 RADIUS = 2
 SEED = 42
-NEAR_WORDS, NEAR_SIMILARITY, LANES, PIECE = 5, 0.8, 12, 28  # of near duplicates by similarity
-SPREAD = 5  # standard deviations of differing bits up to which a pair is worth a look at its shingles
+NEAR_WORDS, NEAR_SIMILARITY, PIECE = 5, 0.8, 28  # of near duplicates by similarity
+LANES, CUT_LANES = 16, 10  # of 64 bits: those that tell how far two texts are apart, and those cut into pieces
+SPREAD = 3  # standard deviations of differing bits up to which a pair is worth a look at its shingles
+ALONG = 8  # neighbours in a bucket's order that a member is held against
 BLOCK = 65_536  # shingles hashed at a time: bounds memory for very long texts
 
 
@@ -192,65 +194,39 @@ def _verified(pairs: DataFrame, narrow: DataFrame, words: int, similarity: float
     return materialize(both.where(shared / (F.size("a") + F.size("b") - shared) >= similarity).select("u", "v").distinct(), "alike")
 
 
-def _across(crowd: DataFrame, prints: DataFrame, roots: DataFrame, limit: int, most: int) -> DataFrame:
-    """``(u, v, more)``: pairs of a bucket within ``limit`` bits that no links join yet.
-
-    Bucket members outside their bucket's largest component are compared with all others;
-    each names at most its ``most`` nearest, and ``more`` says that it has others.
-    """
-    bucket = W.partitionBy("variant")
-    joined = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = joined.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).where("lo <> hi")
-    kind = crowd.schema["node"].dataType.simpleString()
-    rows = mixed.select("variant", "node", "root").join(prints, "node").select("variant", "node", "root", "mine")
-
-    def pairs_of(f: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        _, label = np.unique(label, return_inverse=True)
-        rest = np.nonzero(label != np.bincount(label).argmax())[0]
-        step = max(1, (1 << 22) // f.size)
-        for own in (rest[i : i + step] for i in range(0, len(rest), step)):
-            bits = np.bitwise_count(f[own][:, None] ^ f[None]).sum(axis=2, dtype=np.int32)
-            bits[label[own][:, None] == label[None]] = limit + 1
-            more = (bits <= limit).sum(axis=1) > most
-            if more.any():
-                far = np.argpartition(bits[more], most, axis=1)[:, most:]
-                cut = bits[more]
-                np.put_along_axis(cut, far, limit + 1, axis=1)
-                bits[more] = cut
-            a, b = np.nonzero(bits <= limit)
-            yield own[a], b, more[a]
+def _along(rows: DataFrame, limit: int, neighbours: int) -> DataFrame:
+    """``(u, v)``: members of a bucket within ``limit`` bits and ``neighbours`` places of each
+    other, in the order of a lane that the bucket chooses.  A bucket of many rows may
+    span several tasks; a row is emitted at most ``neighbours`` times for each."""
+    kind = rows.schema["node"].dataType.simpleString()
+    lanes = F.col("mine")[F.pmod(F.xxhash64("variant"), F.lit(LANES)).cast("int")]
+    keyed = rows.select("variant", lanes.alias("key"), "node", "mine")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def found(table: pa.Table, start: int, stop: int) -> Iterator[pa.RecordBatch]:
-            """Pairs of the whole buckets that the rows from ``start`` to ``stop`` are."""
-            node = table.column("node").combine_chunks()
-            label = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            f = table.column("mine").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, LANES)
-            variant = table.column("variant").to_numpy()
-            cuts = [start, *(np.nonzero(np.diff(variant[start:stop]))[0] + start + 1), stop]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                for a, b, more in pairs_of(f[lo:hi], label[lo:hi]):
-                    u, v = node.take(pa.array(lo + np.maximum(a, b))), node.take(pa.array(lo + np.minimum(a, b)))
-                    yield pa.RecordBatch.from_arrays([u, v, pa.array(more)], ["u", "v", "more"])
-
+        held: pa.Table | None = None
         for batch in batches:
-            held.append(batch)
-            variant = batch.column(0).to_numpy()
-            if not len(variant) or variant[-1] == held[0].column(0)[0].as_py():
-                continue  # still one bucket
-            table = pa.Table.from_batches(held)
-            last = int(np.searchsorted(table.column("variant").to_numpy(), variant[-1]))
-            yield from found(table, 0, last)
-            held = table.slice(last).combine_chunks().to_batches()
-        if held and sum(b.num_rows for b in held):
-            table = pa.Table.from_batches(held)
-            yield from found(table, 0, len(table))
-
-    parts = int(crowd.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = rows.repartition(parts, "variant").sortWithinPartitions("variant", "node")
-    return sorted_rows.mapInArrow(run, f"u {kind}, v {kind}, more boolean")
+            own = pa.Table.from_batches([batch])
+            table = own if held is None else pa.concat_tables([held, own])
+            old = 0 if held is None else len(held)
+            variant, node = table.column(0).to_numpy(), table.column(2).combine_chunks()
+            f = table.column(3).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, LANES)
+            for step in range(1, min(neighbours, len(table) - 1) + 1):
+                at = np.arange(max(step, old), len(table))
+                at = at[variant[at] == variant[at - step]]
+                near = at[np.bitwise_count(f[at] ^ f[at - step]).sum(axis=1, dtype=np.int32) <= limit]
+                u, v = node.take(pa.array(near)), node.take(pa.array(near - step))
+                yield pa.RecordBatch.from_arrays([u, v], ["u", "v"])
+            held = table.slice(max(0, len(table) - neighbours)).combine_chunks()
+
+    ordered = keyed.repartitionByRange("variant", "key", "node").sortWithinPartitions("variant", "key", "node")
+    return ordered.mapInArrow(run, f"u {kind}, v {kind}").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` (``u``, ``v``) whose ends no links join."""
+    a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("u", "v"))
+    joined = pairs.join(a, "u", "left").join(b, "v", "left")
+    return joined.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).drop("root_u", "root_v")
 
 
 def similar_components(
@@ -258,15 +234,20 @@ def similar_components(
 ) -> DataFrame:
     """``(doc_id, component_id)`` per row, linked at a Jaccard similarity of shingle sets.
 
-    Texts with equal sets are one node.  Fingerprints of ``LANES`` times 64 bits find
+    Texts with equal sets are one node.  Fingerprints of ``CUT_LANES`` times 64 bits find
     candidates: each of their pieces is hashed by its own ball of radius two, so documents
-    meet if any piece is within two bits, and all bits together may not be farther apart
-    than ``farthest``.  A candidate counts if the shingles themselves say so.  First each
-    member of a bucket is held against its least one; then, in rounds, against all those
-    of its bucket that no links join to it, until no candidate is left.  A bucket
-    holds one document by chance at ten million distinct texts; more texts take longer
-    pieces and more lanes.  Nulls, empty and repeated rows are treated as in
-    ``simhash_components``; rows with a null id are not linked.
+    meet if any piece is within two bits, and all ``LANES`` together may not be farther
+    apart than ``farthest``.  A candidate counts if the shingles themselves say so.
+
+    Each member of a bucket is held against its least one.  Members that no link joins to
+    it are then put in an order by bits that the bucket chooses and held against their
+    ``ALONG`` neighbours, so that near copies among many documents that share a passage
+    find each other past the strangers between them; both steps give a number of pairs
+    in proportion to the rows of the buckets, whatever their size.
+
+    Null, empty and blank texts have one shingle set and are linked.  Rows with a null id
+    have a null component.  Repeated rows stay.  Very long texts are hashed in blocks.
+    Other columns are not read.  An empty table gives no rows.
     """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
@@ -289,7 +270,7 @@ def similar_components(
         marked.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), *(F.first(n).alias(n) for n in names)), "distinct"
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as asked: each row becomes many
-    tables = F.array(*(F.struct(F.lit(i << PIECE).alias("table"), p.alias("part")) for i, p in enumerate(pieces(names))))
+    tables = F.array(*(F.struct(F.lit(i << PIECE).alias("table"), p.alias("part")) for i, p in enumerate(pieces(names[:CUT_LANES]))))
     met = least.repartition(parts, "node").select("node", F.explode(tables).alias("t")).select(
         "node", "t.table", "t.part", F.explode(F.lit([0] + [1 << b for b in range(PIECE)]).cast("array<bigint>")).alias("mask")
     )
@@ -297,25 +278,19 @@ def similar_components(
     bucket = W.partitionBy("variant")
     hub = keyed.withColumn("hub", F.min("node").over(bucket)).withColumn("size", F.count("*").over(bucket))
     shared = materialize(hub.where("size > 1"), "collisions")
-    edges = materialize(shared.where("hub <> node").select("node", "hub").distinct(), "hubs")
+    edges = shared.where("hub <> node").groupBy(F.col("node").alias("u"), F.col("hub").alias("v")).agg(F.max("size").alias("size"))
+    edges = materialize(edges, "hubs")
     prints, limit = least.select("node", F.array(*names).alias("mine")), farthest(similarity, 64 * LANES)
-    right = prints.select(F.col("node").alias("hub"), F.col("mine").alias("other"))
-    apart = F.aggregate(F.zip_with("mine", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
-    close = edges.join(prints, "node").join(right, "hub").where(apart <= limit)
-    tested = materialize(close.select(F.col("node").alias("u"), F.col("hub").alias("v")), "close")
+    left, right = (prints.select(F.col("node").alias(c), F.col("mine").alias(f"of_{c}")) for c in ("u", "v"))
+    bits = F.aggregate(F.zip_with("of_u", "of_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
+    tested = materialize(edges.join(left, "u").join(right, "v").where(bits <= limit).select("u", "v"), "close")
     good = _verified(tested, narrow, words, similarity)
-    crowd, most = shared.where("size > 2").select("variant", "node"), 8
-    while True:
-        roots = materialize(components(good), "roots")
-        found = materialize(_across(crowd, prints, roots, limit, most), "across")
-        fresh = materialize(found.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"), "fresh")
-        if not fresh.isEmpty():
-            good = good.unionByName(_verified(fresh, narrow, words, similarity))
-            tested = tested.unionByName(fresh)
-        if found.where("more").isEmpty():
-            break
-        most *= 8
-    roots = components(good)
+    roots = materialize(components(good), "roots")
+    strangers = _apart(edges.where("size > 2"), roots).select(F.col("u").alias("node"), F.col("v").alias("hub"))
+    crowd = shared.where("size > 2").join(strangers, ["node", "hub"], "left_semi").select("variant", "node")
+    met = _along(materialize(crowd.join(prints, "node").select("variant", "node", "mine"), "crowd"), limit, ALONG)
+    fresh = materialize(_apart(met, roots).join(tested, ["u", "v"], "left_anti"), "fresh")
+    roots = components(good.unionByName(_verified(fresh, narrow, words, similarity)))
     rooted = least.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
     return marked.join(materialize(rooted, "rooted"), "same", "left").select("doc_id", "component_id")
 
