@@ -34,19 +34,23 @@ LOOKALIKES = {
 # Letters of other scripts that look like Latin ones.
 TWINS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ο": "o", "α": "a", "ı": "i"}
 READ, DROP, ONCE, TWICE = 0.7, 3.0, 0.4, 1.2  # costs: look-alike, dropped sign, repeat read once, read as two
+BREAK, JOIN = 1.0, 1.5  # costs: word break between spaced letters, space taken out
 BUCKETS = 1 << 18
 STEMS = (4, 5, 6, 7)
 FIT_TOXIC, FIT_CLEAN = 6_000, 14_000  # labelled documents to learn from at most, chosen by a hash
+FIT_ENTRIES = 4_000_000  # counts of features in those documents that the driver gets at most
 FEATURES = 4_000  # of the model
 MEMORY = 200_000  # tokens remembered at a time
-TOKEN = 48  # longer tokens are read in pieces of so many characters
+SHORT = 4  # letters of the longest pieces that a space may part
 TYPICAL = 300  # words a document's counts are scaled to
 _WORD = re.compile(r"[^\W\d_]+")
 _SPLIT = re.compile(r"[-'’._/~]+")
 _TRIPLE = re.compile(r"(.)\1\1")
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _TWIN = re.compile(f"[{''.join(TWINS)}]")
-_EDGE = ".,;:?\"'()[]{}<>*#%&"
+_EDGE = ".,;:?\"'()[]{}<>%&"
+_SIGNS = "".join(c for c in LOOKALIKES if not c.isalnum())
+_AMOUNT = re.compile(r"[$€£#]?\d[\d.,:]*")
 
 
 def _repeats(word: str) -> bool:
@@ -74,9 +78,12 @@ class Letters:
             self.cost[pair] = -math.log((self.counts.get(pair, 0) + 0.1) / (self.first[a] + 6.4))
         return self.cost[pair]
 
-    def decode(self, token: str) -> str:
-        """The likeliest word behind ``token``, by Viterbi over its character lattice."""
-        best = {"^": (0.0, "")}  # by last letter
+    def decode(self, token: str, spaced: bool = False) -> str:
+        """The likeliest words behind ``token``, by Viterbi over its character lattice.
+
+        With ``spaced`` the characters stood apart, and a word may end between any two.
+        """
+        steps: list[dict[str, tuple[float, str, str]]] = [{"^": (0.0, "", "")}]  # by last letter: cost, letter before, letters read
         at = 0
         while at < len(token):
             sign, run = token[at], 1
@@ -90,20 +97,33 @@ class Letters:
                 read = LOOKALIKES.get(sign, "")
                 choices = [(c * k, READ + (0.0 if k == run else ONCE)) for c in read for k in {1, min(run, 2)}]
                 choices += [("", DROP if read else 0.1)]
-            step: dict[str, tuple[float, str]] = {}
-            for last, (cost, word) in best.items():
+            step: dict[str, tuple[float, str, str]] = {}
+            for last, (cost, _, _) in steps[-1].items():
                 for letters, own in choices:
-                    total, before = cost + own, last
-                    for letter in letters:
-                        total += self(before, letter)
-                        before = letter
-                    if before not in step or total < step[before][0]:
-                        step[before] = (total, word + letters)
-            best = step
-        return min((cost + self(last, "$"), word) for last, (cost, word) in best.items())[1]
+                    for gap in (False, True) if spaced and letters and last != "^" else (False,):
+                        total, before = cost + own, last
+                        if gap:
+                            total, before = total + BREAK + self(last, "$"), "^"
+                        for letter in letters:
+                            total += self(before, letter)
+                            before = letter
+                        if before not in step or total < step[before][0]:
+                            step[before] = (total, last, " " + letters if gap else letters)
+            steps.append(step)
+        last, out = min(steps[-1], key=lambda c: (steps[-1][c][0] + self(c, "$"), c)), []
+        for step in reversed(steps[1:]):
+            _, before, letters = step[last]
+            out.append(letters)
+            last = before
+        return "".join(reversed(out))
+
+    def parted(self, a: str, b: str) -> bool:
+        """Whether two pieces are likelier one word with a space put in than two words."""
+        return self(a[-1], b[0]) + JOIN < self(a[-1], "$") + self("^", b[0])
 
     def restore(self, token: str) -> list[str]:
-        """The words in a lower-case token without white space."""
+        """The words in a lower-case token without white space; where signs surround it
+        that may be letters, with and without them."""
         if not token.isascii():
             token = _HIDDEN.sub("", token)
             if not unicodedata.is_normalized("NFKC", token):
@@ -111,20 +131,20 @@ class Letters:
             if _TWIN.search(token) and any("a" <= c <= "z" for c in token):
                 token = "".join(TWINS.get(c, c) for c in token)
         core = token.strip(_EDGE)
-        core = core.rstrip("!$") or core
         if core.isalpha() and not _repeats(core):
             return [core]
         words = []
         parts = [p for p in _SPLIT.split(core) if p]
         if len(parts) >= 3 and max(map(len, parts)) <= 2:
             parts = ["".join(parts)]
-        for long in parts:
-            for i in range(0, len(long), TOKEN):
-                part = long[i : i + TOKEN]
-                if part.isalpha() and not _repeats(part):
-                    words.append(part)
-                elif any(c.isalpha() for c in part):
-                    words += _WORD.findall(self.decode(part))
+        for part in parts:
+            if part.isalpha() and not _repeats(part):
+                words.append(part)
+            elif any(c.isalpha() for c in part) or (len(LOOKALIKES.keys() & set(part)) > 1 and not _AMOUNT.fullmatch(part)):
+                bare = part.strip(_SIGNS)
+                readings = {} if not bare else {bare: None} if bare.isalpha() and not _repeats(bare) else {self.decode(bare): None}
+                readings[self.decode(part)] = None
+                words += [w for r in readings for w in _WORD.findall(r)]
         return words
 
 
@@ -145,35 +165,58 @@ class Reader:
         self.letters, self.keep, self.known = letters, keep, {}
 
     def _of(self, token: str) -> tuple[int, ...]:
-        if len(self.known) >= MEMORY:
-            self.known.clear()
-        own = [f for w in self.letters.restore(token) for f in features(w)]
+        return self._of_words(token, self.letters.restore(token))
+
+    def _of_words(self, key: object, words: list[str]) -> tuple[int, ...]:
+        own = [f for w in words for f in features(w)]
         if self.keep is not None:
             own = [self.keep[f] for f in own if f in self.keep]
-        found = self.known[token] = tuple(own)
+        if len(self.known) >= MEMORY:
+            self.known.clear()
+        found = self.known[key] = tuple(own)
+        return found
+
+    def _pair(self, a: str, b: str) -> tuple[int, ...]:
+        """Features of the word that two short tokens may be pieces of."""
+        found = self.known.get((a, b))
+        if found is None:
+            whole = a.isalpha() and b.strip(_EDGE).isalpha() and self.letters.parted(a, b)
+            found = self._of_words((a, b), [a + b.strip(_EDGE)] if whole else [])
         return found
 
     def read(self, text: str | None) -> tuple[Counter, int]:
         """How often each feature occurs in a whole text, and the number of its words."""
         hits: list[int] = []
         spaced: list[str] = []
-        get, tokens = self.known.get, (text or "").lower().split()
+        get, tokens, before = self.known.get, (text or "").lower().split(), ""
         for token in tokens:
             found = get(token)
             if found is None:
                 found = self._of(token)
             if found:
                 hits += found
-            if len(token) == 1:
+            size = len(token)
+            if size == 1:
                 spaced.append(token)
             elif spaced:
                 if len(spaced) >= 3:
-                    hits += self._of("".join(spaced))
+                    hits += self._spaced("".join(spaced))
                 spaced = []
+            if 1 < size <= SHORT:
+                if before:
+                    hits += self._pair(before, token)
+                before = token
+            else:
+                before = ""
         if len(spaced) >= 3:
-            hits += self._of("".join(spaced))
+            hits += self._spaced("".join(spaced))
         return Counter(hits), len(tokens)
 
+    def _spaced(self, letters: str) -> tuple[int, ...]:
+        """Features of the words that characters standing apart spell."""
+        found = self.known.get((letters,))
+        return self._of_words((letters,), _WORD.findall(self.letters.decode(letters, True))) if found is None else found
+
 
 def _scaled(count: np.ndarray, words: int) -> np.ndarray:
     return np.log1p(count * TYPICAL / (words + 100))
@@ -218,13 +261,17 @@ def _learn(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
+    fit_toxic: int = FIT_TOXIC, fit_clean: int = FIT_CLEAN, fit_entries: int = FIT_ENTRIES,
+) -> Model:
     """Learn from the documents that ``labels`` (``doc_id``, ``label``) marks.
 
-    At most about ``FIT_TOXIC`` and ``FIT_CLEAN`` documents are used, those whose hashed id
-    is below the share that gives so many; they bound what is broadcast and collected.
-    Letters are counted first, over all texts, labelled or not, then features by label, and the ``FEATURES`` that lean most
-    to toxic documents make the model.  Null labels are no labels; a document that is
+    At most about ``fit_toxic`` and ``fit_clean`` documents are used, those whose hashed id
+    is below the share that gives so many, and of their vectors a hashed share with about
+    ``fit_entries`` counts: these bound what is broadcast and collected.
+    Letters are counted first, over all texts, labelled or not, then features by label,
+    and the ``FEATURES`` that lean most to toxic documents make the model.  Null labels are no labels; a document that is
     marked twice is toxic if any mark says so.  With one label or none, every text scores
     by the share of toxic labels, or 0 without any.
     """
@@ -233,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     marked = marked.groupBy("id").agg(F.max("y").alias("y"))
     sizes = {r["y"]: r["count"] for r in marked.groupBy("y").count().where("y in (0, 1)").collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    share = F.when(F.col("y") == 1, min(1.0, FIT_TOXIC / max(toxic, 1))).otherwise(min(1.0, FIT_CLEAN / max(clean, 1)))
+    share = F.when(F.col("y") == 1, min(1.0, fit_toxic / max(toxic, 1))).otherwise(min(1.0, fit_clean / max(clean, 1)))
     chosen = marked.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * float(1 << 30))
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
     sample = materialize(own.join(F.broadcast(chosen), "id").select("text", "y").repartition(24), "labelled")
@@ -298,7 +345,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 ["y", "h", "at", "value"],
             )
 
-    table = sample.mapInArrow(vectors, "y int, h long, at array<int>, value array<float>").toArrow().combine_chunks()
+    stored = materialize(sample.mapInArrow(vectors, "y int, h long, at array<int>, value array<float>"), "vectors")
+    entries = stored.agg(F.sum(F.size("at"))).first()[0] or 0
+    table = stored.where(F.pmod("h", F.lit(1 << 20)) < min(1.0, fit_entries / max(entries, 1)) * (1 << 20)).toArrow().combine_chunks()
     column = lambda c: table.column(c).combine_chunks()
     place = np.empty(len(table), np.int64)  # rows in an order that does not depend on the tasks'
     place[np.argsort(column("h").to_numpy(), kind="stable")] = np.arange(len(table))
