@@ -61,15 +61,14 @@ def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     records = warc.round_trip(pages).where("kind = 'record'")
-    kind = pages.schema["page_id"].dataType
+    kind = pages.schema["page_id"].dataType.simpleString()
     revisit, named = F.col("warc_type") == "revisit", F.regexp_extract("payload_digest", "sha256:(.*)", 1)
-    page = lambda c: F.nullif(F.regexp_extract(c, "urn:x-page:([^>]*)", 1), F.lit("")).cast(kind)
     return records.select(
-        page("record_id").alias("page_id"),
+        warc.page_of("record_id", kind).alias("page_id"),
         F.when(revisit, F.col("http_length")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
         F.when(revisit, named).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
         F.col("warc_type").alias("record_type"),
-        page("refers_to").alias("refers_to"),
+        warc.page_of("refers_to", kind).alias("refers_to"),
     )
 
 

@@ -19,11 +19,12 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import sieve
@@ -40,7 +41,9 @@ FIELDS = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 
 def _clean(value: object) -> str:
-    return re.sub(r"[\x00-\x1f\x7f]+", " ", str(value if value is not None else "")).strip()
+    """A header value: control characters, and blanks at the ends, are percent-encoded."""
+    text = str(value if value is not None else "")
+    return re.sub(r"[\x00-\x1f\x7f]|^ +| +$", lambda m: quote(m[0]), text)
 
 
 def _http(length: int) -> bytes:
@@ -55,7 +58,14 @@ def encode_record(head: dict[str, str], block: bytes) -> bytes:
 
 
 def _urn(page_id: object) -> str:
-    return f"<urn:x-page:{_clean(page_id)}>"
+    """A record's name, from which ``page_of`` gives the page id back, whatever it holds."""
+    return "<urn:x-no-page>" if page_id is None else f"<urn:x-page:{quote(str(page_id), safe='', errors='surrogatepass')}>"
+
+
+def page_of(name: str, kind: str) -> Column:
+    """The page id, of a Spark type, in a column of record names; null where there is none."""
+    found = F.regexp_extract(name, "<urn:x-page:([^>]*)>", 1)
+    return F.when(F.col(name).startswith("<urn:x-page:"), F.url_decode(found)).cast(kind)
 
 
 def page_record(page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object, revisit: bool) -> bytes:
@@ -255,50 +265,74 @@ SCHEMA = (
 )
 
 
-def read_archives(spark: SparkSession, archives: list[str]) -> DataFrame:
+def _records(batches: Iterator[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``SCHEMA`` for archives and their contents."""
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary(), pa.string()]
+    names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+    rows: list[tuple] = []
+    held = 0
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    for archive, content in batches:
+        for offset, length, fields, block, reason in salvage(content):
+            if fields is None:
+                rows.append((archive, "gap", offset, length, *[None] * 8, reason))
+            else:
+                payload, told = payload_of(fields, block)
+                get = fields.get
+                rows.append((
+                    archive, "record", offset, length, get("warc-type"), get("warc-record-id"), get("warc-refers-to"),
+                    get("warc-target-uri"), get("warc-date"), get("warc-payload-digest"), told, payload, None,
+                ))
+                held += len(payload)
+            if held >= _BATCH or len(rows) >= 10_000:
+                yield batch_of(rows)
+                rows, held = [], 0
+    if rows:
+        yield batch_of(rows)
+
+
+def read_archives(spark: SparkSession, archives: str | list[str]) -> DataFrame:
     """Records (``kind`` record) and quarantined byte gaps (``kind`` gap) of archives, with
-    ``reason`` for gaps.  An archive is read by one task and held in its memory, so it
-    is below 2 GiB; no archives give no rows; an empty archive has none."""
+    ``reason`` for gaps.  ``archives`` are paths, folders or patterns.  An archive is read by
+    one task and held in its memory, so it is below 2 GiB; no archives give no rows; an
+    empty archive has none."""
     if not archives:
         return spark.createDataFrame([], SCHEMA)
     files = spark.read.format("binaryFile").load(archives).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary(), pa.string()]
-        names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
-        rows, held = [], 0
+        yield from _records((a, c.as_py() or b"") for b in batches for a, c in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+
+    return files.mapInArrow(run, SCHEMA)
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        for batch in batches:
-            for archive, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for offset, length, fields, block, reason in salvage(content.as_py() or b""):
-                    if fields is None:
-                        rows.append((archive, "gap", offset, length, *[None] * 8, reason))
-                    else:
-                        payload, told = payload_of(fields, block)
-                        get = fields.get
-                        rows.append((
-                            archive, "record", offset, length, get("warc-type"), get("warc-record-id"), get("warc-refers-to"),
-                            get("warc-target-uri"), get("warc-date"), get("warc-payload-digest"), told, payload, None,
-                        ))
-                        held += len(payload)
-                    if held >= _BATCH or len(rows) >= 10_000:
-                        yield batch_of(rows)
-                        rows, held = [], 0
-        if rows:
-            yield batch_of(rows)
+def read_manifest(manifest: DataFrame, most_tasks: int = 10_000) -> DataFrame:
+    """As ``read_archives``, for the archives that a manifest of ``write_archives`` lists:
+    the tasks open them, and the driver learns only how many there are."""
+    tasks = max(1, min(manifest.count(), most_tasks))
 
-    return files.mapInArrow(run, SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def contents() -> Iterator[tuple[str, bytes]]:
+            for batch in batches:
+                for archive in batch.column(0).to_pylist():
+                    system, path = _open(archive)
+                    with system.open_input_stream(path, compression=None) as file:
+                        yield archive, file.read()
+
+        yield from _records(contents())
+
+    return manifest.select("archive").repartition(tasks).mapInArrow(run, SCHEMA)
 
 
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write every page to archives in the shared folder and read the archives back.
 
     An empty table writes no archive and gives no rows; columns other than the three are
-    not read.
+    not read.  Null ids, and ids and URLs of any length and characters, come back as they
+    were, but for control characters and blanks at the ends of a URL, which come back
+    percent-encoded.
     """
-    spark = pages.sparkSession
-    manifest = write_archives(plan_pages(pages, page_id, url, html), fresh_path(spark, "warc"))
-    return read_archives(spark, [r["archive"] for r in manifest.select("archive").toLocalIterator()])
+    return read_manifest(write_archives(plan_pages(pages, page_id, url, html), fresh_path(pages.sparkSession, "warc")))

@@ -191,6 +191,16 @@ def test_round_trip_of_a_long_url(spark):
     assert len(got) == 3
 
 
+def test_page_ids_of_any_characters(spark, tmp_path):
+    ids = ["a>b", " edge ", "", "x\r\ny", "50%", "a+b", "日本", "<urn:x-page:1>", None]
+    rows = [(i, f"http://a/\x01{n}", f"page {n} " * 40, "extra") for n, i in enumerate(ids)] + [("copy", None, "page 1 " * 40, "extra")]
+    spark.createDataFrame(rows, "page_id string, url string, html string, digest string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in queries.op5_warc_salvage(spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys(ids, ("response", None)) | {"copy": ("revisit", " edge ")}
+    uris = {r.uri for r in warc.round_trip(spark.read.parquet(f"{tmp_path}/pages.parquet")).collect()}
+    assert "http://a/%010" in uris
+
+
 def test_salvage_a_member_whose_first_record_is_damaged():
     member = gzip.compress(b"XARC" + record(1)[4:] + record(2) + record(3))
     found = list(warc.salvage(gzip.compress(record(0)) + member + gzip.compress(record(4))))
