@@ -248,6 +248,25 @@ def test_small_tables_are_exact(spark):
     assert got == plain_nearest(rows, 5, 50)
 
 
+@pytest.mark.parametrize("share", [1.0, 0.3])
+def test_index_over_many_segments(spark, share):
+    """More vectors than are always compared, in clusters, over segments and query blocks."""
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((40, 8))
+    rows = [(i, [float(x) for x in centres[i % 40] + 0.3 * rng.standard_normal(8)]) for i in range(3000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    found = permutation_index.nearest_neighbours(table, every=50, share=share, least=16, segment=500, block=7)
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = plain_nearest(rows, 5, 50)
+    assert set(got) == set(want)
+    if share == 1:
+        assert got == want
+    else:
+        assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.95 * 5 * len(want)
+
+
 def test_few_and_no_vectors(spark):
     schema = "vec_id long, embedding array<float>, segment int, vector string"
     few = spark.createDataFrame([(0, [1.0, 0.0], 1, "x"), (1, [1.0, 1.0], 1, "x"), (2, [0.0, 2.0], 1, "x")], schema)
