@@ -294,5 +294,9 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     doc = F.col("doc").withField(text, F.col("cut"))
     if "n_chars" in docs.columns:
         doc = doc.withField("n_chars", F.length("cut").cast(docs.schema["n_chars"].dataType))
-    shuffled = out.select("shard", "rank", doc.alias("doc")).repartitionByRange("shard", "rank").sortWithinPartitions("shard", "rank")
-    return shuffled.select("doc.*")
+    # ranks are hashes, so their ranges are known and nothing is sampled
+    shards = how.get("shards", SHARDS)
+    each = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    part = F.col("shard") * each + F.least(F.floor((F.col("rank") / float(1 << 64) + 0.5) * each), F.lit(each - 1)).cast("int")
+    dealt = out.select("shard", "rank", doc.alias("doc")).repartitionById(shards * each, part).sortWithinPartitions("shard", "rank")
+    return dealt.select("doc.*")

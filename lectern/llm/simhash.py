@@ -29,9 +29,10 @@ SHINGLE_WORDS = 3
 RADIUS = 2
 SEED = 42
 NEAR_WORDS, NEAR_SIMILARITY, PIECE = 5, 0.8, 28  # of near duplicates by similarity
-LANES, CUT_LANES = 16, 10  # of 64 bits: those that tell how far two texts are apart, and those cut into pieces
+LANES, CUT_LANES = 16, 9  # of 64 bits: those that tell how far two texts are apart, and those cut into pieces
+CHECK, CHECK_FAR = 16, 6  # bits of other lanes that travel with a piece, and how many may differ
 SPREAD = 3  # standard deviations of differing bits up to which a pair is worth a look at its shingles
-ALONG = 8  # neighbours in a bucket's order that a member is held against
+ALONG = 8  # neighbours in an order that a text is held against
 BLOCK = 65_536  # shingles hashed at a time: bounds memory for very long texts
 
 
@@ -195,12 +196,13 @@ def _verified(pairs: DataFrame, narrow: DataFrame, words: int, similarity: float
 
 
 def _along(rows: DataFrame, limit: int, neighbours: int) -> DataFrame:
-    """``(u, v)``: members of a bucket within ``limit`` bits and ``neighbours`` places of each
-    other, in the order of a lane that the bucket chooses.  A bucket of many rows may
-    span several tasks; a row is emitted at most ``neighbours`` times for each."""
+    """``(u, v)`` of ``(node, root, mine)`` rows: nodes of different roots within ``limit``
+    bits and ``neighbours`` places of each other in one of 32 orders, by each lane and by
+    each lane from its middle.  An order spans many tasks; a row is emitted at most
+    ``neighbours`` times for each."""
     kind = rows.schema["node"].dataType.simpleString()
-    lanes = F.col("mine")[F.pmod(F.xxhash64("variant"), F.lit(LANES)).cast("int")]
-    keyed = rows.select("variant", lanes.alias("key"), "node", "mine")
+    turned = F.transform("mine", lambda x: F.shiftleft(x, 32).bitwiseOR(F.shiftrightunsigned(x, 32)))
+    keyed = rows.select(F.posexplode(F.concat("mine", turned)).alias("order", "key"), "node", "root", "mine")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -208,18 +210,20 @@ def _along(rows: DataFrame, limit: int, neighbours: int) -> DataFrame:
             own = pa.Table.from_batches([batch])
             table = own if held is None else pa.concat_tables([held, own])
             old = 0 if held is None else len(held)
-            variant, node = table.column(0).to_numpy(), table.column(2).combine_chunks()
-            f = table.column(3).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, LANES)
+            order, node = table.column(0).to_numpy(), table.column(2).combine_chunks()
+            root = table.column(3).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            f = table.column(4).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, LANES)
             for step in range(1, min(neighbours, len(table) - 1) + 1):
                 at = np.arange(max(step, old), len(table))
-                at = at[variant[at] == variant[at - step]]
+                at = at[(order[at] == order[at - step]) & (root[at] != root[at - step])]
                 near = at[np.bitwise_count(f[at] ^ f[at - step]).sum(axis=1, dtype=np.int32) <= limit]
                 u, v = node.take(pa.array(near)), node.take(pa.array(near - step))
                 yield pa.RecordBatch.from_arrays([u, v], ["u", "v"])
             held = table.slice(max(0, len(table) - neighbours)).combine_chunks()
 
-    ordered = keyed.repartitionByRange("variant", "key", "node").sortWithinPartitions("variant", "key", "node")
-    return ordered.mapInArrow(run, f"u {kind}, v {kind}").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    ordered = keyed.repartitionByRange("order", "key", "node").sortWithinPartitions("order", "key", "node")
+    pairs = ordered.mapInArrow(run, f"u {kind}, v {kind}")
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -239,11 +243,14 @@ def similar_components(
     meet if any piece is within two bits, and all ``LANES`` together may not be farther
     apart than ``farthest``.  A candidate counts if the shingles themselves say so.
 
-    Each member of a bucket is held against its least one.  Members that no link joins to
-    it are then put in an order by bits that the bucket chooses and held against their
-    ``ALONG`` neighbours, so that near copies among many documents that share a passage
-    find each other past the strangers between them; both steps give a number of pairs
-    in proportion to the rows of the buckets, whatever their size.
+    Each member of a bucket is held against its least one, if ``CHECK`` other bits of both
+    agree enough: that spares most pairs which meet by chance.  Texts that no link joins to
+    the least one of a bucket of three or more are then put in several orders by their
+    bits and held against their ``ALONG`` neighbours in each, so that near copies among many
+    documents that share a passage find each other past the strangers between them.  Both
+    steps give a number of pairs in proportion to the rows, whatever the size of a group.
+    From about ten million distinct texts on, buckets hold strangers by chance: take longer
+    pieces there.
 
     Null, empty and blank texts have one shingle set and are linked.  Rows with a null id
     have a null component.  Repeated rows stay.  Very long texts are hashed in blocks.
@@ -270,15 +277,22 @@ def similar_components(
         marked.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), *(F.first(n).alias(n) for n in names)), "distinct"
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as asked: each row becomes many
-    tables = F.array(*(F.struct(F.lit(i << PIECE).alias("table"), p.alias("part")) for i, p in enumerate(pieces(names[:CUT_LANES]))))
-    met = least.repartition(parts, "node").select("node", F.explode(tables).alias("t")).select(
-        "node", "t.table", "t.part", F.explode(F.lit([0] + [1 << b for b in range(PIECE)]).cast("array<bigint>")).alias("mask")
-    )
-    keyed = met.select("node", F.col("table").bitwiseOR(F.col("part").bitwiseXOR(F.col("mask"))).alias("variant"))
+    per_lane = 64 // CHECK
+    check = lambda i: F.shiftrightunsigned(names[CUT_LANES + i // per_lane], CHECK * (i % per_lane)).bitwiseAND(F.lit((1 << CHECK) - 1))
+    tables = F.array(*(
+        F.struct(F.lit(i << PIECE).bitwiseOR(p).alias("part"), check(i).alias("check")) for i, p in enumerate(pieces(names[:CUT_LANES]))
+    ))
+    ball_of = F.lit([0] + [1 << b for b in range(PIECE)]).cast("array<bigint>")
+    met = least.repartition(parts, "node").select("node", F.explode(tables).alias("t")).select("node", "t.*", F.explode(ball_of).alias("mask"))
+    packed = F.shiftleft(F.col("part").bitwiseXOR(F.col("mask")), CHECK).bitwiseOR(F.col("check"))
+    variant = F.shiftright("packed", CHECK)
+    keyed = met.select("node", packed.alias("packed")).repartition(parts, variant).select("node", "packed", variant.alias("variant"))
     bucket = W.partitionBy("variant")
-    hub = keyed.withColumn("hub", F.min("node").over(bucket)).withColumn("size", F.count("*").over(bucket))
-    shared = materialize(hub.where("size > 1"), "collisions")
-    edges = shared.where("hub <> node").groupBy(F.col("node").alias("u"), F.col("hub").alias("v")).agg(F.max("size").alias("size"))
+    first = F.min(F.struct("node", "packed")).over(bucket)
+    hub = keyed.withColumn("first", first).withColumn("size", F.count("*").over(bucket)).where("size > 1 and first.node <> node")
+    differing = F.bit_count(F.col("packed").bitwiseXOR(F.col("first.packed")))
+    shared = hub.where(differing <= CHECK_FAR).select(F.col("node").alias("u"), F.col("first.node").alias("v"), "size")
+    edges = shared.groupBy("u", "v").agg(F.max("size").alias("size"))
     edges = materialize(edges, "hubs")
     prints, limit = least.select("node", F.array(*names).alias("mine")), farthest(similarity, 64 * LANES)
     left, right = (prints.select(F.col("node").alias(c), F.col("mine").alias(f"of_{c}")) for c in ("u", "v"))
@@ -286,9 +300,9 @@ def similar_components(
     tested = materialize(edges.join(left, "u").join(right, "v").where(bits <= limit).select("u", "v"), "close")
     good = _verified(tested, narrow, words, similarity)
     roots = materialize(components(good), "roots")
-    strangers = _apart(edges.where("size > 2"), roots).select(F.col("u").alias("node"), F.col("v").alias("hub"))
-    crowd = shared.where("size > 2").join(strangers, ["node", "hub"], "left_semi").select("variant", "node")
-    met = _along(materialize(crowd.join(prints, "node").select("variant", "node", "mine"), "crowd"), limit, ALONG)
+    strangers = materialize(_apart(edges.where("size > 2"), roots).select(F.col("u").alias("node")).distinct(), "strangers")
+    rooted = strangers.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    met = _along(materialize(rooted.join(prints, "node"), "crowd"), limit, ALONG)
     fresh = materialize(_apart(met, roots).join(tested, ["u", "v"], "left_anti"), "fresh")
     roots = components(good.unionByName(_verified(fresh, narrow, words, similarity)))
     rooted = least.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
