@@ -36,8 +36,11 @@ WINDOW = 16  # a power of two
 SHORTEST, MEAN, LONGEST = 12, 32, 256  # bytes: least, expected beyond the least, most
 LEAST_WORDS = 51
 BLOCK = 1 << 20  # characters encoded at a time
+W_BYTES = 24  # bytes of a word, to bound what is read around a short run
 REACH, REACH_WORDS = 64, 16  # bytes that a passage may reach beyond the chunks around a run, and words there
 _OUT = 100_000  # rows given back to Spark at a time
+_SPAN = 4 << 20  # bytes of a text whose windows are hashed at a time
+_BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 # bits of the numbers that one long holds for a chunk: its bytes and words, those of the two chunks before, those of the next
@@ -177,9 +180,13 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(known, "digest")
 
 
-def _runs(chunks: DataFrame) -> DataFrame:
+def _runs(chunks: DataFrame, least_words: int) -> DataFrame:
     """Runs of chunks that repeat at one distance in one other row, and are all first
-    occurrences or none; ``stretch`` numbers the unbroken stretches of runs of a row."""
+    occurrences or none; ``stretch`` numbers the unbroken stretches of runs of a row.
+
+    ``sure`` are runs of ``least_words`` words in one other row, and what stands between two
+    of them that repeat at the same distance in the same row.
+    """
     end = F.col("start") + F.col("length")
     by_place = W.partitionBy("row_no").orderBy("start")
     elsewhere = F.when(F.col("first.row_no") != F.col("row_no"), F.col("first")).otherwise(F.col("last"))
@@ -205,32 +212,39 @@ def _runs(chunks: DataFrame) -> DataFrame:
     )
     whole = W.partitionBy("row_no", "stretch")
     first, final = (lambda c: F.min(F.struct("start", c)).over(whole)[c]), (lambda c: F.max(F.struct("start", c)).over(whole)[c])
+    around = W_BYTES * least_words
+    alone = (F.col("with") != F.col("row_no")) & (F.col("words") > least_words)  # the last word of a run may be cut
+    runs = runs.withColumn("sure", alone).withColumn("to", F.when(alone, F.struct("with", "shift")))
+    ordered = whole.orderBy("start")
+    before = F.last("to", ignorenulls=True).over(ordered.rowsBetween(W.unboundedPreceding, -1))
+    backward = whole.orderBy(F.desc("start"))  # a frame that only grows, in either direction
+    after = F.last("to", ignorenulls=True).over(backward.rowsBetween(W.unboundedPreceding, -1))
+    runs = runs.withColumn("sure", F.col("sure") | F.coalesce(before == after, F.lit(False))).drop("to")
     return runs.withColumns({
-        "low": F.greatest(F.lit(0), F.min("start").over(whole) - first("lead") - REACH),
-        "high": F.max("end").over(whole) + final("trail") + REACH,
+        "low": F.greatest(F.lit(0), F.min("start").over(whole) - first("lead") - REACH, F.col("start") - around),
+        "high": F.least(F.max("end").over(whole) + final("trail") + REACH, F.col("end") + around),
         "room": F.sum("words").over(whole) + first("lead_words") + final("trail_words") + REACH_WORDS,
     }).drop("lead", "lead_words", "trail", "trail_words")
 
 
-def _windows(found: list[tuple[int, int]], start: int, end: int, least_words: int) -> Iterator[tuple[int, int]]:
-    """Windows of so many words that hold at least half of those begun in a run."""
-    begins = np.array([a for a, _ in found])
-    a, b = int(np.searchsorted(begins, start)), int(np.searchsorted(begins, end))
-    need = max(1, min(b - a, least_words) // 2)
-    for i in range(max(0, a + need - least_words), min(len(found) - least_words, b - need) + 1):
-        yield i, i + least_words
-
-
-def _word_spans(data: bytes, low: int, high: int) -> list[tuple[int, int]]:
-    """Begin and end of the whole words of ``data`` between two places."""
-    own = ~_SPACE[np.frombuffer(data, np.uint8, min(high, len(data)) - low, low)] if min(high, len(data)) > low else np.zeros(0, bool)
+def _windows(data: bytes, low: int, high: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of the whole words of ``data`` between two places, and a hash of the
+    ``count`` words from each on: differences of one running sum of the words' hashes, each
+    times a power of an odd number."""
+    high = min(high, len(data))
+    own = ~_SPACE[np.frombuffer(data, np.uint8, high - low, low)] if high > low else np.zeros(0, bool)
     edge = np.diff(np.concatenate([[0], own.view(np.int8), [0]]))
-    spans = list(zip((np.nonzero(edge == 1)[0] + low).tolist(), (np.nonzero(edge == -1)[0] + low).tolist(), strict=True))
-    if spans and spans[0][0] > 0 and not _SPACE[data[spans[0][0] - 1]]:
-        spans = spans[1:]
-    if spans and spans[-1][1] < len(data) and not _SPACE[data[spans[-1][1]]]:
-        spans = spans[:-1]
-    return spans
+    begins, ends = np.nonzero(edge == 1)[0] + low, np.nonzero(edge == -1)[0] + low
+    if len(begins) and begins[0] > 0 and not _SPACE[data[begins[0] - 1]]:
+        begins, ends = begins[1:], ends[1:]
+    if len(begins) and ends[-1] < len(data) and not _SPACE[data[ends[-1]]]:
+        begins, ends = begins[:-1], ends[:-1]
+    view = memoryview(data)
+    words = np.fromiter((xxhash.xxh3_64_intdigest(view[x:y]) for x, y in zip(begins.tolist(), ends.tolist(), strict=True)), np.uint64, len(begins))
+    powers = lambda x: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(0, len(words) - 1), x)]))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(np.uint64(_BASE))[: len(words)], dtype=np.uint64)])
+    hashes = (sums[count:] - sums[:-count]) * powers(np.uint64(pow(_BASE, -1, 1 << 64)))[: max(0, len(words) - count + 1)] if len(words) >= count else sums[:0]
+    return begins, ends, hashes.view(np.int64)
 
 
 def _verified(docs: DataFrame, seeds: DataFrame, doc_id: str, text: str, least_words: int, within: bool) -> DataFrame:
@@ -245,24 +259,40 @@ def _verified(docs: DataFrame, seeds: DataFrame, doc_id: str, text: str, least_w
     narrow = _numbered(docs, doc_id, text).select("row_no", "text")
     maybe = sieve.mark(narrow, sieve.build(asked, F.col("row_no")), F.col("row_no"), "maybe").where("maybe").drop("maybe")
 
+    def of_text(row: int, data: bytes, runs: list[dict]) -> Iterator[pa.RecordBatch]:
+        """Windows that hold at least half of the words begun in a run."""
+        runs = sorted(runs, key=lambda r: r["low"])
+        at = 0
+        while at < len(runs):
+            stop = at + 1
+            while stop < len(runs) and runs[stop]["high"] - runs[at]["low"] <= _SPAN:
+                stop += 1
+            part = runs[at:stop]
+            begins, ends, hashes = _windows(data, part[0]["low"], max(r["high"] for r in part), least_words)
+            field = lambda c: np.array([r[c] for r in part], np.int64)
+            a, b = np.searchsorted(begins, field("start")), np.searchsorted(begins, field("end"))
+            need = np.maximum(1, np.minimum(b - a, least_words) // 2)
+            first = np.maximum(np.searchsorted(begins, field("low")), a + need - least_words)
+            last = np.minimum(np.searchsorted(ends, field("high"), "right") - least_words, b - need)
+            size = np.maximum(0, last - first + 1)
+            own = np.repeat(np.arange(len(part)), size)
+            index = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            for i in range(0, len(own), _OUT):
+                some = own[i : i + _OUT]
+                columns = (np.full(len(some), row), field("run")[some], hashes[index[i : i + _OUT]])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row_no", "run", "window"])
+            at = stop
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int]] = []
-        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["row_no", "run", "window"])
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             for row, value, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                data, spans, at = value.as_py().encode("utf-8", "surrogatepass"), [], None
-                for own in sorted(runs.as_py(), key=lambda r: (r["low"], r["start"])):
-                    if at != (own["low"], own["high"]):
-                        at = own["low"], own["high"]
-                        spans = _word_spans(data, *at)
-                    for a, b in _windows(spans, own["start"], own["end"], least_words):
-                        words = b" ".join(data[x:y] for x, y in spans[a:b])
-                        out.append((row, own["run"], xxhash.xxh3_64_intdigest(words) - (1 << 63)))
-                if len(out) >= _OUT:
-                    yield batch_of()
-                    out.clear()
-        if out:
-            yield batch_of()
+                held += of_text(row, value.as_py().encode("utf-8", "surrogatepass"), runs.as_py())
+                if sum(b.num_rows for b in held) >= _OUT:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held = []
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     windows = materialize(maybe.join(asked, "row_no").mapInArrow(run, "row_no long, run long, window long"), "windows")
     place = F.struct("row_no", "run") if within else F.struct("row_no")
@@ -273,10 +303,9 @@ def _verified(docs: DataFrame, seeds: DataFrame, doc_id: str, text: str, least_w
 
 def repeated_runs(docs: DataFrame, doc_id: str, text: str, least_words: int, within: bool) -> DataFrame:
     """The runs that are, or lie in, a repeated passage of at least ``least_words`` words."""
-    runs = materialize(_runs(repeated_chunks(docs, doc_id, text, within)).where(F.col("room") >= least_words), "runs")
-    sure = (F.col("with") != F.col("row_no")) & (F.col("words") > least_words)  # the last word of a run may be cut
-    good = materialize(_verified(docs, runs.where(~sure), doc_id, text, least_words, within), "verified")
-    return runs.where(sure).unionByName(runs.where(~sure).join(good, ["row_no", "run"], "left_semi"))
+    runs = materialize(_runs(repeated_chunks(docs, doc_id, text, within), least_words).where(F.col("room") >= least_words), "runs")
+    good = materialize(_verified(docs, runs.where("not sure"), doc_id, text, least_words, within), "verified")
+    return runs.where("sure").unionByName(runs.where("not sure").join(good, ["row_no", "run"], "left_semi"))
 
 
 def repeated_passages(

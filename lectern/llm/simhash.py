@@ -288,11 +288,11 @@ def similar_components(
     variant = F.shiftright("packed", CHECK)
     keyed = met.select("node", packed.alias("packed")).repartition(parts, variant).select("node", "packed", variant.alias("variant"))
     bucket = W.partitionBy("variant")
-    first = F.min(F.struct("node", "packed")).over(bucket)
-    hub = keyed.withColumn("first", first).withColumn("size", F.count("*").over(bucket)).where("size > 1 and first.node <> node")
+    shared = keyed.withColumn("size", F.count("*").over(bucket)).where("size > 1")  # most rows go before the least is looked for
+    hub = shared.withColumn("first", F.min(F.struct("node", "packed")).over(bucket)).where("first.node <> node")
     differing = F.bit_count(F.col("packed").bitwiseXOR(F.col("first.packed")))
-    shared = hub.where(differing <= CHECK_FAR).select(F.col("node").alias("u"), F.col("first.node").alias("v"), "size")
-    edges = shared.groupBy("u", "v").agg(F.max("size").alias("size"))
+    met = hub.where(differing <= CHECK_FAR).select(F.col("node").alias("u"), F.col("first.node").alias("v"), "size")
+    edges = met.groupBy("u", "v").agg(F.max("size").alias("size"))
     edges = materialize(edges, "hubs")
     prints, limit = least.select("node", F.array(*names).alias("mine")), farthest(similarity, 64 * LANES)
     left, right = (prints.select(F.col("node").alias(c), F.col("mine").alias(f"of_{c}")) for c in ("u", "v"))
