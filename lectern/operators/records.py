@@ -67,27 +67,25 @@ def merge_aliases(rows: DataFrame, key: str, contexts: str, order: Column) -> Da
     other names become ``aliases``."""
     ordered = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("name"))))
     return rows.groupBy(key).agg(ordered.alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(contexts)))).alias(contexts)).select(
-        key, F.col("n")[0]["name"].alias("name"), F.transform(F.slice("n", 2, 1_000_000), lambda x: x["name"]).alias("aliases"), contexts
+        key, F.col("n")[0]["name"].alias("name"), F.transform(F.slice("n", 2, F.size("n")), lambda x: x["name"]).alias("aliases"), contexts
     )
 
 
 def resolve_tokens(documents: DataFrame, targets: DataFrame, key: str, text: str, kinds: str = "canvas-[a-z]+") -> DataFrame:
     """``documents`` with link tokens ``(kind:id)`` in ``text`` replaced by ``(target)`` where
-    ``targets`` (kind, id, target) knows one.  A document is split at its tokens once."""
-    rows = documents.withColumn("__row", F.monotonically_increasing_id())
-    rows = materialize(rows, "documents")
-    pattern = rf"\(({kinds}):([^)\s]+)\)"
-    pieces = F.split(F.regexp_replace(text, pattern, "\u0001($1:$2\u0001"), "\u0001")
-    parts = rows.select("__row", F.posexplode(pieces).alias("__at", "__piece"))
-    token = F.col("__piece").rlike(rf"^\((?:{kinds}):")
-    parts = parts.withColumns({
-        "kind": F.when(token, F.regexp_extract("__piece", rf"^\(({kinds}):", 1)), "id": F.when(token, F.regexp_extract("__piece", r":(.*)$", 1)),
-    }).join(targets.select("kind", "id", "target"), ["kind", "id"], "left")
-    piece = F.when(F.col("kind").isNull(), F.col("__piece")).otherwise(
-        F.concat(F.coalesce(F.concat(F.lit("("), F.col("target")), F.col("__piece")), F.lit(")"))
-    )
-    joined = parts.groupBy("__row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__at", piece.alias("p")))), lambda x: x["p"]), "").alias("__text"))
-    return rows.join(joined, "__row").withColumn(text, F.col("__text")).drop("__row", "__text")
+    ``targets`` (kind, id, target) knows one.  A text is cut before each of its tokens once;
+    texts without tokens, and null ones, stay as they are."""
+    rows = materialize(documents.withColumn("__row", F.monotonically_increasing_id()), "documents")
+    token = rf"\(({kinds}):([^)\s]+)\)"
+    parts = rows.where(F.col(text).rlike(token)).select("__row", F.posexplode(F.split(text, rf"(?={token})")).alias("__at", "__piece"))
+    own = lambda n: F.regexp_extract("__piece", f"^{token}", n)
+    named = parts.withColumns({"kind": own(1), "id": own(2), "__size": F.length(own(0))})
+    known = named.join(targets.select("kind", "id", "target"), ["kind", "id"], "left")
+    rest = F.expr("substring(__piece, __size + 1)")
+    piece = F.when(F.col("target").isNull(), F.col("__piece")).otherwise(F.concat(F.lit("("), "target", F.lit(")"), rest))
+    pieces = F.sort_array(F.collect_list(F.struct("__at", piece.alias("p"))))
+    joined = known.groupBy("__row").agg(F.array_join(F.transform(pieces, lambda x: x["p"]), "").alias("__text"))
+    return rows.join(joined, "__row", "left").withColumn(text, F.coalesce("__text", text)).drop("__row", "__text")
 
 
 def by_locator(citations: DataFrame, sections: DataFrame) -> DataFrame:

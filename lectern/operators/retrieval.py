@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions.text import tokens
+from lectern.functions.text import query_terms, tokens
+from lectern.storage import materialize
 
 K1, B = 1.2, 0.75
 TITLE_WEIGHT = 3.0
@@ -35,14 +36,20 @@ def term_counts(docs: DataFrame, key: Sequence[str], terms: Sequence[str], title
     """``key..., size, weights array<double>, held array<boolean>`` per document.
 
     ``weights`` is the fielded frequency of each term: the text counts once, the title
-    ``TITLE_WEIGHT`` times.  With ``prefix`` a term is the beginning of a word.
+    ``TITLE_WEIGHT`` times.  With ``prefix`` a term is the beginning of a word.  The rows
+    are written, so statistics and scores read numbers and no text.
     """
     def count(words: Column, term: str) -> Column:
         return F.size(F.filter(words, lambda w: w.startswith(term))) if prefix else occurrences(words, term)
 
-    body = docs.select(*key, tokens(F.col(text)).alias("__text"), (tokens(F.col(title)) if title else F.array().cast("array<string>")).alias("__title"))
-    weights = F.array(*((count(F.col("__text"), t) + TITLE_WEIGHT * count(F.col("__title"), t)).cast("double") for t in terms))
-    return body.select(*key, (F.size("__text") + F.size("__title")).alias("size"), weights.alias("weights"))
+    def counted(own: Column) -> Column:
+        weights = ((count(own["text"], t) + TITLE_WEIGHT * count(own["title"], t)).cast("double") for t in terms)
+        return F.struct((F.size(own["text"]) + F.size(own["title"])).alias("size"), F.array(*weights).alias("weights"))
+
+    head = tokens(F.col(title)) if title else F.array().cast("array<string>")
+    words = F.array(F.struct(tokens(F.col(text)).alias("text"), head.alias("title")))  # bound once: each text is cut into words once
+    narrow = docs.select(*key, F.transform(words, counted)[0].alias("__counts")).select(*key, "__counts.*")
+    return materialize(narrow, "counts")
 
 
 def corpus_statistics(counted: DataFrame, terms: int) -> DataFrame:
@@ -108,6 +115,39 @@ def search(
     )
 
 
+MOST_ALTERNATES, MOST_CHARACTERS = 4, 512
+
+
+def bounded_queries(query: str, alternates: Sequence[str] = (), limit: int = 1) -> list[list[str]]:
+    """Term lists of a query and its alternates for ``search``.
+
+    At most ``MOST_ALTERNATES`` alternates, each not blank and of at most
+    ``MOST_CHARACTERS`` characters, are allowed.  Queries with the same terms in any order
+    and case are one; a limit of zero or less asks for nothing.
+    """
+    if len(alternates) > MOST_ALTERNATES:
+        raise ValueError(f"at most {MOST_ALTERNATES} alternate queries")
+    if any(not a.strip() or len(a) > MOST_CHARACTERS for a in alternates):
+        raise ValueError(f"alternate queries have 1 to {MOST_CHARACTERS} characters")
+    if limit <= 0:
+        return []
+    found = (query_terms(q) for q in (query, *alternates))
+    return list({tuple(sorted(t.casefold() for t in terms)): terms for terms in reversed([f for f in found if f])}.values())[::-1]
+
+
+def recheck(hits: DataFrame, current: DataFrame, key: str, terms: Sequence[str], text: str = "text") -> DataFrame:
+    """``hits`` (``key, digest, complete``) held against the ``current`` texts before they are
+    ranked: a hit whose text is as it was stays, one that changed is counted anew and may
+    become partial, and one without any of the terms, or without a text, goes."""
+    now = current.select(key, F.sha2(F.coalesce(text, F.lit("")), 256).alias("__now"), tokens(F.col(text)).alias("__words"))
+    joined = hits.join(now, key)
+    held = F.size(F.filter(F.array(*(occurrences(F.col("__words"), t) for t in terms)), lambda n: n > 0))
+    same = F.col("digest") == F.col("__now")
+    checked = joined.withColumn("__held", F.when(same, F.lit(len(terms))).otherwise(held)).where("__held > 0")
+    complete = F.when(same, F.col("complete")).otherwise(F.col("__held") == len(terms))
+    return checked.withColumn("complete", complete).drop("__now", "__words", "__held")
+
+
 def capped(hits: DataFrame, group: str, order: Sequence[Column], most: int) -> DataFrame:
     """At most ``most`` hits of each group, best first."""
     return hits.withColumn("__place", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("__place") <= most).drop("__place")

@@ -40,7 +40,7 @@ def duplicate_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sections.sections(_docs(spark, sf_dir), "doc_id")
-    return rows.select("doc_id", "sec_no", F.posexplode(sections.packed(F.col("text"))).alias("chunk_no", "chunk"))
+    return rows.select("doc_id", "sec_no", F.posexplode(sections.packed(F.col("text"), F.col("heading"), F.col("level"))).alias("chunk_no", "chunk"))
 
 
 def doc_page_slice(spark: SparkSession, sf_dir: str) -> DataFrame:

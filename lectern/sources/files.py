@@ -51,13 +51,20 @@ def markdown_files(spark: SparkSession, root: str, skipped: tuple[str, ...] = ()
 
 
 def front_matter(text: Column) -> tuple[Column, Column]:
-    """Front matter as a map, and the body.  Quoted values are unquoted; null without any."""
+    """Front matter as a map, and the body.  Quoted values are read as JSON strings; of a
+    repeated key the first counts; the map is null without front matter."""
     head = F.regexp_extract(text, r"^---\n([\s\S]*?)\n---\n?", 1)
     entries = F.filter(F.split(head, "\n"), lambda line: line.rlike(r"^[A-Za-z_][\w-]*:\s?"))
-    pairs = F.transform(entries, lambda line: F.struct(
-        F.regexp_extract(line, r"^([^:]+):", 1), F.regexp_replace(F.regexp_extract(line, r"^[^:]+:\s*(.*)$", 1), r'^"(.*)"$', "$1")
-    ))
-    return F.when(head != "", F.map_from_entries(pairs)), F.regexp_replace(text, r"^---\n[\s\S]*?\n---\n?", "")
+    name = lambda line: F.regexp_extract(line, r"^([^:]+):", 1)
+
+    def value(line: Column) -> Column:
+        raw = F.regexp_extract(line, r"^[^:]+:\s*(.*)$", 1)
+        quoted = F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v")
+        return F.when(raw.rlike(r'^".*"$'), F.coalesce(quoted, F.regexp_replace(raw, r'^"(.*)"$', "$1"))).otherwise(raw)
+
+    names = F.array_distinct(F.transform(entries, name))
+    first = F.transform(names, lambda k: F.struct(k, value(F.filter(entries, lambda line: name(line) == k)[0])))
+    return F.when(head != "", F.map_from_entries(first)), F.regexp_replace(text, r"^---\n[\s\S]*?\n---\n?", "")
 
 
 def emit_front_matter(meta: Column) -> Column:
