@@ -48,7 +48,7 @@ _SPLIT = re.compile(r"[-'’._/~]+")
 _TRIPLE = re.compile(r"(.)\1\1")
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _TWIN = re.compile(f"[{''.join(TWINS)}]")
-_EDGE = ".,;:?\"'()[]{}<>%&"
+_EDGE = ".,;:?\"'()[]{}<>*#%&"
 _SIGNS = "".join(c for c in LOOKALIKES if not c.isalnum())
 _AMOUNT = re.compile(r"[$€£#]?\d[\d.,:]*")
 
@@ -162,26 +162,35 @@ class Reader:
     """Feature numbers of texts.  ``keep`` maps buckets to the model's features, if any."""
 
     def __init__(self, letters: Letters, keep: dict[int, int] | None = None) -> None:
-        self.letters, self.keep, self.known = letters, keep, {}
+        self.letters, self.keep, self.known, self.pairs, self.joins = letters, keep, {}, {}, {}
 
     def _of(self, token: str) -> tuple[int, ...]:
         return self._of_words(token, self.letters.restore(token))
 
-    def _of_words(self, key: object, words: list[str]) -> tuple[int, ...]:
+    def _features(self, words: list[str]) -> tuple[int, ...]:
         own = [f for w in words for f in features(w)]
-        if self.keep is not None:
-            own = [self.keep[f] for f in own if f in self.keep]
+        return tuple(own if self.keep is None else [self.keep[f] for f in own if f in self.keep])
+
+    def _of_words(self, key: object, words: list[str]) -> tuple[int, ...]:
         if len(self.known) >= MEMORY:
             self.known.clear()
-        found = self.known[key] = tuple(own)
+        found = self.known[key] = self._features(words)
         return found
 
     def _pair(self, a: str, b: str) -> tuple[int, ...]:
-        """Features of the word that two short tokens may be pieces of."""
-        found = self.known.get((a, b))
+        """Features of the word that two short tokens may be pieces of; whether they may be
+        depends on the letters at the space alone."""
+        joins = self.joins.get(a[-1] + b[0])
+        if joins is None:
+            joins = self.joins[a[-1] + b[0]] = self.letters.parted(a, b)
+        if not joins:
+            return ()
+        found = self.pairs.get((a, b))
         if found is None:
-            whole = a.isalpha() and b.strip(_EDGE).isalpha() and self.letters.parted(a, b)
-            found = self._of_words((a, b), [a + b.strip(_EDGE)] if whole else [])
+            rest = b.strip(_EDGE)
+            if len(self.pairs) >= MEMORY:
+                self.pairs.clear()
+            found = self.pairs[a, b] = self._features([a + rest] if a.isalpha() and rest.isalpha() else [])
         return found
 
     def read(self, text: str | None) -> tuple[Counter, int]:
