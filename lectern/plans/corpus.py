@@ -92,10 +92,13 @@ def quote_evidence_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_evidence_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents from their own first lines: every document cites its first 40 characters."""
+    """Citations of 40 characters from the middle of each document, in every third with a
+    letter added, which its text does not hold."""
     docs = _docs(spark, sf_dir)
-    quotes = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("quote"))
-    found = practice.validate_quotes(quotes, docs, "quote", "text", "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    inside = F.substring(text, F.floor(F.length(text) / 2).cast("int") + 1, F.lit(40))
+    quote = F.when(F.col("doc_id") % 3 == 0, F.concat(inside, F.lit("#"))).otherwise(inside)
+    found = practice.validate_quotes(docs.select("doc_id", quote.alias("quote")), docs, "quote", "text", "doc_id")
     return found.select("doc_id", F.col("error").isNull().alias("valid"))
 
 
@@ -233,8 +236,12 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
 WITH c AS (SELECT item_id AS citation, item_id AS doc_id, text AS quote FROM benchmark UNION SELECT item_id, item_id * 2, text FROM benchmark)
 SELECT citation, c.doc_id, CASE WHEN d.text IS NULL THEN 'missing_source' WHEN NOT contains({_PLAIN.replace('X', 'd.text')}, {_PLAIN.replace('X', 'quote')})
        THEN 'quote_mismatch' END AS error FROM c LEFT JOIN documents d ON c.doc_id = d.doc_id""",
-    "quote_evidence_valid": rf"""
-SELECT doc_id, text IS NOT NULL AND length(regexp_replace(lower(substr(coalesce(text, ''), 1, 40)), '[^\p{{L}}\p{{N}}]', '', 'g')) >= 2 AS valid FROM documents""",
+    "quote_evidence_valid": r"""
+WITH d AS (SELECT doc_id, text IS NOT NULL AS known, coalesce(text, '') AS t FROM documents),
+q AS (SELECT doc_id, known, t, substr(t, (length(t) // 2) + 1, 40) || CASE WHEN doc_id % 3 = 0 THEN '#' ELSE '' END AS quote FROM d),
+f AS (SELECT doc_id, known, lower(trim(regexp_replace(regexp_replace(t, '\*\*|__|`', '', 'g'), '\s+', ' ', 'g'))) AS t,
+             lower(trim(regexp_replace(regexp_replace(quote, '\*\*|__|`', '', 'g'), '\s+', ' ', 'g'))) AS quote FROM q)
+SELECT doc_id, known AND length(regexp_replace(quote, '[^\p{L}\p{N}]', '', 'g')) >= 2 AND contains(t, quote) AS valid FROM f""",
     "evidence_recheck": "SELECT doc_id, CASE WHEN lang = 'de' THEN 'changed_source' ELSE 'current' END AS state FROM documents",
     "source_admission": """
 SELECT d.doc_id, CASE WHEN source IS NULL OR contains(source, '..') THEN 'invalid_path' WHEN coalesce(length(text), 0) = 0 THEN 'missing_source'

@@ -128,16 +128,27 @@ def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many benchmark passages the documents hold word for word, and in how many each.
 
-    A passage is looked up by its first five words, so only documents that share them are
-    compared; shingles meet in one shuffle.
+    The words of a passage between its first and last stand alone in a document that holds
+    it.  Passages are looked up by the hash of up to five of those, so only documents that
+    share them are compared; a passage of one or two words is compared with all.
     """
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    wanted = items.select("item_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("passage"), F.concat_ws(" ", F.slice(words("text"), 1, 5)).alias("start"))
-    flat = docs.select("doc_id", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")).alias("flat")).withColumn("w", F.split("flat", " "))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, 5))))
-    starts = flat.select("doc_id", F.explode(grams).alias("start")).join(wanted.select("start").distinct(), "start", "left_semi")
-    pairs = starts.join(wanted, "start").join(flat.select("doc_id", "flat"), "doc_id").where(F.contains("flat", "passage"))
+    flat_of = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    key = lambda own: F.xxhash64(F.concat_ws(" ", own))
+    passages = items.where("text is not null").select("item_id", flat_of(F.col("text")).alias("passage")).withColumn("w", F.split("passage", " "))
+    size = F.greatest(F.least(F.size("w") - 2, F.lit(5)), F.lit(0))
+    wanted = passages.select("item_id", "passage", size.alias("size"), key(F.slice("w", 2, size)).alias("start"))
+    sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())  # 0 to 5
+    flat = docs.select("doc_id", flat_of(F.col("text")).alias("flat"))
+    words = flat.select("doc_id", F.split("flat", " ").alias("w"))
+    at = F.sequence(F.lit(1), F.size("w"))
+    grams_of = lambda n: F.transform(at, lambda i: F.struct(F.lit(n).alias("size"), key(F.slice("w", i, n)).alias("start")))
+    grams = [grams_of(n) for n in sizes if n]
+    whole = F.array(F.struct(F.lit(0).alias("size"), key(F.array().cast("array<string>")).alias("start")))
+    every = F.array_distinct(F.concat(*grams, *([whole] if 0 in sizes else []))) if sizes else whole
+    starts = words.select("doc_id", F.explode(every).alias("g")).select("doc_id", "g.*")
+    met = starts.join(wanted.select("size", "start", "item_id"), ["size", "start"]).select("doc_id", "item_id")
+    pairs = met.join(wanted.select("item_id", "passage"), "item_id").join(flat, "doc_id").where(F.contains("flat", "passage"))
     found = pairs.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
     return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first_doc")
 
@@ -222,6 +233,9 @@ WITH flat AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ',
 item AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS passage FROM benchmark)
 SELECT item_id, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_doc
 FROM item LEFT JOIN flat ON contains(flat, passage) GROUP BY item_id""",
+    "search_snippet": _scored_sql(_PLAIN, [TERMS]) + """
+, found AS (SELECT doc_id, words, list_min(list_filter([list_position(words, 'anstou'), list_position(words, 'thinghe'), list_position(words, 'thntwh')], lambda p: p > 0)) AS nth FROM tok)
+SELECT doc_id, array_to_string(words[greatest(nth - 24, 1):greatest(nth - 24, 1) + 47], ' ') AS snippet FROM found WHERE nth IS NOT NULL""",
     "section_neighbors": r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                       generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents)
