@@ -256,7 +256,7 @@ def _verified(docs: DataFrame, seeds: DataFrame, doc_id: str, text: str, least_w
     )
     both = mine.unionByName(there.withColumn("run", F.lit(-1).cast("long")))
     asked = materialize(both.groupBy("row_no").agg(F.collect_list(F.struct("run", "start", "end", "low", "high")).alias("runs")), "seeds")
-    narrow = _numbered(docs, doc_id, text).select("row_no", "text")
+    narrow = _numbered(docs, doc_id, text)  # all columns of the first reading, so the rows come in the same order
     maybe = sieve.mark(narrow, sieve.build(asked, F.col("row_no")), F.col("row_no"), "maybe").where("maybe").drop("maybe")
 
     def of_text(row: int, data: bytes, runs: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +294,7 @@ def _verified(docs: DataFrame, seeds: DataFrame, doc_id: str, text: str, least_w
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    windows = materialize(maybe.join(asked, "row_no").mapInArrow(run, "row_no long, run long, window long"), "windows")
+    windows = materialize(maybe.join(asked, "row_no").select("row_no", "text", "runs", "doc_id").mapInArrow(run, "row_no long, run long, window long"), "windows")
     place = F.struct("row_no", "run") if within else F.struct("row_no")
     counted = windows.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b"))
     shared = materialize(counted.where("a <> b").select("window"), "shared")
@@ -337,6 +337,7 @@ def cut_repeated(
 ) -> DataFrame:
     """``docs`` with all but the first occurrence of the chunks of repeated passages cut
     from ``text``: what is cut stays in the row where it occurs first."""
+    docs = materialize(docs, "uncut")  # its rows are numbered in several readings
     gone = repeated_runs(docs, doc_id, text, least_words, within).where("not own")
     spans = materialize(gone.groupBy("row_no").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), "cuts")
 

@@ -286,7 +286,7 @@ def similar_components(
     met = least.repartition(parts, "node").select("node", F.explode(tables).alias("t")).select("node", "t.*", F.explode(ball_of).alias("mask"))
     packed = F.shiftleft(F.col("part").bitwiseXOR(F.col("mask")), CHECK).bitwiseOR(F.col("check"))
     variant = F.shiftright("packed", CHECK)
-    keyed = met.select("node", packed.alias("packed")).repartition(parts, variant).select("node", "packed", variant.alias("variant"))
+    keyed = met.select("node", packed.alias("packed")).repartition(4 * parts, variant).select("node", "packed", variant.alias("variant"))
     bucket = W.partitionBy("variant")
     shared = keyed.withColumn("size", F.count("*").over(bucket)).where("size > 1")  # most rows go before the least is looked for
     hub = shared.withColumn("first", F.min(F.struct("node", "packed")).over(bucket)).where("first.node <> node")

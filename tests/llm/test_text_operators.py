@@ -29,6 +29,26 @@ def test_exact_duplicates_match_grouping(spark, odd):
     assert Counter(digest[r.text_sha256] for r in got if r.kept) == Counter(dict.fromkeys(size, 1))
 
 
+def test_rows_found_unique_never_enter_the_grouping(spark):
+    """With a prefix level that lets nothing through, equal texts stay apart: the levels decide."""
+    docs = spark.createDataFrame([(1, "same text"), (2, "same text"), (3, "other")], "doc_id long, text string")
+    assert {r.doc_id: r.group_size for r in exact_dedup.exact_duplicates(docs, digest_all=True).collect()} == {1: 2, 2: 2, 3: 1}
+    real = exact_dedup.surviving_prefixes
+    exact_dedup.surviving_prefixes = lambda d, t="text": real(d, t).where("false")
+    try:
+        assert all(r.group_size == 1 and r.text_sha256 for r in exact_dedup.exact_duplicates(docs, digest_all=True).collect())
+    finally:
+        exact_dedup.surviving_prefixes = real
+
+
+def test_large_groups_are_dealt_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LARGE", 3)
+    rows = [(i, f"text {i % 5 if i < 60 else i}") for i in range(100)]
+    got = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), digest_all=True).collect()
+    size, best = Counter(t for _, t in rows), {t: max(i for i, x in rows if x == t) for _, t in rows}
+    assert len(got) == 100 and all((r.group_size, r.keep_id) == (size[dict(rows)[r.doc_id]], best[dict(rows)[r.doc_id]]) for r in got)
+
+
 def test_exact_duplicates_digest_only_survivors(spark, odd):
     got = exact_dedup.exact_duplicates(odd).collect()
     assert any(r.text_sha256 is None for r in got)
@@ -100,6 +120,18 @@ def test_simhash_links_are_those_of_all_pairs(spark, radius):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_simhash_query_is_that_of_all_pairs(spark, sf):
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = sorted(rows)
+    fps = [plain_fingerprint(rows[i], 3) for i in ids]
+    root, groups = plain_components(fps, 2), defaultdict(list)
+    for i, r in zip(ids, root, strict=True):
+        groups[r].append(i)
+    want = {i: (f"{fp:016x}", min(groups[r])) for i, fp, r in zip(ids, fps, root, strict=True)}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op6_simhash_ball(spark, sf).collect()}
+    assert got == want
+
+
 def test_components_of_long_chain_and_hub(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 500)] + [(7000, 7000), (None, 5)]
     got = dict(pairs(components.components(spark.createDataFrame(edges, "u long, v long")), "node", "root"))
@@ -228,6 +260,19 @@ def test_mixing_shards_are_disjoint_draws_of_the_quotas(spark):
     assert sum(shard.values()) == 1042 and max(shard.values()) - min(shard.values()) <= 1
 
 
+def test_the_tree_deals_the_shards(spark, sf, monkeypatch):
+    """Words by shard are those of the tree's leaves, and another tree deals them anew."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    pieces = lambda: sorted((r.doc_id, tuple(sorted(map(tuple, r.pieces)))) for r in mixing.mixing_plan(docs).collect())
+    before = pieces()
+    blocks = Counter(p[0] for _, own in before for p in {(s, rank) for s, rank, *_ in own})
+    assert len(blocks) == mixing.SHARDS and max(blocks.values()) < 1.5 * min(blocks.values())
+    real = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, shards: real(q, shards).withColumn("shard", shards - 1 - F.col("shard")))
+    after = pieces()
+    assert before != after and [(i, sum(p[4] for p in own)) for i, own in before] == [(i, sum(p[4] for p in own)) for i, own in after]
+
+
 def test_hypergeometric_follows_the_distribution(spark):
     grid = spark.range(4000).select(((F.col("id") + 0.5) / 4000).alias("u"))
     cast = lambda v: F.lit(v).cast("long")
@@ -287,6 +332,69 @@ def test_repeated_passages_finds_planted_ones(spark):
     assert all(len(cut[i]) < len(texts[i]) for i in found if i >= 30) and all(cut[i] == texts[i] for i in range(30))
 
 
+def plain_repeats(texts, n):
+    """Ids of texts with a window of n words that another one holds."""
+    first, found = {}, set()
+    for i, t in enumerate(texts):
+        words = (t or "").encode().split()
+        for k in range(len(words) - n + 1):
+            j = first.setdefault(tuple(words[k : k + n]), i)
+            found |= {i, j} if i != j else set()
+    return found
+
+
+def test_blocks_leave_no_trace():
+    rng = np.random.default_rng(3)
+    text = "".join(chr(c) for c in rng.integers(97, 700, 4000)) + " " + "a" * 2000 + " x y" * 300
+    want = chunks.chunks_of(text)
+    for block in (5, 90, 1001):
+        got = chunks.chunks_of(text, block)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all() and got[2] == want[2]
+    assert want[1].sum() == len(text.encode().split())
+
+
+def test_repeated_passages_are_those_of_all_windows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    want = {rows[i].doc_id for i in plain_repeats([r.text for r in rows], chunks.LEAST_WORDS)}
+    got = chunks.repeated_passages(docs).collect()
+    assert {r.doc_id for r in got} <= want and len({r.doc_id for r in got}) >= 0.95 * len(want)
+    text = {r.doc_id: (r.text or "").encode() for r in rows}
+    for r in got:
+        assert r.copies > 1 and (r.kept or text[r.doc_id][r.start : r.start + r.length] in b"\0".join(text.values()))
+
+
+def test_repeated_passages_length(spark):
+    """Passages of 51 words count and those of 50 do not, whatever stands around them."""
+    rng = np.random.default_rng(19)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows = []
+    for i in range(60):
+        passage = text(51 if i % 2 else 50)
+        rows += [(2 * i, f"{text(40)} {passage} {text(30)}"), (2 * i + 1, f"{passage} {text(50)}" if i % 3 else f"{text(70)} {passage}")]
+    found = {r.doc_id for r in chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    long = {d for i in range(60) if i % 2 for d in (2 * i, 2 * i + 1)}
+    assert found <= long and len(found) >= 0.95 * len(long)
+
+
+def test_cut_leaves_each_passage_once(spark):
+    """Documents B, A B and A B, repeated rows and null ids: no passage is lost."""
+    rng = np.random.default_rng(23)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    a, b, c = text(120), text(120), text(150)
+    rows = [(1, b), (2, f"{a} {b}"), (3, f"{a} {b}"), (4, c), (4, c), (None, f"{text(60)} {c}"), (None, c), (5, text(90)), (6, None), (7, "")]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string"))
+    cut = chunks.cut_repeated(docs)
+    left = [r.text or "" for r in cut.collect()]
+    assert len(left) == len(rows) and cut.columns == docs.columns
+    for passage in (a, b, c):
+        core = passage[80:-80]
+        assert sum(core in t for t in left) == 1
+    assert sum(map(len, left)) < sum(len(t or "") for _, t in rows) - len(a) - len(b) - 2 * len(c)
+
+
 def test_repeated_passages_odd_rows(spark, odd, empty):
     got = chunks.repeated_passages(odd).collect()
     assert {6, 7} <= {r.doc_id for r in got} and chunks.repeated_passages(empty).count() == 0
@@ -314,6 +422,49 @@ def test_language_odd_rows(spark, odd, empty):
     assert empty.select(language.identify(spark, model, F.col("text"))).count() == 0
 
 
+def plain_language(text, counts, docs_of):
+    """Naive Bayes by definition: hashed n-grams of a text between two spaces, counts of dicts."""
+    def grams(t):
+        codes = [ord(c) for c in "  " + t.lower() + "  "]
+        for at in range(len(codes) - 2):
+            for n in language.ORDERS:
+                h = n
+                for c in codes[at : at + n]:
+                    h = (h ^ c) * 0x9E3779B1 & 0xFFFFFFFF
+                    h ^= h >> 15
+                yield h & (language.BUCKETS - 1)
+
+    if text is None:
+        return Counter(grams(counts)) if isinstance(counts, str) else None
+    found = list(grams(text))
+    total = {k: sum(c.values()) + 0.5 * language.BUCKETS for k, c in counts.items()}
+    logit = {
+        k: sum(math.log((c[g] + 0.5) / total[k]) for g in found) * min(1, language.CERTAIN_GRAMS / len(found)) + math.log(docs_of[k] / sum(docs_of.values()))
+        for k, c in counts.items()
+    }
+    best = max(logit, key=lambda k: (logit[k], k))
+    return best, 1 / sum(math.exp(v - logit[best]) for v in logit.values())
+
+
+def test_language_is_that_of_plain_counts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60 and length(text) < 3000")
+    model, rows = language.fit(docs), docs.collect()
+    counts, docs_of = defaultdict(Counter), Counter()
+    for r in rows:
+        counts[r.lang].update(plain_language(None, r.text, None))
+        docs_of[r.lang] += 1
+    pred, score = model.scores([r.text for r in rows])
+    for r, p, s in zip(rows, pred, score, strict=True):
+        want = plain_language(r.text, counts, docs_of)
+        assert p == want[0] and abs(s - want[1]) < 1e-3
+
+
+def test_more_languages_than_the_model_holds(spark):
+    rows = [(i, f"text {i}", f"l{i % 9}" if i < 90 else "rare") for i in range(93)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.fit(docs, most=4).languages == ["l0", "l1", "l2", "l3"] and "rare" in language.fit(docs).languages
+
+
 def test_language_score_does_not_depend_on_the_batch(spark, odd):
     model = language.fit(odd)
     texts = [r.text for r in odd.collect()]
@@ -335,6 +486,45 @@ def test_decoding_restores_obfuscated_words():
     assert letters.restore("hello") == ["hello"] and letters.restore("12345") == []
 
 
+def test_spaced_letters_and_surrounding_signs():
+    words = "idiot stupid trash loser clown the and hello moron such a is so ass thing".split()
+    count = Counter(p for w in words for p in (a + b for a, b in zip("^" + w, w + "$", strict=False)))
+    letters = toxicity.Letters({k: v * 50 for k, v in count.items()})
+    assert letters.decode("alosersuch", True) == "a loser such" and letters.decode("idiotloser", True) == "idiot loser"
+    assert "a" in letters.restore("a$$") and {w[:2] for w in letters.restore("a$$")} == {"a", "as"}
+    assert letters.restore("@$$")[0].startswith("as") and letters.restore("the$$$") and letters.restore("$100") == letters.restore("!!!") == []
+    assert letters.restore("x" * 60 + "1d10t" + "y" * 60) and letters.decode("1d10t" * 20) == "idiot" * 20
+
+
+def test_toxicity_is_that_of_plain_sums(spark):
+    train = [(i, f"plain words number {i} here", 0) for i in range(60)] + [(100 + i, f"you 1diot numb3r {i} s t u p i d", 1) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in train], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in train], "doc_id long, toxic int"))
+
+    def plain(text):
+        """Words token by token, without memory; runs of single letters once more as words."""
+        tokens, found, single, last = (text or "").lower().split(), [], [], ""
+        for t in [*tokens, "longer"]:
+            if len(t) == 1:
+                single.append(t)
+            else:
+                found += model.letters.decode("".join(single), True).split() if len(single) >= 3 else []
+                single = []
+            if 1 < len(t) <= toxicity.SHORT and last and last.isalpha() and t.isalpha() and model.letters.parted(last, t):
+                found.append(last + t)
+            last = t if 1 < len(t) <= toxicity.SHORT else ""
+        found += [w for t in tokens for w in model.letters.restore(t)]
+        hits = Counter(f for w in found for f in toxicity.features(w))
+        z = model.bias + sum(model.weights[model.keep[f]] * math.log1p(n * toxicity.TYPICAL / (len(tokens) + 100)) for f, n in hits.items() if f in model.keep)
+        return 1 / (1 + math.exp(-z))
+
+    texts = [t for _, t, _ in train[::7]] + ["i d i o t", "you st up id", "", None, "1d1ot$$$ plain"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", toxicity.toxicity(spark, model, F.col("t")).alias("s")).collect()
+    assert all(abs(r.s - plain(r.t)) < 1e-9 for r in got)
+    small = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in train], "doc_id long, toxic int"), fit_toxic=20, fit_clean=20, fit_entries=50)
+    assert 0 <= small.scores(["you idiot"], toxicity.Reader(small.letters, small.keep))[0] <= 1
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op10_toxicity(spark, sf)
