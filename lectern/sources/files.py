@@ -6,6 +6,7 @@ import csv
 import io
 import json
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -83,60 +84,114 @@ def notebook_cells(notebooks: DataFrame, key: str, text: str) -> DataFrame:
     return cells.select(key, "cell_no", F.col("cell.cell_type").alias("cell_type"), F.trim(source).alias("source")).where("source <> ''")
 
 
-def zip_members(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``(archive, member, size, content)`` of zip files; names that leave the archive and
-    encrypted members are left out, and an archive that is too large has no members."""
+def zip_members(spark: SparkSession, paths: str | list[str], most: int = MEMBERS, most_bytes: int = MEMBER_BYTES) -> DataFrame:
+    """``(archive, member, size, content, error)`` of zip files.
+
+    ``error`` says why there is no content: the archive is unreadable, has more than ``most``
+    members or more than ``most_bytes``; a member's name leaves the archive, it is encrypted,
+    or it is damaged.  An archive without error has null there."""
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string())
+    names = ["archive", "member", "size", "content", "error"]
+
+    def members(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            archive = zipfile.ZipFile(io.BytesIO(content))
+        except zipfile.BadZipFile:
+            yield path, None, None, None, "unreadable archive"
+            return
+        infos = [i for i in archive.infolist() if not i.is_dir()]
+        if len(infos) > most or sum(i.file_size for i in infos) > most_bytes:
+            yield path, None, None, None, "too many members" if len(infos) > most else "too large"
+            return
+        for info in infos:
+            name, data, error = info.filename.replace("\\", "/"), None, None
+            if name.startswith("/") or ".." in name.split("/"):
+                error = "leaves the archive"
+            elif info.flag_bits & 1:
+                error = "encrypted"
+            else:
+                try:
+                    data = archive.read(info)
+                except (zipfile.BadZipFile, zlib.error, NotImplementedError, EOFError):
+                    error = "damaged member"
+            yield path, name, info.file_size, data, error
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows: list[tuple[str, str, int, bytes]] = []
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
-                    continue
-                infos = [i for i in archive.infolist() if not i.is_dir()]
-                if len(infos) > MEMBERS or sum(i.file_size for i in infos) > MEMBER_BYTES:
-                    continue
-                for info in infos:
-                    name = info.filename.replace("\\", "/")
-                    if name.startswith("/") or ".." in name.split("/") or info.flag_bits & 1:
-                        continue
-                    rows.append((path, name, info.file_size, archive.read(info)))
-                    if sum(len(r[3]) for r in rows) > 8 << 20:
-                        yield _members(rows)
-                        rows = []
-                if rows:
-                    yield _members(rows)
-
-    return files.mapInArrow(run, "archive string, member string, size long, content binary")
-
-
-def _members(rows: list[tuple[str, str, int, bytes]]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["archive", "member", "size", "content"])
-
-
-def delimited_tables(files: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, row_no, cells, delimiter)`` of delimited texts; the delimiter of each is found
-    from its first lines, and at most ``SHOWN_ROWS`` rows and ``SHOWN_COLUMNS`` columns show."""
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for row in members(path, content.as_py() or b""):
+                    rows.append(row)
+                    held += len(row[3] or b"")
+                    if held > 8 << 20:
+                        yield batch_of()
+                        rows, held = [], 0
+        if rows:
+            yield batch_of()
+
+    return files.mapInArrow(run, "archive string, member string, size long, content binary, error string")
+
+
+def delimited_tables(
+    files: DataFrame, key: str, text: str, most_rows: int = SHOWN_ROWS, most_columns: int = SHOWN_COLUMNS, most_characters: int = TEXT_BYTES
+) -> DataFrame:
+    """``(key, row_no, cells, delimiter, rows, columns, cut)`` of delimited texts; the delimiter of
+    each is found from its first lines.  At most ``most_rows`` rows and ``most_columns``
+    columns show; ``rows`` and ``columns`` are how many there are, and ``cut`` says whether
+    the text was longer than ``most_characters`` and its end not read."""
     kind = files.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for own, body in zip(batch[key], batch[text], strict=True):
-                body = (body or "")[:TEXT_BYTES]
+                cut, body = len(body or "") > most_characters, (body or "")[:most_characters]
                 try:
                     mark = csv.Sniffer().sniff(body[:4096], ",\t;|").delimiter
                 except csv.Error:
                     mark = ","
-                rows = [r[:SHOWN_COLUMNS] for _, r in zip(range(SHOWN_ROWS), csv.reader(io.StringIO(body), delimiter=mark), strict=False)]
-                if not rows:
-                    continue
-                yield pd.DataFrame({key: [own] * len(rows), "row_no": range(len(rows)), "cells": rows, "delimiter": [mark] * len(rows)})
-
-    return files.select(key, text).mapInPandas(run, f"{key} {kind}, row_no int, cells array<string>, delimiter string")
+                shown, rows, columns = [], 0, 0
+                for cells in csv.reader(io.StringIO(body), delimiter=mark):
+                    rows, columns = rows + 1, max(columns, len(cells))
+                    if rows <= most_rows:
+                        shown.append(cells[:most_columns])
+                if shown:
+                    same = {"delimiter": mark, "rows": rows, "columns": columns, "cut": cut}
+                    yield pd.DataFrame({key: [own] * len(shown), "row_no": range(len(shown)), "cells": shown} | {k: [v] * len(shown) for k, v in same.items()})
+
+    return files.select(key, text).mapInPandas(run, f"{key} {kind}, row_no int, cells array<string>, delimiter string, rows long, columns int, cut boolean")
+
+
+# The language that a code file's ending is fenced with, where it is not the ending itself.
+FENCES = {"py": "python", "js": "javascript", "md": "markdown", "yml": "yaml", "txt": ""}
+
+
+def text_files(spark: SparkSession, root: str, most: int = TEXT_BYTES) -> DataFrame:
+    """``(path, language, text, cut)`` of text and code below ``root``: the first ``most``
+    characters as a fenced block, and whether there are more."""
+    endings = KINDS["text"].replace(" ", ",")
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{endings}}}").text(root, wholetext=True)
+    ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    named = F.create_map(*(F.lit(v) for pair in FENCES.items() for v in pair))
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), "value").withColumn("language", F.coalesce(F.element_at(named, ending), ending))
+    body = F.concat(F.lit("```"), "language", F.lit("\n"), F.regexp_replace(F.substring("value", 1, most), r"\s+$", ""), F.lit("\n```"))
+    return rows.select("path", "language", body.alias("text"), (F.length("value") > most).alias("cut"))
+
+
+def json_store(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The entries of JSON files, an object or array a file; a file that is no JSON gives one
+    row whose ``_corrupt_record`` holds it, if the schema names that column."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def folder_listing(entries: DataFrame, name: str = "name", is_folder: str = "is_folder") -> DataFrame:
+    """Entries of a folder in the order they are shown: folders first, then by name without
+    case; hidden ones and asset folders are left out."""
+    hidden = F.startswith(F.col(name), F.lit(".")) | (F.col(is_folder) & F.endswith(F.col(name), F.lit(".assets")))
+    return entries.where(~hidden).orderBy(~F.col(is_folder), F.lower(name), name)
 
 
 def write_if_changed(rows: DataFrame, folder: str, key: str, content: str) -> DataFrame:

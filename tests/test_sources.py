@@ -42,11 +42,29 @@ def test_notebook_zip_and_delimited(spark, tmp_path):
         z.writestr("../evil.txt", "no")
     (tmp_path / "bad.zip").write_bytes(b"no zip")
     got = files.zip_members(spark, f"file://{tmp_path}/*.zip").collect()
-    assert [(r.member, r.size, bytes(r.content)) for r in got] == [("in/x.txt", 5, b"hello")]
+    assert [(r.member, r.size, bytes(r.content)) for r in got if r.error is None] == [("in/x.txt", 5, b"hello")]
+    assert sorted((r.member or "", r.error) for r in got if r.error) == [("", "unreadable archive"), ("../evil.txt", "leaves the archive")]
+    assert [r.error for r in files.zip_members(spark, f"file://{tmp_path}/a.zip", most=1).collect()] == ["too many members"]
     tables = files.delimited_tables(spark.createDataFrame([("f", "a;b\n1;2\n"), ("e", None)], "id string, t string"), "id", "t")
     assert [(r.cells, r.delimiter) for r in tables.orderBy("row_no").collect()] == [(["a", "b"], ";"), (["1", "2"], ";")]
 
 
+def test_delimited_counts_what_it_leaves_out(spark):
+    body = "\n".join(",".join(str(c) for c in range(5)) for _ in range(10))
+    got = files.delimited_tables(spark.createDataFrame([("f", body)], "id string, t string"), "id", "t", most_rows=2, most_columns=3).collect()
+    assert [(r.row_no, r.cells, r.rows, r.columns, r.cut) for r in got] == [(i, ["0", "1", "2"], 10, 5, False) for i in range(2)]
+
+
+def test_text_json_and_listing(spark, tmp_path):
+    (tmp_path / "a.py").write_text("print(1)\n")
+    (tmp_path / "n.json").write_text('[{"k": 1}, {"k": 2}]')
+    got = {r.path.rsplit("/", 1)[1]: (r.language, r.text, r.cut) for r in files.text_files(spark, f"file://{tmp_path}", most=20).collect()}
+    assert got["a.py"] == ("python", "```python\nprint(1)\n```", False)
+    assert [r.k for r in files.json_store(spark, f"file://{tmp_path}/n.json").orderBy("k").collect()] == [1, 2]
+    rows = [("b.md", False), ("Alpha", True), ("a.md", False), (".git", True), ("deck.assets", True), ("zed", True)]
+    assert [r.name for r in files.folder_listing(spark.createDataFrame(rows, "name string, is_folder boolean")).collect()] == ["Alpha", "zed", "a.md", "b.md"]
+
+
 def test_write_if_changed(spark, tmp_path):
     target = f"file://{tmp_path}/out"
     rows = spark.createDataFrame([("a", "1"), ("b", "2")], "k string, v string")
