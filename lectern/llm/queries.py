@@ -13,13 +13,16 @@ from lectern.llm import (
     chunks,
     exact_dedup,
     language,
+    line_runs,
     mixing,
     packing,
+    periodic_runs,
     permutation_index,
     simhash,
     toxicity,
     training_order,
     warc,
+    whitening,
 )
 
 
@@ -136,11 +139,76 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def planted(text: Column, key: Column) -> Column:
+    """``text``, or for one key in ten its words with a periodic tail, as crc32 of the key says."""
+    words = F.regexp_extract_all(text, F.lit(periodic_runs.WORD), F.lit(0))
+    h = F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+    g, n = F.floor(h / 10), F.size(words)
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (F.lit(1) + F.floor((n - a) / (3 + g % 8))).cast("int")
+    times = (F.ceil((n - a) / p)).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), F.lit(1), n - a)
+    periodic = F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")
+    return F.when((h % 10 == 0) & (n > 0), periodic).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = periodic_runs.periodic_runs(docs.select("doc_id", planted(text, F.col("doc_id")).alias("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    rows = found.select("doc.doc_id", "runs", "collapsed", longest.alias("x"))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("x.col2")).alias("start"),
+        F.col("x.length").alias("length"),
+        (-F.col("x.col3")).alias("period"),
+        F.expr("1000 * x.length div -x.col3").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(listed, lambda line: F.concat(line, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_runs.drop_frequent_lines(line_runs.deliveries(docs))
+    return found.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = """
+WITH doc AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_no, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), line AS MATERIALIZED (
+    SELECT row_no, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM doc
+), keyed AS MATERIALIZED (
+    SELECT row_no, doc_id, line, place,
+           translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM line
+), frequent AS (
+    SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT row_no) >= 10
+), told AS (
+    SELECT keyed.*, frequent.key IS NOT NULL AS dropped FROM keyed LEFT JOIN frequent ON keyed.key = frequent.key
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM told GROUP BY row_no
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_hilbert_packing, op2_chunk_dedup, op3_exact_dedup, op4_permutation_index, op5_warc_salvage,
         op6_simhash_ball, op7_source_mixing, op8_language_id, op9_training_order, op10_toxicity,
+        op11_periodic_runs, op12_line_runs, op13_whitening,
     )
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op5_warc_salvage": OP5_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op5_warc_salvage": OP5_SQL, "op12_line_runs": OP12_SQL}
