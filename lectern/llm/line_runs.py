@@ -1,16 +1,16 @@
 """Line deduplication over levelled, sorted runs of line hashes; DataFrame functions only.
 
 A run is a table of 128-bit line hashes, bucketed and sorted by the hash, so runs and
-batches meet in merge joins without a shuffle of what is stored.  There are two kinds:
+batches meet in merge joins without a shuffle of what is stored.  It has two parts:
 
-* *settled* runs hold the lines known to be in ``at_least`` documents;
-* *open* runs hold, for lines that are not settled, the number of documents of one batch
-  (or of several, once compacted).
+* the *settled* one holds lines that were found to be in ``at_least`` documents;
+* the *open* one holds, for other lines, the number of documents of one batch (or of
+  several, once compacted).
 
 Each new batch counts its lines (partial counts before the only shuffle), is anti-joined
-with the settled runs, adds what the open runs know, and leaves one new run of each kind.
-When a level has ``fanout`` runs they are merged into one of the next level, so a batch
-meets a number of runs that grows with the logarithm of the batches before it.
+with the settled parts, adds what the open parts know, and leaves one new run.  When a
+level has ``fanout`` runs they are merged into one of the next level, so a batch meets a
+number of runs that grows with the logarithm of the batches before it.
 
 What is dropped is decided by exact joins; a sieve of fixed size only spares the lines and
 texts that surely lose nothing.  A text is named by 128 bits of its own, never by a row
@@ -29,8 +29,8 @@ from lectern.llm import sieve
 from lectern.storage import fresh_path, materialize
 
 AT_LEAST = 10  # documents that hold a line for it to be dropped
-FANOUT = 4  # runs of a level before they are merged
-BATCHES = 8  # groups of files that the query takes as deliveries
+FANOUT = 3  # runs of a level before they are merged
+BATCHES = 4  # groups of files that the query takes as deliveries
 BLANKS = " \t\n\x0b\f\r"
 LARGE, SALTS = 1_000, 64  # documents from which a line's rows are dealt, and over how many keys
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,8 +44,12 @@ def body(text: str) -> Column:
 
 def line_keys(text: Column) -> Column:
     """The key of each line: stripped of blanks at both ends, A-Z in lower case."""
-    folded = F.translate(text, _UPPER, _LOWER)
-    return F.transform(F.split(folded, "\n", -1), lambda line: F.trim(line, F.lit(BLANKS)))
+
+    def key(line: Column) -> Column:
+        plain = F.octet_length(line) == F.char_length(line)  # where other letters cannot change, the quicker way
+        return F.trim(F.when(plain, F.lower(line)).otherwise(F.translate(line, _UPPER, _LOWER)), F.lit(BLANKS))
+
+    return F.transform(F.split(text, "\n", -1), key)
 
 
 def named(value: Column, names: list[str]) -> list[Column]:
@@ -64,21 +68,23 @@ class LineRuns:
     def __init__(self, spark: SparkSession, at_least: int = AT_LEAST, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.at_least, self.fanout = spark, at_least, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.settled: list[list[str]] = [[]]  # names of runs by level
-        self.open: list[list[str]] = [[]]
+        self.levels: list[list[str]] = [[]]  # names of runs by level
+        self.paths: dict[str, str] = {}
 
-    def _write(self, rows: DataFrame, kind: str) -> str:
-        name = f"line_runs_{kind}_{uuid.uuid4().hex}"
-        out = rows.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY)
-        out.option("path", fresh_path(self.spark, name)).option("compression", "zstd").saveAsTable(name)
-        return name
+    def _write(self, rows: DataFrame, level: int) -> None:
+        name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = fresh_path(self.spark, name)
+        parted = rows.select(*KEY, "n", "settled").repartition(self.buckets, *KEY)  # as they are: no shuffle
+        out = parted.write.partitionBy("settled").bucketBy(self.buckets, *KEY).sortBy(*KEY)
+        out.option("path", self.paths[name]).option("compression", "zstd").saveAsTable(name)
+        self.levels[level].append(name)
 
-    def _runs(self, levels: list[list[str]]) -> list[DataFrame]:
-        return [self.spark.table(name) for level in levels for name in level]
+    def _runs(self, settled: bool) -> list[DataFrame]:
+        return [self.spark.table(n).where(F.col("settled") == settled).select(*KEY, "n") for level in self.levels for n in level]
 
-    def _unsettled(self, rows: DataFrame) -> DataFrame:
-        """``rows`` merge-anti-joined with every settled run."""
-        return reduce(lambda left, run: left.join(run.hint("merge"), KEY, "left_anti"), self._runs(self.settled), rows)
+    def unsettled(self, rows: DataFrame) -> DataFrame:
+        """``rows`` merge-anti-joined with the settled part of every run."""
+        return reduce(lambda left, run: left.join(run.hint("merge"), KEY, "left_anti"), self._runs(True), rows)
 
     def add(self, docs: DataFrame, text: str = "text") -> None:
         """Take a batch of documents; each row is one document.
@@ -87,56 +93,48 @@ class LineRuns:
         line counts once a document; an empty batch changes nothing.
         """
         lines = docs.select(F.explode(F.array_distinct(line_keys(body(text)))).alias("line")).where("line <> ''")
-        own = lines.groupBy(*named(F.col("line"), KEY)).agg(F.count("*").alias("n"))
-        left = self._unsettled(own)
-        for at, run in enumerate(self._runs(self.open)):
-            left = left.join(run.select(*KEY, F.col("n").alias(f"n{at}")).hint("merge"), KEY, "left")
-        before = [F.coalesce(F.col(f"n{at}"), F.lit(0)) for at in range(len(self._runs(self.open)))]
-        total = reduce(lambda a, b: a + b, before, F.col("n"))
-        batch = materialize(left.select(*KEY, "n", total.alias("total")), "line_batch")
-        enough = F.col("total") >= self.at_least
-        new = {"settled": batch.where(enough).select(*KEY, F.col("total").alias("n")), "open": batch.where(~enough).select(*KEY, "n")}
-        written = {kind: self._write(rows, kind) for kind, rows in new.items()}
-        self.settled[0].append(written["settled"])
-        self.open[0].append(written["open"])
-        self._compact("settled")
-        self._compact("open")
-
-    def _compact(self, kind: str) -> None:
-        """Merge the runs of every full level into one of the next; open runs lose settled lines."""
-        levels = getattr(self, kind)
-        for depth, level in enumerate(levels):
-            if len(level) < self.fanout:
-                continue
-            if depth + 1 == len(levels):
-                levels.append([])
-            rows = reduce(DataFrame.unionByName, [self.spark.table(name) for name in level])
-            merged = rows.groupBy(*KEY).agg(F.sum("n").alias("n"))
-            levels[depth + 1].append(self._write(self._unsettled(merged) if kind == "open" else merged, kind))
-            for name in level:
-                self._forget(name)
-            level.clear()
+        left = self.unsettled(lines.groupBy(*named(F.col("line"), KEY)).agg(F.count("*").alias("n")))
+        total = F.col("n")
+        for at, run in enumerate(self._runs(False)):
+            left = left.join(run.withColumnRenamed("n", f"n{at}").hint("merge"), KEY, "left")
+            total += F.coalesce(F.col(f"n{at}"), F.lit(0))
+        settled = total >= self.at_least
+        self._write(left.select(*KEY, F.when(settled, total).otherwise(F.col("n")).alias("n"), settled.alias("settled")), 0)
+        for level in range(len(self.levels)):
+            if len(self.levels[level]) >= self.fanout:
+                self._merge(level)
+
+    def _merge(self, level: int) -> None:
+        """The runs of a full level become one of the next; its open part loses settled lines."""
+        files = self.spark.read.schema("k1 long, k2 long, n long, settled boolean")
+        rows = reduce(DataFrame.unionByName, [files.parquet(self.paths[name]) for name in self.levels[level]])
+        summed = rows.groupBy(*KEY).agg(F.max(F.when(F.col("settled"), F.col("n"))).alias("of_settled"), F.sum("n").alias("of_open"))
+        settled = F.col("of_settled").isNotNull()
+        merged = summed.select(*KEY, F.coalesce("of_settled", "of_open").alias("n"), settled.alias("settled"))
+        old, self.levels[level] = self.levels[level], []
+        left = self.unsettled(merged)  # of the other levels
+        if level + 1 == len(self.levels):
+            self.levels.append([])
+        self._write(left, level + 1)
+        for name in old:
+            self._forget(name)
 
     def _forget(self, name: str) -> None:
-        """Drop a run that a merged one replaces, with its files."""
-        folder = self.spark.table(name).inputFiles()
+        """Drop a run, with its files."""
         self.spark.sql(f"DROP TABLE {name}")
-        for path in {f.rpartition("/")[0] for f in folder}:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def frequent(self) -> DataFrame:
         """``(k1, k2, n)`` of the settled lines, each once; ``n`` is as of their settling."""
         none = self.spark.range(0).select(F.col("id").alias("k1"), F.col("id").alias("k2"), F.col("id").alias("n"))
-        return reduce(DataFrame.unionByName, self._runs(self.settled), none)
+        return reduce(DataFrame.unionByName, self._runs(True), none)
 
     def close(self) -> None:
         """Drop all runs."""
-        for levels in (self.settled, self.open):
-            for level in levels:
-                for name in level:
-                    self._forget(name)
-                level.clear()
+        for level in self.levels:
+            while level:
+                self._forget(level.pop())
 
 
 def _matched(rows: DataFrame, side: DataFrame, key: list[str], crowd: DataFrame, salt: list[str], how: str) -> DataFrame:
@@ -144,10 +142,11 @@ def _matched(rows: DataFrame, side: DataFrame, key: list[str], crowd: DataFrame,
     dealt over ``SALTS`` keys by the hash of ``salt``, so no key is one task's work."""
     held = sieve.build(crowd, F.struct(*key))
     rows, side = (sieve.mark(x, held, F.struct(*key), "crowded") for x in (rows, side))
-    few = rows.where("not crowded").drop("crowded").join(side.where("not crowded").drop("crowded"), key, how)
-    dealt = rows.where("crowded").drop("crowded").withColumn("salt", F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int"))
-    every = side.where("crowded").drop("crowded").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return few.unionByName(dealt.join(every, [*key, "salt"], how).drop("salt"))
+    dealt = F.when(F.col("crowded"), F.pmod(F.xxhash64(*salt), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    every = F.when(F.col("crowded"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.withColumn("salt", dealt).drop("crowded")
+    right = side.withColumn("salt", F.explode(every)).drop("crowded")
+    return left.join(right.hint("merge"), [*key, "salt"], how).drop("salt")
 
 
 def without_lines(docs: DataFrame, frequent: DataFrame, text: str = "text") -> DataFrame:
@@ -173,7 +172,7 @@ def without_lines(docs: DataFrame, frequent: DataFrame, text: str = "text") -> D
     cut = _matched(marked.where("maybe").drop("maybe"), places.drop("copies"), TEXT, crowd, ["doc"], "left")
     rows = intact.unionByName(cut.select("doc", "body", "gone"))
     split = F.split("body", "\n", -1)
-    left = F.filter(split, lambda line, at: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), at))
+    left = F.filter(split, lambda line, at: ~F.array_contains(F.col("gone"), at))
     return rows.select(
         "doc",
         F.size(split).cast("long").alias("n_lines"),

@@ -152,21 +152,21 @@ def test_runs_are_merged_by_level_and_settled_once(spark):
     store = line_runs.LineRuns(spark, at_least=3, fanout=2, buckets=4)
     for b in range(7):
         store.add(spark.createDataFrame([(f"every\nonly {b}\nhalf {b // 4}",)], "text string"))
-        assert all(len(level) < 2 for level in (*store.settled, *store.open))
-    assert len(store.open) == 3
+        assert all(len(level) < 2 for level in store.levels)
+    assert len(store.levels) == 3
     frequent = store.frequent().collect()
     assert sorted(r.n for r in frequent) == [3, 3, 3]  # every line, and both halves
-    held = sum(spark.table(name).count() for level in store.open for name in level)
+    held = sum(spark.table(name).where("not settled").count() for level in store.levels for name in level)
     assert held == 7 + 1  # the lines of one batch, and a merged row of half 1 from before it was settled
     store.close()
-    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_runs_")]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
 
 def test_a_batch_meets_the_runs_without_shuffling_them(spark):
     store = line_runs.LineRuns(spark, at_least=2, buckets=8)
     store.add(spark.createDataFrame([("a\nb",), ("a\nc",)], "text string"))
     own = spark.createDataFrame([(1, 2, 3)], "k1 long, k2 long, n long").groupBy("k1", "k2").agg(F.sum("n").alias("n"))
-    plan = store._unsettled(own)._jdf.queryExecution().executedPlan().toString()
+    plan = store.unsettled(own)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange") == 1
     store.close()
 
