@@ -28,10 +28,11 @@ def tokens(text: Column) -> Column:
 
 def query_terms(query: str) -> list[str]:
     """Distinct terms of a query in order; stop words go where two or more words are left
-    to choose from and one of them is no stop word.  ``"quoted words"`` stay together."""
+    to choose from and one of them is no stop word.  ``"quoted words"`` stay together, and
+    ``word*`` keeps its star: it stands for the words that begin so."""
     import re
 
-    found = [(m[1], m[2]) for m in re.finditer(r'"([^"]+)"|([^\W_]+)', query.lower())]
+    found = [(m[1], m[2]) for m in re.finditer(r'"([^"]+)"|([^\W_]+\*?)', query.lower())]
     terms = [" ".join(re.findall(r"[^\W_]+", phrase)) if phrase else word for phrase, word in found]
     terms = [t for t in dict.fromkeys(terms) if t]
     useful = [t for t in terms if t not in STOP_WORDS]

@@ -134,11 +134,11 @@ def labels_in_boxes(labels: DataFrame, boxes: DataFrame, page: str, grow: float
 
 def incremental_index(old: DataFrame, files: DataFrame, key: str, stamp: str, build) -> DataFrame:
     """The rows of ``old`` whose file is there unchanged, and those that ``build`` makes of
-    the files that are new or have changed."""
+    the files that are new or have changed.  A stamp may be null, which is a stamp of its own."""
     now = files.select(key, F.col(stamp).alias("__now"))
-    kept = old.join(now, key).where(F.col(stamp) == F.col("__now")).drop("__now")
-    had = old.select(key, F.col(stamp).alias("__had")).distinct()
-    fresh = files.join(had, key, "left").where(~F.col(stamp).eqNullSafe(F.col("__had"))).drop("__had")
+    kept = old.join(now, key).where(F.col(stamp).eqNullSafe(F.col("__now"))).drop("__now")
+    had = old.select(key, F.col(stamp).alias("__had"), F.lit(True).alias("__known")).distinct()
+    fresh = files.join(had, key, "left").where(F.col("__known").isNull() | ~F.col(stamp).eqNullSafe(F.col("__had"))).drop("__had", "__known")
     return kept.unionByName(build(fresh))
 
 

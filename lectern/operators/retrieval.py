@@ -24,8 +24,11 @@ SOME_WEIGHT = 0.35  # of a hit that holds some of the terms only
 
 
 def occurrences(words: Column, term: str) -> Column:
-    """How often a term, or a phrase of several words, stands in an array of tokens."""
+    """How often a term, a phrase of several words, or words that begin as ``term*``, stand in
+    an array of tokens."""
     parts = term.split(" ")
+    if term.endswith("*"):
+        return F.size(F.filter(words, lambda w: w.startswith(term[:-1])))
     if len(parts) == 1:
         return F.size(F.filter(words, lambda w: w == term))
     starts = F.sequence(F.lit(1), F.greatest(F.size(words) - len(parts) + 1, F.lit(1)))
@@ -96,10 +99,14 @@ def search(
     and leaves the statistics alone.  All queries are counted in one pass.
     """
     terms = list(dict.fromkeys(t for q in queries for t in q))
-    picks = [[terms.index(t) for t in q] for q in queries]
     counted = term_counts(docs.withColumn("__in", F.lit(True) if where is None else where), [key, "__in"], terms, title, text)
-    rows = counted.where("__in").where(F.exists("weights", lambda w: w > 0))
-    rows = rows.crossJoin(F.broadcast(corpus_statistics(counted, len(terms))))  # one row
+    return fused(counted.where("__in"), corpus_statistics(counted, len(terms)), key, queries, terms, candidates)
+
+
+def fused(counted: DataFrame, statistics: DataFrame, key: str, queries: Sequence[Sequence[str]], terms: Sequence[str], candidates: int = 160) -> DataFrame:
+    """``search`` over rows that are counted: ``(key, size, weights)``, a weight for each of ``terms``."""
+    picks = [[terms.index(t) for t in q] for q in queries]
+    rows = counted.where(F.exists("weights", lambda w: w > 0)).crossJoin(F.broadcast(statistics))  # one row
     each = F.array(*(
         F.struct(F.lit(n).alias("query"), _score(own).alias("score"), _held(own).alias("held"), F.lit(len(own)).alias("of"))
         for n, own in enumerate(picks)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions import stem, text
 from lectern.operators import retrieval
+from lectern.operators.index import InvertedIndex
 from lectern.plans.tables import table
+from lectern.storage import fresh_path
 
 TERMS = ["anstou", "thinghe", "thntwh"]
 BOTH = ["ertion", "ontion"]
@@ -18,6 +20,9 @@ CAP = 3
 KINDS = ["en", "fr"]
 COURSES = ["src0", "src1", "src2", "src3", "src4"]
 AROUND = 3
+PHRASE, PREFIX = "of the", "thing*"
+QUERY, OTHER_QUERY = 'Show me the "the and" or thing* of anst', 'ertion "of the"'
+ASKED = 6  # words of a passage that are asked for
 
 
 def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +36,24 @@ def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _ranked(spark: SparkSession, sf_dir: str, terms: list[str], complete: bool) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    counted = retrieval.term_counts(docs, ["doc_id"], terms, title=None)
-    scored = retrieval.bm25(counted, retrieval.corpus_statistics(counted, len(terms)), len(terms))
+_INDEXES: dict[tuple[str, str], InvertedIndex] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> InvertedIndex:
+    """The index of a folder's documents, built once a session: title, rest, and the digest as stamp."""
+    known = spark.sparkContext.applicationId, sf_dir
+    if known not in _INDEXES:
+        index = InvertedIndex(spark, fresh_path(spark, "index"))
+        index.build(_titled(spark, sf_dir), "doc_id", F.sha2(F.concat("title", "text"), 256))
+        _INDEXES[known] = index
+    return _INDEXES[known]
+
+
+def _ranked(spark: SparkSession, sf_dir: str, terms: list[str], complete: bool, title_weight: float = 1.0) -> DataFrame:
+    """The best documents for ``terms``; without a title weight a document is one text."""
+    index = stored_index(spark, sf_dir)
+    found = index.lookup(terms, title_weight)
+    scored = retrieval.bm25(found, index.corpus(found, len(terms)), len(terms)).withColumnRenamed("key", "doc_id")
     hits = scored.where(F.col("held") == len(terms)) if complete else scored
     top = hits.orderBy(F.desc("score"), "doc_id").limit(TOP)
     return top.select("doc_id", F.col("held").cast("int").alias("held"), F.round("score", 6).alias("score"))
@@ -49,14 +68,61 @@ def doc_bm25_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_bm25_fielded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = retrieval.term_counts(_titled(spark, sf_dir), ["doc_id"], TERMS)
-    scored = retrieval.bm25(counted, retrieval.corpus_statistics(counted, len(TERMS)), len(TERMS))
-    top = scored.orderBy(F.desc("score"), "doc_id").limit(TOP)
-    return top.select("doc_id", F.round("score", 6).alias("score"))
+    return _ranked(spark, sf_dir, TERMS, False, retrieval.TITLE_WEIGHT).select("doc_id", "score")
+
+
+def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents where the words of a phrase follow each other; its frequency is the phrase's own."""
+    return _ranked(spark, sf_dir, [PHRASE], False, retrieval.TITLE_WEIGHT)
+
+
+def search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that begin so are one term, beside a plain one."""
+    return _ranked(spark, sf_dir, [PREFIX, TERMS[0]], False)
+
+
+def _fused(spark: SparkSession, sf_dir: str, where=None, queries=(TERMS, ALTERNATE)) -> DataFrame:
+    index = stored_index(spark, sf_dir)
+    terms = list(dict.fromkeys(t for q in queries for t in q))
+    found = index.lookup(terms)
+    hits = found
+    if where is not None:  # narrow columns only; the statistics stay those of all documents
+        meant = _titled(spark, sf_dir).where(where).select(F.col("doc_id").alias("key"))
+        hits = found.join(meant, "key", "left_semi")
+    return retrieval.fused(hits, index.corpus(found, len(terms)), "key", queries, terms).withColumnRenamed("key", "doc_id")
+
+
+def search_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query as it is typed, with an alternate: stop words, a phrase, a beginning, bounds,
+    the best of each course, and the state of each hit's text since it was indexed."""
+    queries = retrieval.bounded_queries(QUERY, [OTHER_QUERY], TOP)
+    hits = retrieval.availability(_fused(spark, sf_dir, queries=queries), _records(spark, sf_dir), "doc_id")
+    hits = hits.join(_titled(spark, sf_dir).select("doc_id", "course"), "doc_id")
+    order = [F.col("availability") != "current", F.desc("complete"), F.desc("fused"), F.col("doc_id")]
+    top = retrieval.capped(hits, "course", order, CAP).orderBy(*order).limit(TOP)
+    stamps = stored_index(spark, sf_dir).documents().select(F.col("key").alias("doc_id"), "stamp")
+    now = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "^([^\n]*)\n", "$1").alias("text"))
+    same = F.col("stamp") == F.sha2("text", 256)
+    return top.join(stamps, "doc_id").join(now, "doc_id").select(
+        "doc_id", "course", "availability", "complete", F.round("fused", 10).alias("fused"), F.size("queries").alias("matched"), same.alias("unchanged")
+    )
 
 
-def _fused(spark: SparkSession, sf_dir: str, where=None) -> DataFrame:
-    return retrieval.search(_titled(spark, sf_dir), "doc_id", [TERMS, ALTERNATE], where=where)
+def index_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index holds of each word after texts came, changed and went: as one built anew."""
+    now = _titled(spark, sf_dir)
+    stamp = F.when(F.col("kind") != "fr", F.sha2(F.concat("title", "text"), 256))  # French texts have none
+    gone = now.where("kind = 'en'").select((-1 - F.col("doc_id")).alias("doc_id"), "course", "kind", "title", "text")
+    kept = now.where("course is null or course <> 'src1'")
+    before = kept.withColumn("text", F.when(F.col("kind") == "de", F.lower("title")).otherwise(F.col("text"))).unionByName(gone)
+    index = InvertedIndex(spark, fresh_path(spark, "changed_index"))
+    index.build(before, "doc_id", stamp)
+    index.update(now, "doc_id", stamp)
+    index.compact(range(0, index.buckets, 2))
+    living = index._living(index.postings())
+    return living.groupBy("term").agg(
+        F.count("*").alias("documents"), F.sum(F.size("at") + F.size("head")).cast("long").alias("times"), F.sum("size").cast("long").alias("words")
+    )
 
 
 def search_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,15 +184,15 @@ def search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = retrieval.term_counts(table(spark, sf_dir, "documents"), ["doc_id"], TERMS, title=None)
-    stats = retrieval.corpus_statistics(counted, len(TERMS))
+    index = stored_index(spark, sf_dir)
+    stats = index.corpus(index.lookup(TERMS, 1.0), len(TERMS))
     return stats.select(F.posexplode("frequencies").alias("i", "df"), "n", F.round("mean_size", 6).alias("avgdl")).select(
         F.element_at(F.array(*map(F.lit, TERMS)), F.col("i") + 1).alias("term"), F.col("df").cast("long").alias("df"), "n", "avgdl"
     )
 
 
-def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many benchmark passages the documents hold word for word, and in how many each.
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(item_id, doc_id)``: the documents that hold a benchmark passage word for word.
 
     The words of a passage between its first and last stand alone in a document that holds
     it.  Passages are looked up by the hash of up to five of those, so only documents that
@@ -134,23 +200,49 @@ def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     flat_of = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    key = lambda own: F.xxhash64(F.concat_ws(" ", own))
+    key = lambda own: F.xxhash64(F.size(own), F.concat_ws(" ", own))
     passages = items.where("text is not null").select("item_id", flat_of(F.col("text")).alias("passage")).withColumn("w", F.split("passage", " "))
     size = F.greatest(F.least(F.size("w") - 2, F.lit(5)), F.lit(0))
     wanted = passages.select("item_id", "passage", size.alias("size"), key(F.slice("w", 2, size)).alias("start"))
     sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())  # 0 to 5
     flat = docs.select("doc_id", flat_of(F.col("text")).alias("flat"))
-    words = flat.select("doc_id", F.split("flat", " ").alias("w"))
     at = F.sequence(F.lit(1), F.size("w"))
-    grams_of = lambda n: F.transform(at, lambda i: F.struct(F.lit(n).alias("size"), key(F.slice("w", i, n)).alias("start")))
+    grams_of = lambda n: F.transform(at, lambda i: key(F.slice("w", i, n)))
     grams = [grams_of(n) for n in sizes if n]
-    whole = F.array(F.struct(F.lit(0).alias("size"), key(F.array().cast("array<string>")).alias("start")))
+    whole = F.array(key(F.array().cast("array<string>")))
     every = F.array_distinct(F.concat(*grams, *([whole] if 0 in sizes else []))) if sizes else whole
-    starts = words.select("doc_id", F.explode(every).alias("g")).select("doc_id", "g.*")
-    met = starts.join(wanted.select("size", "start", "item_id"), ["size", "start"]).select("doc_id", "item_id")
+    starts = flat.select("doc_id", F.split("flat", " ").alias("w")).select("doc_id", F.explode(every).alias("start"))
+    met = starts.join(wanted.select("start", "item_id"), "start").select("doc_id", "item_id")
     pairs = met.join(wanted.select("item_id", "passage"), "item_id").join(flat, "doc_id").where(F.contains("flat", "passage"))
-    found = pairs.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
-    return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first_doc")
+    return pairs.select("item_id", "doc_id").distinct()
+
+
+def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many documents each benchmark passage stands, and in which first."""
+    found = _passages(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
+    items = table(spark, sf_dir, "benchmark").select("item_id")
+    return items.join(found, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "first_doc")
+
+
+def retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each passage asked for by a few of its words: how often a document that holds it is
+    among the best five and is the best, by course and over all; and, of passages that no
+    document holds, how many find no document with all their words."""
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.slice(text.tokens(F.col("text")), 2, ASKED))).alias("term"))
+    found = stored_index(spark, sf_dir).ranked(asked, "item_id")
+    pairs = _passages(spark, sf_dir)
+    held = pairs.groupBy("item_id").agg(F.min("doc_id").alias("first_doc"))
+    course = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("first_doc"), F.col("source").alias("course"))
+    good = found.where(F.col("place") <= 5).join(pairs, [found["item_id"] == pairs["item_id"], found["key"] == pairs["doc_id"]], "left_semi")
+    best = good.groupBy("item_id").agg(F.min("place").alias("best"))
+    complete = found.where("held = of").select("item_id").distinct().withColumn("complete", F.lit(True))
+    items = asked.select("item_id").distinct()
+    rows = items.join(held, "item_id", "left").join(course, "first_doc", "left").join(best, "item_id", "left").join(complete, "item_id", "left")
+    has = F.col("first_doc").isNotNull()
+    sums = (F.count_if(has).alias("questions"), F.count_if(F.col("best") <= 5).alias("recalled"), F.count_if(F.col("best") == 1).alias("first"),
+            F.count_if(~has).alias("controls"), F.count_if(~has & F.col("complete").isNull()).alias("empty_controls"))
+    every = rows.groupingSets([["course"], []], "course").agg(F.grouping("course").cast("int").alias("over_all"), *sums)
+    return every.select("over_all", "course", "questions", "recalled", "first", "controls", "empty_controls")
 
 
 def section_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,16 +260,27 @@ _TITLED = r"""doc AS (SELECT doc_id, source AS course, lang AS kind, split_part(
        substr(coalesce(text, ''), length(split_part(coalesce(text, ''), chr(10), 1)) + 2) AS body FROM documents)"""
 
 
+def _times_sql(term: str, words: str) -> str:
+    parts = term.split(" ")
+    if term.endswith("*"):
+        return f"len(list_filter({words}, lambda w: starts_with(w, '{term[:-1]}')))"
+    if len(parts) == 1:
+        return f"len(list_filter({words}, lambda w: w = '{term}'))"
+    follow = " AND ".join(f"{words}[i + {k}] = '{p}'" for k, p in enumerate(parts))
+    return f"len(list_filter(range(1, len({words}) + 1), lambda i: {follow}))"
+
+
 def _scored_sql(doc: str, queries: list[list[str]]) -> str:
     """CTEs ending in ``hit(query, doc_id, course, kind, score, held, of)``."""
     rows = ", ".join(f"({q}, '{t}')" for q, own in enumerate(queries) for t in own)
+    terms = list(dict.fromkeys(t for own in queries for t in own))
+    times = " ".join(f"WHEN '{t}' THEN {_times_sql(t, 'words')} + 3.0 * {_times_sql(t, 'head')}" for t in terms)
     return f"""
 WITH {doc}, {_TOK},
 sized AS (SELECT *, len(words) + len(head) AS d FROM tok),
 corpus AS (SELECT count(*) AS n, avg(d) AS mean_d FROM sized),
 term AS (SELECT * FROM (VALUES {rows}) AS v(query, word)),
-tf AS (SELECT term.query, term.word, doc_id, course, kind, d,
-              len(list_filter(words, lambda w: w = term.word)) + 3.0 * len(list_filter(head, lambda w: w = term.word)) AS f
+tf AS (SELECT term.query, term.word, doc_id, course, kind, d, CASE term.word {times} END AS f
        FROM sized CROSS JOIN term),
 df AS (SELECT query, word, count(*) AS seen FROM tf WHERE f > 0 GROUP BY ALL),
 part AS (SELECT tf.query, doc_id, course, kind,
@@ -189,8 +292,8 @@ hit AS (SELECT part.query, doc_id, course, kind, sum(s) AS score, count(*) AS he
         FROM part JOIN size ON part.query = size.query GROUP BY part.query, doc_id, course, kind)"""
 
 
-def _fused_sql(where: str = "true") -> str:
-    return _scored_sql(_TITLED, [TERMS, ALTERNATE]) + f""",
+def _fused_sql(where: str = "true", queries: list[list[str]] | None = None) -> str:
+    return _scored_sql(_TITLED, queries or [TERMS, ALTERNATE]) + f""",
 listed AS (SELECT *, true AS strict FROM hit WHERE held = n_terms AND {where} UNION ALL SELECT *, false FROM hit WHERE {where}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query, strict ORDER BY score DESC, doc_id) AS place FROM listed),
 kept AS (SELECT *, max(strict) OVER (PARTITION BY query, doc_id) AS best FROM ranked WHERE place <= 160),
@@ -204,6 +307,7 @@ QUERIES = {
     for f in (
         doc_bm25_and, doc_bm25_or, doc_bm25_fielded, search_rrf, search_rrf_capped, search_filtered_kind_course,
         search_status_order, search_stemmed, search_snippet, postings_stats, retrieval_quality, section_neighbors,
+        search_phrase, search_prefix, search_call, index_after_changes, retrieval_recall,
     )
 } | {"ranked_search": ranked_search}
 
@@ -213,7 +317,47 @@ SELECT fused.doc_id, availability, complete, round(fused, 10) AS fused FROM (
     FROM fused LEFT JOIN labels ON fused.doc_id = labels.doc_id) AS fused
 ORDER BY availability <> 'current', complete DESC, fused.fused DESC, doc_id LIMIT 20"""
 
+_PASSAGES = r"""flat AS (SELECT doc_id, source, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS flat FROM documents),
+item AS (SELECT item_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS passage FROM benchmark)"""
+_BEST = " SELECT doc_id, held::INT AS held, round(score, 6) AS score FROM hit ORDER BY hit.score DESC, doc_id LIMIT 20"
+
 ORACLES = {
+    "search_phrase": _scored_sql(_TITLED, [[PHRASE]]) + _BEST,
+    "search_prefix": _scored_sql(_PLAIN, [[PREFIX, TERMS[0]]]) + _BEST,
+    "search_call": _fused_sql(queries=retrieval.bounded_queries(QUERY, [OTHER_QUERY], TOP)) + """,
+stated AS (SELECT fused.*, CASE WHEN toxic = 1 THEN 'restricted' WHEN quality = 0 THEN 'stale' ELSE 'current' END AS availability
+           FROM fused LEFT JOIN labels ON fused.doc_id = labels.doc_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY availability <> 'current', complete DESC, fused DESC, doc_id) AS nth FROM stated)
+SELECT doc_id, source AS course, availability, complete, round(fused, 10) AS fused, matched::INT AS matched, true AS unchanged
+FROM best WHERE nth <= 3 ORDER BY availability <> 'current', complete DESC, best.fused DESC, doc_id LIMIT 20""",
+    "index_after_changes": r"""
+WITH tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+', 0) AS words FROM documents),
+word AS (SELECT doc_id, len(words) AS size, unnest(words) AS term FROM tok),
+own AS (SELECT doc_id, term, any_value(size) AS size, count(*) AS times FROM word GROUP BY doc_id, term)
+SELECT term, count(*) AS documents, sum(times)::BIGINT AS times, sum(size)::BIGINT AS words FROM own GROUP BY term""",
+    "retrieval_recall": f"""
+WITH {_PASSAGES}, {_TITLED}, {_TOK},
+sized AS (SELECT doc_id, words, head, len(words) + len(head) AS d FROM tok),
+corpus AS (SELECT count(*) AS n, avg(d) AS mean_d FROM sized),
+posted AS (SELECT doc_id, d, term, sum(w) AS f FROM (
+    SELECT doc_id, d, unnest(words) AS term, 1.0 AS w FROM sized UNION ALL SELECT doc_id, d, unnest(head), 3.0 FROM sized) GROUP BY doc_id, d, term),
+df AS (SELECT term, count(*) AS seen FROM posted GROUP BY term),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+', 0)[2:{ASKED + 1}]) AS term FROM benchmark),
+many AS (SELECT item_id, count(*) AS n_terms FROM asked GROUP BY item_id),
+scored AS (SELECT asked.item_id, doc_id, count(*) AS held, any_value(n_terms) AS n_terms,
+        round(sum(greatest(CASE WHEN ln((n - seen + 0.5) / (seen + 0.5)) > 0 THEN ln((n - seen + 0.5) / (seen + 0.5)) ELSE 1e-6 END, 1e-6)
+        * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / mean_d))), 9) AS score
+    FROM asked JOIN posted ON asked.term = posted.term JOIN df ON df.term = asked.term JOIN many ON many.item_id = asked.item_id CROSS JOIN corpus
+    GROUP BY asked.item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored),
+pair AS (SELECT item_id, doc_id, source FROM item JOIN flat ON contains(flat, passage)),
+told AS (SELECT many.item_id, (SELECT min_by(source, doc_id) FROM pair WHERE pair.item_id = many.item_id) AS course,
+        (SELECT count(*) FROM pair WHERE pair.item_id = many.item_id) AS held_by,
+        (SELECT min(place) FROM ranked JOIN pair ON ranked.item_id = pair.item_id AND ranked.doc_id = pair.doc_id WHERE ranked.item_id = many.item_id) AS best,
+        (SELECT count(*) FROM ranked WHERE ranked.item_id = many.item_id AND held = n_terms) AS complete FROM many)
+SELECT grouping(course)::INT AS over_all, course, count(*) FILTER (held_by > 0) AS questions, count(*) FILTER (best <= 5) AS recalled,
+       count(*) FILTER (best = 1) AS first, count(*) FILTER (held_by = 0) AS controls, count(*) FILTER (held_by = 0 AND complete = 0) AS empty_controls
+FROM told GROUP BY GROUPING SETS ((course), ())""",
     "doc_bm25_and": _scored_sql(_PLAIN, [BOTH]) + " SELECT doc_id, held::INT AS held, round(score, 6) AS score FROM hit WHERE held = n_terms ORDER BY hit.score DESC, doc_id LIMIT 20",
     "doc_bm25_or": _scored_sql(_PLAIN, [TERMS]) + " SELECT doc_id, held::INT AS held, round(score, 6) AS score FROM hit ORDER BY hit.score DESC, doc_id LIMIT 20",
     "doc_bm25_fielded": _scored_sql(_TITLED, [TERMS]) + " SELECT doc_id, round(score, 6) AS score FROM hit ORDER BY hit.score DESC, doc_id LIMIT 20",
