@@ -224,29 +224,27 @@ def mixing_plan(
     first, last = F.floor(F.col("begin") / width), F.floor((F.col("begin") + F.col("size") - 1) / width)
     steps = F.array(*(F.lit(s).cast("long") for s in STEPS))
 
-    def position(epoch: Column, block: Column) -> Column:
-        """Place in the source's stream of ``block`` in an epoch: an affine permutation."""
+    def piece(epoch: Column, block: Column) -> Column:
+        """The block's part of the document, if the epoch takes it.  An epoch takes a range of
+        the keyed stream, all of it but in the last, so documents stay whole but for the ends;
+        its blocks are dealt in an affine permutation."""
         n = F.col("blocks")
+        left = F.least(n, F.col("quota") - epoch * n)
         shift = F.pmod(F.xxhash64(F.lit(SEED), "place", epoch), n)
-        step = F.element_at(steps, (epoch % len(STEPS) + 1).cast("int")) % n
-        return epoch * n + (block * step + shift) % n
-
-    def piece(epoch: Column, block: Column) -> Column:
+        step = F.element_at(steps, (epoch % len(STEPS) + 1).cast("int"))
+        at = (block + shift) % n
         start = F.greatest(block * width, F.col("begin"))
         end = F.least((block + 1) * width, F.col("begin") + F.col("size"))
-        return _let(
-            position(epoch, block),
-            lambda p: F.when(
-                p < F.col("quota"),
-                F.struct(
-                    (F.size(F.filter("begins", lambda b: b <= p)) - 1).alias("shard"),
-                    F.xxhash64(F.lit(SEED), "place", p).alias("rank"),
-                    epoch.cast("int").alias("epoch"),
-                    (start - F.col("begin")).alias("start"),
-                    (end - start).alias("words"),
-                ),
+        return F.when(at < left, _let(
+            epoch * n + (at * step + shift) % F.greatest(left, F.lit(1)),
+            lambda p: F.struct(
+                (F.size(F.filter("begins", lambda b: b <= p)) - 1).alias("shard"),
+                F.xxhash64(F.lit(SEED), "place", p).alias("rank"),
+                epoch.cast("int").alias("epoch"),
+                (start - F.col("begin")).alias("start"),
+                (end - start).alias("words"),
             ),
-        )
+        ))
 
     every = F.flatten(
         F.transform(
@@ -266,31 +264,45 @@ def taken_words(pieces: str = "pieces") -> Column:
     return F.aggregate(pieces, F.lit(0).cast("long"), lambda a, p: a + p["words"])
 
 
-def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The mix as documents: a row of all columns for each document, epoch and shard that
-    takes words of it, with those words as its text (and ``n_chars``, if there is one).
+def adjacent_runs(pieces: str = "pieces") -> Column:
+    """The pieces of an epoch that stand next to each other as one, with the shard and rank of the first."""
+    placed = F.array_sort(F.transform(pieces, lambda p: F.struct(p["epoch"].alias("epoch"), p["start"].alias("start"), p["words"].alias("words"), p["shard"].alias("shard"), p["rank"].alias("rank"))))
+
+    def runs(own: Column) -> Column:
+        def begins(i: Column) -> Column:
+            was, now = F.get(own, i - 1), F.get(own, i)
+            return (i == 0) | (was["epoch"] != now["epoch"]) | (was["start"] + was["words"] != now["start"])
 
-    Rows come shard by shard, in the order of the shard's local shuffle.  Nulls, empty,
-    long and repeated texts, clashing names and empty tables as in ``mixing_plan``.
+        first = F.filter(F.sequence(F.lit(0), F.size(own) - 1), begins)
+        return _let(first, lambda at: F.transform(at, lambda i, k: run(own, at, i, k)))
+
+    def run(own: Column, at: Column, i: Column, k: Column) -> Column:
+        head, last = F.get(own, i), F.get(own, F.coalesce(F.get(at, k + 1), F.size(own)) - 1)
+        words = last["start"] + last["words"] - head["start"]
+        return F.struct(head["shard"].alias("shard"), head["rank"].alias("rank"), head["epoch"].alias("epoch"), head["start"].alias("start"), words.alias("words"))
+
+    return F.when(F.size(pieces) > 0, _let(placed, runs))
+
+
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The mix as documents: a row of all columns for each run of adjacent words that an epoch
+    takes of a document, with those words as its text (and ``n_chars``, if there is one).
+
+    An epoch that takes all of a document takes it whole, white space included; in a
+    source's last epoch the documents at the ends of the range are cut.  A run goes to the
+    shard of its first block.  Rows come shard by shard, in the order of the shard's local
+    shuffle.  Nulls, empty, long and repeated texts, clashing names and empty tables as in
+    ``mixing_plan``.
     """
     own = materialize(docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct("*").alias("doc")), "rows")
     narrow = own.select("row_no", *(F.col("doc")[c].alias(n) for c, n in ((doc_id, "id"), (text, "body"), (source, "source"))))
     plan = mixing_plan(narrow, "id", "body", "source", row="row_no", **how).where(F.size("pieces") > 0)
+    taken = materialize(plan.select("row_no", "size", F.explode(adjacent_runs()).alias("run")), "runs")
     body = F.col("doc")[text]
     words = F.regexp_extract_all(body, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    part = F.explode(F.array_distinct(F.transform("pieces", lambda p: F.struct(p["shard"].alias("shard"), p["epoch"].alias("epoch")))))
-    rows = own.join(plan.select("row_no", "size", "pieces"), "row_no").select("doc", "size", "pieces", words.alias("words"))
-    rows = rows.select("*", part.alias("part"))
-    now = F.filter("pieces", lambda p: (p["epoch"] == F.col("part.epoch")) & (p["shard"] == F.col("part.shard")))
-    cut = F.array_join(F.flatten(F.transform(
-        F.array_sort(F.transform("now", lambda p: F.struct(p["start"].alias("start"), p["words"].alias("words")))),
-        lambda p: F.slice("words", (p["start"] + 1).cast("int"), p["words"].cast("int")),
-    )), "")
-    whole = F.aggregate("now", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("size")
-    out = rows.withColumn("now", now).select(
-        F.col("part.shard").alias("shard"), F.array_min(F.transform("now", lambda p: p["rank"])).alias("rank"),
-        "doc", F.when(whole, body).otherwise(cut).alias("cut"),
-    )
+    cut = F.array_join(F.slice(words, (F.col("run.start") + 1).cast("int"), F.col("run.words").cast("int")), "")
+    rows = own.join(taken, "row_no")
+    out = rows.select("run.shard", "run.rank", "doc", F.when(F.col("run.words") == F.col("size"), body).otherwise(cut).alias("cut"))
     doc = F.col("doc").withField(text, F.col("cut"))
     if "n_chars" in docs.columns:
         doc = doc.withField("n_chars", F.length("cut").cast(docs.schema["n_chars"].dataType))

@@ -159,12 +159,14 @@ def farthest(similarity: float, bits: int) -> int:
     return round(bits * share + SPREAD * math.sqrt(bits * share * (1 - share)))
 
 
-def pieces(lanes: list[str]) -> list[Column]:
-    """Two pieces of ``PIECE`` bits of each lane, and those that the lanes' last bits make."""
-    mask, rest = F.lit((1 << PIECE) - 1), 64 - 2 * PIECE
-    out = [p for n in lanes for p in (F.col(n).bitwiseAND(mask), F.shiftrightunsigned(n, PIECE).bitwiseAND(mask))]
-    last = [F.shiftrightunsigned(n, 2 * PIECE) for n in lanes]
-    each = -(-PIECE // rest)
+def pieces(lanes: list[str], piece: int = PIECE) -> list[Column]:
+    """Two pieces of ``piece`` bits of each lane, and those that the lanes' last bits make."""
+    mask, rest = F.lit((1 << piece) - 1), 64 - 2 * piece
+    out = [p for n in lanes for p in (F.col(n).bitwiseAND(mask), F.shiftrightunsigned(n, piece).bitwiseAND(mask))]
+    if not rest:
+        return out
+    last = [F.shiftrightunsigned(n, 2 * piece) for n in lanes]
+    each = -(-piece // rest)
     for i in range(0, len(last) - each + 1, each):
         joined = F.lit(0).cast("long")
         for k, own in enumerate(last[i : i + each]):
@@ -173,6 +175,24 @@ def pieces(lanes: list[str]) -> list[Column]:
     return out
 
 
+def _meetings(narrow: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``(u, v)`` of all texts that can be alike in ``similarity``: of two such sets, the least
+    shingles (by hash) of both, as many as may differ and one, share one.  Every pair of a
+    shingle is emitted, so the cost is quadratic where many texts share their least ones."""
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                own = shingle_set(text.as_py(), words)
+                first = own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
+                yield pa.RecordBatch.from_arrays([pa.repeat(doc, len(first)), pa.array(first.view(np.int64))], ["node", "least"])
+
+    met = materialize(narrow.mapInArrow(run, f"node {kind}, least long"), "least")
+    pairs = met.select("least", F.col("node").alias("u")).join(met.select("least", F.col("node").alias("v")), "least")
+    return materialize(pairs.where("u > v").select("u", "v").distinct(), "meetings")
+
+
 def _verified(pairs: DataFrame, narrow: DataFrame, words: int, similarity: float) -> DataFrame:
     """Of written ``(u, v)``, those whose texts are alike in ``similarity`` of their shingles.
     Shingles are made for the texts that the pairs name, and for no others."""
@@ -234,8 +254,9 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def similar_components(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY
-) -> DataFrame:
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY,
+    piece: int = PIECE, check_far: int = CHECK_FAR, along: int = ALONG, exact: bool = False,
+) -> DataFrame:
     """``(doc_id, component_id)`` per row, linked at a Jaccard similarity of shingle sets.
 
     Texts with equal sets are one node.  Fingerprints of ``CUT_LANES`` times 64 bits find
@@ -243,14 +264,18 @@ def similar_components(
     meet if any piece is within two bits, and all ``LANES`` together may not be farther
     apart than ``farthest``.  A candidate counts if the shingles themselves say so.
 
-    Each member of a bucket is held against its least one, if ``CHECK`` other bits of both
-    agree enough: that spares most pairs which meet by chance.  Texts that no link joins to
-    the least one of a bucket of three or more are then put in several orders by their
-    bits and held against their ``ALONG`` neighbours in each, so that near copies among many
-    documents that share a passage find each other past the strangers between them.  Both
-    steps give a number of pairs in proportion to the rows, whatever the size of a group.
-    From about ten million distinct texts on, buckets hold strangers by chance: take longer
-    pieces there.
+    Texts with an equal piece are held against the least of them, which stands for them in
+    the balls, and so is each member of a ball against its least one, if ``CHECK`` other bits
+    of both differ in ``check_far`` at most: that spares most pairs which meet by chance
+    (``CHECK`` spares none).  Texts that no link joins to the least one of three or more that
+    met are then put in several orders by their bits and held against their ``along``
+    neighbours in each, so that near copies among many documents that share a passage find
+    each other past the strangers between them.  Both steps give a number of pairs in
+    proportion to the rows, whatever the size of a group, and can miss links; with
+    ``exact`` none is missed, as candidates are all texts that share one of the shingles
+    which alike texts must share, at a cost that grows with the square of their number.
+    From about ten million distinct texts on, buckets hold strangers by chance: take a
+    longer ``piece`` (of 22 to 32 bits) there.
 
     Null, empty and blank texts have one shingle set and are linked.  Rows with a null id
     have a null component.  Repeated rows stay.  Very long texts are hashed in blocks.
@@ -276,33 +301,46 @@ def similar_components(
     least = materialize(
         marked.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), *(F.first(n).alias(n) for n in names)), "distinct"
     )
+    if exact:
+        chosen = narrow.join(least.select("node"), F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
+        roots = components(_verified(_meetings(chosen, words, similarity), narrow, words, similarity))
+        rooted = least.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
+        return marked.join(materialize(rooted, "rooted"), "same", "left").select("doc_id", "component_id")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as asked: each row becomes many
     per_lane = 64 // CHECK
     check = lambda i: F.shiftrightunsigned(names[CUT_LANES + i // per_lane], CHECK * (i % per_lane)).bitwiseAND(F.lit((1 << CHECK) - 1))
     tables = F.array(*(
-        F.struct(F.lit(i << PIECE).bitwiseOR(p).alias("part"), check(i).alias("check")) for i, p in enumerate(pieces(names[:CUT_LANES]))
+        F.struct(F.lit(i << piece).bitwiseOR(p).alias("part"), check(i).alias("check")) for i, p in enumerate(pieces(names[:CUT_LANES], piece))
     ))
-    ball_of = F.lit([0] + [1 << b for b in range(PIECE)]).cast("array<bigint>")
-    met = least.repartition(parts, "node").select("node", F.explode(tables).alias("t")).select("node", "t.*", F.explode(ball_of).alias("mask"))
+    cut = materialize(least.repartition(parts, "node").select("node", F.explode(tables).alias("t")).select("node", "t.*"), "pieces")
+    # equal pieces are folded first: of three or more, the least member goes on alone and stands for the others
+    crowds = materialize(cut.groupBy("part").agg(F.count("*").alias("size"), F.min(F.struct("node", "check")).alias("first")).where("size > 2"), "crowds")
+    told = cut.join(crowds.hint("merge"), "part", "left")
+    standing = told.where("size is null or first.node = node")
+    differing = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= check_far
+    folded = told.where("first.node <> node").select(F.col("node").alias("u"), F.col("first.node").alias("v"), "size", differing("check", "first.check").alias("near"))
+    # so a bucket has at most the members of a ball of pieces, twice, whatever the size of a group
+    ball_of = F.lit([0] + [1 << b for b in range(piece)]).cast("array<bigint>")
+    met = standing.select("node", "part", "check", F.coalesce("size", F.lit(1)).alias("size"), F.explode(ball_of).alias("mask"))
     packed = F.shiftleft(F.col("part").bitwiseXOR(F.col("mask")), CHECK).bitwiseOR(F.col("check"))
+    keyed = met.select("node", "size", packed.alias("packed"))
     variant = F.shiftright("packed", CHECK)
-    keyed = met.select("node", packed.alias("packed")).repartition(4 * parts, variant).select("node", "packed", variant.alias("variant"))
+    keyed = keyed.repartition(4 * parts, variant).select("node", "packed", "size", variant.alias("variant"))
     bucket = W.partitionBy("variant")
-    shared = keyed.withColumn("size", F.count("*").over(bucket)).where("size > 1")  # most rows go before the least is looked for
+    shared = keyed.withColumn("many", F.count("*").over(bucket)).where("many > 1")  # most rows go before the least is looked for
     hub = shared.withColumn("first", F.min(F.struct("node", "packed")).over(bucket)).where("first.node <> node")
-    differing = F.bit_count(F.col("packed").bitwiseXOR(F.col("first.packed")))
-    met = hub.where(differing <= CHECK_FAR).select(F.col("node").alias("u"), F.col("first.node").alias("v"), "size")
-    edges = met.groupBy("u", "v").agg(F.max("size").alias("size"))
+    balled = hub.select(F.col("node").alias("u"), F.col("first.node").alias("v"), F.greatest("many", "size").alias("size"), differing("packed", "first.packed").alias("near"))
+    edges = folded.unionByName(balled).where("near or size > 2").groupBy("u", "v").agg(F.max("size").alias("size"), F.max("near").alias("near"))
     edges = materialize(edges, "hubs")
     prints, limit = least.select("node", F.array(*names).alias("mine")), farthest(similarity, 64 * LANES)
     left, right = (prints.select(F.col("node").alias(c), F.col("mine").alias(f"of_{c}")) for c in ("u", "v"))
     bits = F.aggregate(F.zip_with("of_u", "of_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
-    tested = materialize(edges.join(left, "u").join(right, "v").where(bits <= limit).select("u", "v"), "close")
+    tested = materialize(edges.where("near").join(left, "u").join(right, "v").where(bits <= limit).select("u", "v"), "close")
     good = _verified(tested, narrow, words, similarity)
     roots = materialize(components(good), "roots")
     strangers = materialize(_apart(edges.where("size > 2"), roots).select(F.col("u").alias("node")).distinct(), "strangers")
     rooted = strangers.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    met = _along(materialize(rooted.join(prints, "node"), "crowd"), limit, ALONG)
+    met = _along(materialize(rooted.join(prints, "node"), "crowd"), limit, along)
     fresh = materialize(_apart(met, roots).join(tested, ["u", "v"], "left_anti"), "fresh")
     roots = components(good.unionByName(_verified(fresh, narrow, words, similarity)))
     rooted = least.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))

@@ -82,6 +82,15 @@ def test_mixing_stage(stages):
     assert all(got[i] <= 3 * had[i] for i in got)
 
 
+def test_mixed_texts_are_spans_of_their_documents(stages):
+    before = {r.doc_id: r.text for r in stages[3].collect()}
+    after = stages[4].collect()
+    assert all(r.text.strip() and r.text.strip() in before[r.doc_id] for r in after)
+    cut = Counter(r.source for r in after if r.text != before[r.doc_id])
+    assert all(n <= 3 for n in cut.values())  # of a source, what the ends of its last range meet
+    assert sum(cut.values()) < len(after) // 4
+
+
 def test_packing_stage(stages):
     path = tokens.vocabulary()
     want = Counter()

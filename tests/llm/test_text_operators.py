@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -168,6 +169,31 @@ def test_similar_components_find_edited_copies(spark):
     assert near >= 114 and all(got[2 * i] == 2 * i for i in range(120))
 
 
+def test_similar_components_exactly(spark):
+    """With ``exact``, the components of all pairs at 0.8 or more by brute force."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1000 + i, t) for i, t in enumerate([None, "", " ", "one two", "one two", "a b c d e", "a b c d e f"])]
+    for i in range(12):
+        text = rng.choices(words, k=60)
+        for k in range(12):  # from a few to a third of the shingles differ
+            own = list(text)
+            for _ in range(k // 3):
+                own[rng.randrange(60)] = rng.choice(words)
+            rows.append((i * 20 + k, " ".join(own)))
+    sets = {i: set(simhash.shingle_set(t, 5).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_components(docs, exact=True).collect()} == root
+    wider = {r.doc_id: r.component_id for r in simhash.similar_components(docs, piece=24, check_far=16, along=64).collect()}
+    assert all(root[i] == root[c] for i, c in wider.items()) and len(set(wider.values())) <= len(set(root.values())) + 2
+
+
 def test_similar_components_check_the_shingles(spark):
     """What is alike in 0.7 of its shingles stays two, what is alike in 0.8 becomes one."""
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
