@@ -131,12 +131,16 @@ def fit(
             )
 
     counted = chosen.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = counted.toPandas()  # at most languages x BUCKETS rows
-    place = {k: i for i, k in enumerate(languages)}
-    counts = np.zeros((len(languages), BUCKETS))
-    counts[table["lang"].map(place).to_numpy(int), table["bucket"].to_numpy(int)] = table["n"]
-    smooth = counts + 0.5
-    weights = np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
+
+    def dense(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.full(BUCKETS, 0.5)
+        total[rows["bucket"].to_numpy(int)] += rows["n"]
+        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "own": [np.log(total / total.sum()).astype("<f4").tobytes()]})
+
+    # one row of 128 KB a language comes to the driver
+    rows_of = {r["lang"]: r["own"] for r in counted.groupBy("lang").applyInPandas(dense, "lang string, own binary").collect()}
+    even = np.full(BUCKETS, -np.log(BUCKETS), "<f4").tobytes()  # of a language whose texts have no character
+    weights = np.stack([np.frombuffer(rows_of.get(k, even), "<f4") for k in languages])
     docs_of = np.array([sizes[k] for k in languages], float)
     return Model(languages, weights, np.log(docs_of / docs_of.sum()))
 
@@ -145,7 +149,8 @@ def identify(spark: SparkSession, model: Model, text: Column) -> Column:
     """A struct ``(lang, score)`` for a text column.
 
     ``und`` with score 0 for null texts and texts without a letter, and whenever the model
-    has no languages.  Very long texts are read in pieces and scored whole.
+    has no languages.  Very long texts are read in pieces and scored whole.  The column is
+    marked as not to be computed twice: a filter on it and its readers share one pass.
     """
     shared = spark.sparkContext.broadcast(model)
 
@@ -155,4 +160,4 @@ def identify(spark: SparkSession, model: Model, text: Column) -> Column:
             pred, score = shared.value.scores([t if isinstance(t, str) else None for t in texts])
             yield pd.DataFrame({"lang": pred, "score": score})
 
-    return run(text.cast("string"))
+    return run.asNondeterministic()(text.cast("string"))
