@@ -321,24 +321,43 @@ def similar_components(
     folded = told.where("first.node <> node").select(F.col("node").alias("u"), F.col("first.node").alias("v"), "size", differing("check", "first.check").alias("near"))
     # so a bucket has at most the members of a ball of pieces, twice, whatever the size of a group
     ball_of = F.lit([0] + [1 << b for b in range(piece)]).cast("array<bigint>")
-    met = standing.select("node", "part", "check", F.coalesce("size", F.lit(1)).alias("size"), F.explode(ball_of).alias("mask"))
-    packed = F.shiftleft(F.col("part").bitwiseXOR(F.col("mask")), CHECK).bitwiseOR(F.col("check"))
-    keyed = met.select("node", "size", packed.alias("packed"))
-    variant = F.shiftright("packed", CHECK)
-    keyed = keyed.repartition(4 * parts, variant).select("node", "packed", "size", variant.alias("variant"))
+    met = standing.select("node", "part", "check", F.col("size").isNotNull().cast("long").alias("crowd"), F.explode(ball_of).alias("mask"))
+    packed = F.shiftleft(F.col("part").bitwiseXOR(F.col("mask")), CHECK + 1).bitwiseOR(F.shiftleft("check", 1)).bitwiseOR(F.col("crowd"))
+    keyed = met.select("node", packed.alias("packed"))
+    variant = F.shiftright("packed", CHECK + 1)
+    keyed = keyed.repartition(4 * parts, variant).select("node", "packed", variant.alias("variant"))
     bucket = W.partitionBy("variant")
     shared = keyed.withColumn("many", F.count("*").over(bucket)).where("many > 1")  # most rows go before the least is looked for
     hub = shared.withColumn("first", F.min(F.struct("node", "packed")).over(bucket)).where("first.node <> node")
-    balled = hub.select(F.col("node").alias("u"), F.col("first.node").alias("v"), F.greatest("many", "size").alias("size"), differing("packed", "first.packed").alias("near"))
-    edges = folded.unionByName(balled).where("near or size > 2").groupBy("u", "v").agg(F.max("size").alias("size"), F.max("near").alias("near"))
-    edges = materialize(edges, "hubs")
+    crowd = (F.col("many") > 2) | (F.col("packed").bitwiseOR(F.col("first.packed")) % 2 == 1)
+    balled = hub.select(
+        F.col("node").alias("u"), F.col("first.node").alias("v"), F.when(crowd, 3).otherwise(2).cast("long").alias("size"),
+        (F.bit_count(F.shiftright(F.col("packed").bitwiseXOR(F.col("first.packed")), 1)) <= check_far).alias("near"),
+    )
+    met = folded.unionByName(balled).where("near").groupBy("u", "v").agg(F.max("size").alias("size"))
+    edges = materialize(met.withColumn("least", F.min("v").over(W.partitionBy("u"))), "hubs")
     prints, limit = least.select("node", F.array(*names).alias("mine")), farthest(similarity, 64 * LANES)
     left, right = (prints.select(F.col("node").alias(c), F.col("mine").alias(f"of_{c}")) for c in ("u", "v"))
     bits = F.aggregate(F.zip_with("of_u", "of_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
-    tested = materialize(edges.where("near").join(left, "u").join(right, "v").where(bits <= limit).select("u", "v"), "close")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.join(left, "u").join(right, "v").where(bits <= limit).select("u", "v"), "close")
+
+    # a text is held against its least partner first; against another only if that link fails, or
+    # if its partners are not linked with each other by then
+    tested = close(edges.where("v = least").select("u", "v"))
     good = _verified(tested, narrow, words, similarity)
     roots = materialize(components(good), "roots")
-    strangers = materialize(_apart(edges.where("size > 2"), roots).select(F.col("u").alias("node")).distinct(), "strangers")
+    other = edges.where("v <> least")
+    split = _apart(materialize(other.select(F.col("least").alias("u"), "v").distinct(), "partners"), roots)
+    failed = materialize(edges.where("v = least").join(good, ["u", "v"], "left_anti"), "failed")
+    again = other.join(split.select(F.col("u").alias("least"), "v"), ["least", "v"], "left_semi").unionByName(other.join(failed.select("u"), "u", "left_semi"))
+    rest = materialize(_apart(again.select("u", "v", "size").distinct(), roots), "rest")
+    more = close(rest.select("u", "v"))
+    good, tested = good.unionByName(_verified(more, narrow, words, similarity)), tested.unionByName(more)
+    roots = materialize(components(good), "roots")
+    crowded = failed.select("u", "v", "size").unionByName(rest).where("size > 2")
+    strangers = materialize(_apart(crowded, roots).select(F.col("u").alias("node")).distinct(), "strangers")
     rooted = strangers.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     met = _along(materialize(rooted.join(prints, "node"), "crowd"), limit, along)
     fresh = materialize(_apart(met, roots).join(tested, ["u", "v"], "left_anti"), "fresh")
