@@ -169,3 +169,27 @@ def neighbours(sections: DataFrame, document: str, order: str, text: str, around
     """Each section with the texts of the ``around`` sections before and after it."""
     frame = W.partitionBy(document).orderBy(order).rowsBetween(-around, around)
     return sections.withColumn("context", F.concat_ws("\n", F.collect_list(text).over(frame)))
+
+
+MOST_DEEPER, LEVELS = 60, 6  # sections that a heading can bring along, itself included; levels of headings
+
+
+def with_deeper(sections: DataFrame, document: str, order: str, level: str, text: str, most: int = MOST_DEEPER, levels: int = LEVELS) -> DataFrame:
+    """Each section with ``context``: for one without text, the texts of the sections below it,
+    up to the next of its own or a higher level, itself and ``most - 1`` others at most; for
+    others, its own text.
+
+    ``level`` is 1 for the highest; null or 0 is no heading, which has its own text only and
+    ends no other's.  A section looks at ``most - 1`` others whatever its document's length.
+    """
+    ordered = W.partitionBy(document).orderBy(order)
+    after = ordered.rowsBetween(1, most - 1)
+    rows = sections.withColumn("__at", F.row_number().over(ordered))
+    # where the next heading of each level or a higher one stands, and of these the own level's
+    ends = F.array(*(F.min(F.when(F.col(level).between(1, n), F.col("__at"))).over(after) for n in range(1, levels + 1)))
+    marked = rows.withColumns({"__ends": ends, "__texts": F.collect_list(F.coalesce(text, F.lit(""))).over(ordered.rowsBetween(0, most - 1))})
+    end = F.get("__ends", F.least(F.col(level), F.lit(levels)) - 1)
+    count = F.coalesce(end - F.col("__at"), F.size("__texts"))
+    empty = (F.col(level) > 0) & (F.trim(F.coalesce(text, F.lit(""))) == "")
+    own = F.slice("__texts", F.lit(1), F.when(empty, count).otherwise(1))
+    return marked.withColumn("context", F.concat_ws("\n", own)).drop("__at", "__ends", "__texts")

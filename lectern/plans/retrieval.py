@@ -260,6 +260,15 @@ _TITLED = r"""doc AS (SELECT doc_id, source AS course, lang AS kind, split_part(
        substr(coalesce(text, ''), length(split_part(coalesce(text, ''), chr(10), 1)) + 2) AS body FROM documents)"""
 
 
+def section_deeper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as sections: a short one is a heading without text of its own, and brings along what is below it."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    size = F.length("line")
+    body = F.when(size < 60, F.lit("")).otherwise(F.col("line"))
+    below = retrieval.with_deeper(lines.select("doc_id", "line_no", (size % 7).alias("level"), body.alias("body")), "doc_id", "line_no", "level", "body")
+    return below.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("level").cast("int").alias("level"), F.md5("context").alias("context_md5"))
+
+
 def _times_sql(term: str, words: str) -> str:
     parts = term.split(" ")
     if term.endswith("*"):
@@ -307,7 +316,7 @@ QUERIES = {
     for f in (
         doc_bm25_and, doc_bm25_or, doc_bm25_fielded, search_rrf, search_rrf_capped, search_filtered_kind_course,
         search_status_order, search_stemmed, search_snippet, postings_stats, retrieval_quality, section_neighbors,
-        search_phrase, search_prefix, search_call, index_after_changes, retrieval_recall,
+        search_phrase, search_prefix, search_call, index_after_changes, retrieval_recall, section_deeper,
     )
 } | {"ranked_search": ranked_search}
 
@@ -380,6 +389,18 @@ FROM item LEFT JOIN flat ON contains(flat, passage) GROUP BY item_id""",
     "search_snippet": _scored_sql(_PLAIN, [TERMS]) + """
 , found AS (SELECT doc_id, words, list_min(list_filter([list_position(words, 'anstou'), list_position(words, 'thinghe'), list_position(words, 'thntwh')], lambda p: p > 0)) AS nth FROM tok)
 SELECT doc_id, array_to_string(words[greatest(nth - 24, 1):greatest(nth - 24, 1) + 47], ' ') AS snippet FROM found WHERE nth IS NOT NULL""",
+    "section_deeper": r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                      generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents),
+body AS (SELECT doc_id, line_no, length(line) % 7 AS level, CASE WHEN length(line) < 60 THEN '' ELSE line END AS body FROM lines),
+ended AS (SELECT a.doc_id, a.line_no, a.level, a.body, min(b.line_no) AS next
+          FROM body AS a LEFT JOIN body AS b ON a.doc_id = b.doc_id AND b.line_no > a.line_no AND b.line_no < a.line_no + 60 AND b.level BETWEEN 1 AND a.level
+          GROUP BY ALL),
+told AS (SELECT e.doc_id, e.line_no, e.level, string_agg(c.body, chr(10) ORDER BY c.line_no) AS context
+         FROM ended AS e JOIN body AS c ON e.doc_id = c.doc_id AND c.line_no >= e.line_no
+          AND c.line_no < CASE WHEN e.level > 0 AND trim(e.body) = '' THEN coalesce(e.next, e.line_no + 60) ELSE e.line_no + 1 END
+         GROUP BY e.doc_id, e.line_no, e.level)
+SELECT doc_id, line_no::BIGINT AS line_no, level::INT AS level, md5(context) AS context_md5 FROM told""",
     "section_neighbors": r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                       generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents)

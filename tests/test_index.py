@@ -113,3 +113,13 @@ def test_files_with_null_stamps_stay(spark):
     files = spark.createDataFrame([("a", None), ("b", "1"), ("c", None)], "path string, stamp string")
     got = records.incremental_index(old, files, "path", "stamp", lambda f: f.withColumn("chunk", F.lit("new")))
     assert sorted((r.path, r.chunk) for r in got.collect()) == [("a", "chunk a"), ("b", "chunk b"), ("c", "new")]
+
+
+def test_a_heading_without_text_brings_what_is_below(spark):
+    rows = [("d", 0, 1, ""), ("d", 1, 2, " "), ("d", 2, 3, "a"), ("d", 3, 0, "b"), ("d", 4, 2, "c"), ("d", 5, 1, "e"), ("d", 6, 9, ""), ("d", 7, None, "f"), ("e", 0, 2, "")]
+    got = retrieval.with_deeper(spark.createDataFrame(rows, "doc string, n int, level int, body string"), "doc", "n", "level", "body")
+    assert {(r.doc, r.n): r.context for r in got.collect()} == {
+        ("d", 0): "\n \na\nb\nc", ("d", 1): " \na\nb", ("d", 2): "a", ("d", 3): "b", ("d", 4): "c", ("d", 5): "e", ("d", 6): "\nf", ("d", 7): "f", ("e", 0): "",
+    }
+    short = retrieval.with_deeper(spark.createDataFrame(rows, "doc string, n int, level int, body string"), "doc", "n", "level", "body", most=2)
+    assert short.where("doc = 'd' and n = 0").first().context == "\n "
