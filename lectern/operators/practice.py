@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
+
+from lectern.operators.folds import folded
 
 # Days until the next review after so many good answers in a row.
 GOOD_DAYS = (1, 3, 7, 14, 30)
@@ -24,25 +29,59 @@ def accuracy(attempts: DataFrame, question: str, order: str, correct: str) -> Da
     )
 
 
-def _step(state: Column, attempt: Column) -> Column:
-    """The state after an attempt ``(at, rating)``; times are seconds."""
-    at, rating = attempt["at"], attempt["rating"]
-    reached = state["due"].isNull() | (at >= state["due"])
-    streak = F.when(rating == "good", F.when(reached, state["streak"] + 1).otherwise(F.greatest(F.lit(1), state["streak"]))).otherwise(0)
-    days = F.element_at(F.array(*map(F.lit, GOOD_DAYS)), F.least(streak, F.lit(len(GOOD_DAYS))).cast("int"))
-    wait = F.when(rating == "good", days * 86400).when(rating == "hard", HARD_DAYS * 86400).otherwise(AGAIN_MINUTES * 60)
-    return F.struct(streak.cast("int").alias("streak"), (at + wait).cast("long").alias("due"))
+def next_state(streak: int, due: int | None, at: int, rating: str) -> tuple[int, int]:
+    """``(streak, due)`` after an attempt; times are seconds.  A good answer before the question
+    is due again keeps the streak."""
+    if rating == "good":
+        streak = streak + 1 if due is None or at >= due else max(1, streak)
+        return streak, at + GOOD_DAYS[min(streak, len(GOOD_DAYS)) - 1] * 86400
+    return 0, at + (HARD_DAYS * 86400 if rating == "hard" else AGAIN_MINUTES * 60)
 
 
 def review_schedule(attempts: DataFrame, question: str, at: str, rating: str) -> DataFrame:
     """``(question, streak, due)`` after all attempts in order of time.
 
-    ``at`` is in whole seconds.  Ratings are good, hard and again.  A question's attempts
-    are one array: people make them, so they are few however many questions there are.
+    ``at`` is in whole seconds.  Ratings are good, hard and again; others count as again, and
+    attempts at the same second are taken in order of rating.  Attempts without a time are none.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(rating).alias("rating"))))
-    start = F.struct(F.lit(0).alias("streak"), F.lit(None).cast("long").alias("due"))
-    return attempts.groupBy(question).agg(F.aggregate(ordered, start, _step).alias("s")).select(question, "s.streak", "s.due")
+
+    def last_state(own: Iterator[dict]) -> Iterator[dict]:
+        streak, due = 0, None
+        for row in own:
+            streak, due = next_state(streak, due, row["at"], row["rating"])
+        yield {"streak": streak, "due": due}
+
+    rows = attempts.where(F.col(at).isNotNull()).select(question, F.col(at).cast("long").alias("at"), F.col(rating).alias("rating"))
+    schema = StructType([rows.schema[question], StructField("streak", IntegerType()), StructField("due", LongType())])
+    return folded(rows, question, ["at", "rating"], schema, last_state)
+
+
+def attempt_history(steps: DataFrame, question: str, at: str, order: str, kind: str, choice: str) -> DataFrame:
+    """Each attempt as ``(question, order, streak, due, assisted)``: the schedule after it, and
+    whether its answer was seen before it.
+
+    ``kind`` is good, hard, again or reveal.  Revealing the answer of a multiple-choice question
+    (``choice``) after an attempt reviews that attempt, once; any other reveal makes the next
+    attempt assisted.  An attempt clears the mark.  Steps are taken in order of ``at`` (whole
+    seconds), then ``order``; those without a time or kind are none, a null ``choice`` is false.
+    """
+
+    def history(own: Iterator[dict]) -> Iterator[dict]:
+        streak, due, seen, unreviewed = 0, None, False, False
+        for row in own:
+            if row["kind"] != "reveal":
+                streak, due = next_state(streak, due, row["at"], row["kind"])
+                yield {order: row[order], "streak": streak, "due": due, "assisted": seen}
+                seen, unreviewed = False, True
+            elif row["choice"] and unreviewed:
+                unreviewed = False
+            else:
+                seen = True
+
+    named = steps.where(F.col(at).isNotNull() & F.col(kind).isNotNull())
+    rows = named.select(question, order, F.col(at).cast("long").alias("at"), F.col(kind).alias("kind"), F.col(choice).alias("choice"))
+    found = [StructField("streak", IntegerType()), StructField("due", LongType()), StructField("assisted", BooleanType())]
+    return folded(rows, question, ["at", order], StructType([rows.schema[question], rows.schema[order], *found]), history)
 
 
 def review_queue(schedule: DataFrame, now: int, weak: Column) -> DataFrame:

@@ -67,6 +67,15 @@ def keyframe_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.key_frames(rows, "user_id", "at", "value", change=12.0, gap=3600)
 
 
+def attempt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every attempt with the schedule after it; views are reveals, and half of the users answer by choice."""
+    rating = F.when(F.col("event_type") == "purchase", "good").when(F.col("event_type") == "click", "hard").when(F.col("event_type") == "view", "reveal")
+    steps = table(spark, sf_dir, "events").where("event_type <> 'signup'").select(
+        "user_id", "event_id", seconds("ts").alias("at"), F.coalesce(rating, F.lit("again")).alias("kind"), (F.col("user_id") % 2 == 0).alias("choice")
+    )
+    return practice.attempt_history(steps, "user_id", "at", "event_id", "kind", "choice")
+
+
 def caption_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns whose text repeats or extends the last kept turn's are merged into it."""
     return folds.collapse_captions(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
@@ -100,7 +109,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         accuracy_first_latest_recent, review_schedule, review_queue, difficulty_histogram, tumbling_buckets, gap_groups,
-        keyframe_fold, caption_collapse, last_attempt, thread_instructor_replies, event_json_props, daily_counts,
+        keyframe_fold, attempt_history, caption_collapse, last_attempt, thread_instructor_replies, event_json_props, daily_counts,
     )
 }
 
@@ -139,6 +148,49 @@ WITH e AS (SELECT user_id, epoch(date_trunc('second', ts))::BIGINT AS sec FROM e
 g AS (SELECT *, CASE WHEN sec - lag(sec) OVER (PARTITION BY user_id ORDER BY sec) > {GAP} THEN 1 ELSE 0 END AS fresh FROM e),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY sec) AS grp FROM g)
 SELECT user_id, grp::BIGINT AS "group", min(sec) AS first, max(sec) AS last, count(*) AS events FROM s GROUP BY user_id, grp""",
+    "keyframe_fold": """
+WITH RECURSIVE frame AS (
+  SELECT user_id, sec, value, row_number() OVER (PARTITION BY user_id ORDER BY sec, value) AS nth
+  FROM (SELECT user_id, epoch(date_trunc('second', ts))::BIGINT AS sec, value FROM events) WHERE sec IS NOT NULL AND value IS NOT NULL),
+walk AS (
+  SELECT user_id, nth, true AS keep, sec AS last_sec, value AS last_value, 1 AS kept FROM frame WHERE nth = 1
+  UNION ALL
+  SELECT user_id, nth, keep, CASE WHEN keep THEN sec ELSE last_sec END, CASE WHEN keep THEN value ELSE last_value END, kept + keep::INT
+  FROM (SELECT f.user_id, f.nth, f.sec, f.value, w.last_sec, w.last_value, w.kept,
+               w.kept < 200 AND abs(f.value - w.last_value) > 12 AND f.sec - w.last_sec >= 3600 AS keep
+        FROM walk w JOIN frame f ON f.user_id = w.user_id AND f.nth = w.nth + 1))
+SELECT user_id, last_sec AS "at", last_value AS value FROM walk WHERE keep""",
+    "attempt_history": """
+WITH RECURSIVE step AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS nth
+  FROM (SELECT user_id, event_id, epoch(date_trunc('second', ts))::BIGINT AS sec, user_id % 2 = 0 AS choice,
+               CASE event_type WHEN 'purchase' THEN 'good' WHEN 'click' THEN 'hard' WHEN 'view' THEN 'reveal' ELSE 'again' END AS kind
+        FROM events WHERE event_type <> 'signup')),
+walk AS (
+  SELECT user_id, 0::BIGINT AS nth, NULL::BIGINT AS event_id, 'start' AS kind, 0 AS streak, NULL::BIGINT AS due, false AS assisted, false AS seen, false AS fresh
+  FROM (SELECT DISTINCT user_id FROM step)
+  UNION ALL
+  SELECT user_id, nth, event_id, kind, streak,
+         CASE kind WHEN 'reveal' THEN due WHEN 'good' THEN sec + [1, 3, 7, 14, 30][least(streak, 5)] * 86400 WHEN 'hard' THEN sec + 86400 ELSE sec + 600 END,
+         seen, CASE WHEN kind <> 'reveal' THEN false WHEN choice AND fresh THEN seen ELSE true END,
+         CASE WHEN kind <> 'reveal' THEN true WHEN choice THEN false ELSE fresh END
+  FROM (SELECT s.user_id, s.nth, s.event_id, s.kind, s.sec, s.choice, w.due, w.seen, w.fresh,
+               CASE WHEN s.kind = 'reveal' THEN w.streak WHEN s.kind <> 'good' THEN 0 WHEN w.due IS NULL OR s.sec >= w.due THEN w.streak + 1
+                    ELSE greatest(1, w.streak) END AS streak
+        FROM walk w JOIN step s ON s.user_id = w.user_id AND s.nth = w.nth + 1))
+SELECT user_id, event_id, streak::INT AS streak, due, assisted FROM walk WHERE kind NOT IN ('start', 'reveal')""",
+    "caption_collapse": """
+WITH RECURSIVE caption AS (
+  SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS nth FROM conversations WHERE text IS NOT NULL),
+walk AS (
+  SELECT conv_id, nth, turn, text, nth AS own FROM caption WHERE nth = 1
+  UNION ALL
+  SELECT w.conv_id, c.nth,
+         CASE WHEN ends_with(w.text, c.text) OR starts_with(c.text, w.text) THEN w.turn ELSE c.turn END,
+         CASE WHEN ends_with(w.text, c.text) THEN w.text ELSE c.text END,
+         CASE WHEN ends_with(w.text, c.text) OR starts_with(c.text, w.text) THEN w.own ELSE c.nth END
+  FROM walk w JOIN caption c ON c.conv_id = w.conv_id AND c.nth = w.nth + 1)
+SELECT conv_id, max_by(turn, nth) AS turn, max_by(text, nth) AS text FROM walk GROUP BY conv_id, own""",
     "last_attempt": """
 SELECT user_id, event_type, event_id, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth = 1""",

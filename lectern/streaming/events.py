@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lectern.operators.practice import AGAIN_MINUTES, GOOD_DAYS, HARD_DAYS
+from lectern.operators.practice import next_state
 from lectern.storage import fresh_path
 
 LATE = "2 days"
@@ -50,12 +50,7 @@ def _review(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     streak, due = state.get if state.exists else (0, None)
     rows = pd.concat(list(batches)).sort_values(["at", "rating"])
     for at, rating in zip(rows["at"], rows["rating"], strict=True):
-        if rating == "good":
-            streak = streak + 1 if due is None or at >= due else max(1, streak)
-            wait = GOOD_DAYS[min(streak, len(GOOD_DAYS)) - 1] * 86400
-        else:
-            streak, wait = 0, HARD_DAYS * 86400 if rating == "hard" else AGAIN_MINUTES * 60
-        due = int(at) + wait
+        streak, due = next_state(int(streak), due, int(at), rating)
     state.update((int(streak), due))
     yield pd.DataFrame({"user_id": [key[0]], "streak": [int(streak)], "due": [due]})
 
