@@ -25,6 +25,24 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, stamp: str) -> DataF
     return both.select(key, change.alias("change"))
 
 
+def scope_diff(reviewed: DataFrame, current: DataFrame, key: str, stamp: str, legacy: str, missing: str) -> DataFrame:
+    """``(key, change)``: added, removed, changed or unchanged since the sources were reviewed.
+
+    A source is unchanged if its reviewed ``stamp`` is the current one in either of two forms
+    (``stamp`` or ``legacy``; a null stamp is equal to a null one) and it is ``missing`` now as it was
+    then; a null ``missing`` is false.  Both tables have one row a key; null keys are left out.
+    """
+    flag = F.coalesce(F.col(missing), F.lit(False))
+    before = reviewed.where(F.col(key).isNotNull()).select(key, F.col(stamp).alias("__was"), flag.alias("__was_missing"), F.lit(True).alias("__reviewed"))
+    after = current.where(F.col(key).isNotNull()).select(key, F.col(stamp).alias("__now"), F.col(legacy).alias("__legacy"), flag.alias("__missing"), F.lit(True).alias("__current"))
+    same = F.col("__was").eqNullSafe(F.col("__now")) | F.col("__was").eqNullSafe(F.col("__legacy"))
+    change = (
+        F.when(F.col("__reviewed").isNull(), "added").when(F.col("__current").isNull(), "removed")
+        .when(same & (F.col("__was_missing") == F.col("__missing")), "unchanged").otherwise("changed")
+    )
+    return before.join(after, key, "full_outer").select(key, change.alias("change"))
+
+
 def mark_and_sweep(items: DataFrame, seen: DataFrame, listings: DataFrame, key: str, kind: str) -> DataFrame:
     """``items`` with ``state``: seen; removed if unseen and every listing of its kind was
     complete; kept if a listing failed; restored if seen after it was removed."""

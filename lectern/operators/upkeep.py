@@ -87,3 +87,27 @@ def reached(edges: DataFrame, start: DataFrame, node: str = "node") -> DataFrame
         newest = materialize(found.join(known, node, "left_anti").withColumn("round", F.lit(n)), "newest")
         known = known.unionByName(newest)
     return known
+
+
+def carried_over(saved: DataFrame, files: DataFrame, key: str, digest: str, size: str, described: str, touched: str) -> DataFrame:
+    """``saved`` descriptions with their ``key`` and ``digest`` brought up to date, and ``state``.
+
+    ``files`` has one row a key.  A description is current if its digest is the file's; one without
+    a digest is carried over, and takes the file's, if the file has the size that was described and
+    was last touched on an earlier day; else it is stale.  One whose file is gone moves to the file
+    with its digest (the least key of several), or is gone too.  Nulls in size or time prove nothing.
+    Copies of a file are reduced to their least key before they are joined.
+    """
+    own = files.select(F.col(key), F.col(digest).alias("__digest"), F.col(size).alias("__size"), F.col(touched).alias("__touched"), F.lit(True).alias("__here"))
+    places = files.where(F.col(digest).isNotNull()).groupBy(F.col(digest).alias(digest)).agg(F.min(key).alias("__place"))
+    unproven = F.col(digest).isNull() & (F.col(size) == F.col("__size")) & (F.col("__touched") < F.col(described))
+    state = (
+        F.when(F.col("__here") & (F.col(digest) == F.col("__digest")), "current").when(F.col("__here") & unproven, "carried")
+        .when(F.col("__here"), "stale").when(F.col("__place").isNotNull(), "moved").otherwise("gone")
+    )
+    joined = saved.join(own, key, "left").join(places, digest, "left").withColumn("state", state)
+    fresh = {
+        key: F.when(F.col("state") == "moved", F.col("__place")).otherwise(F.col(key)),
+        digest: F.when(F.col("state") == "carried", F.col("__digest")).otherwise(F.col(digest)),
+    }
+    return joined.withColumns(fresh).select(*saved.columns, "state")
