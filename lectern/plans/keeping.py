@@ -69,12 +69,15 @@ def people_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plain_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' first 60 characters as a file name and on one line, and a page's ninth."""
-    start = F.substring(F.coalesce("text", F.lit("")), 1, 60)
+    """Documents' texts as file names, some with an extension or the name of a device, as clean text, on
+    one line, and a page's ninth."""
+    text = F.coalesce("text", F.lit(""))
+    title = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("con."), text)).when(F.col("doc_id") % 9 < 5, F.concat(F.lit("a/b: "), text, F.lit(".pdf"))).otherwise(text)
     x, y = F.col("doc_id") % 10 / 10, F.col("doc_id") % 7 / 7
     return table(spark, sf_dir, "documents").select(
-        "doc_id", names.safe_name(F.concat(F.lit("a/b: "), start)).alias("name"), names.inline(start).alias("line"), names.region(x, y).alias("region")
-    )
+        "doc_id", names.safe_name(title).alias("name"), F.sha2(names.clean_text(F.concat(text, F.lit("\n # e\ufb03-\nx  \n\n\n \nend"))), 256).alias("clean"),
+        F.sha2(names.inline(text), 256).alias("line"), names.region(x, y).alias("region"),
+    )
 
 
 def hit_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,11 +133,19 @@ WITH s AS (SELECT event_type, grouping(event_type) = 1 AS overall, count(*)::DOU
 SELECT event_type, overall, 'events' AS metric, events AS value FROM s UNION ALL SELECT event_type, overall, 'large', large FROM s""",
     "people_hits": "SELECT doc_id, 'page' AS kind, 'page' AS bucket FROM documents WHERE doc_id % 5 > 1 AND doc_id % 4 <> 0",
     "plain_names": r"""
-WITH d AS (SELECT doc_id, substr(coalesce(text, ''), 1, 60) AS t FROM documents)
-SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace('a/b: ' || t, '[\\/:*?"<>|\x00-\x1f\x7f]+', ' ', 'g'), '\s+', ' ', 'g'), 1, 120), '^[. ]+|[. ]+$', '', 'g') AS name,
-       trim(regexp_replace(t, '\s+', ' ', 'g')) AS line,
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, CASE WHEN doc_id % 9 = 0 THEN 'con.' || t WHEN doc_id % 9 < 5 THEN 'a/b: ' || t || '.pdf' ELSE t END AS title FROM d),
+b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(title, '[<>:"/\\|?*\x00-\x1f]', ' ', 'g'), '[\s\x{a0}]+', ' ', 'g'), '^[. ]+|[. ]+$', '', 'g') AS bare FROM n),
+w AS (SELECT *, CASE WHEN bare = '' THEN 'untitled' WHEN upper(split_part(bare, '.', 1)) IN ('CON', 'PRN', 'AUX', 'NUL') THEN '_' || bare ELSE bare END AS whole FROM b),
+e AS (SELECT *, regexp_extract(whole, '^.+(\.[^.]{1,8})$', 1) AS ending FROM w),
+s AS (SELECT *, substr(whole, 1, length(whole) - length(ending)) AS stem FROM e),
+k AS (SELECT *, list_max(list_filter(range(0, 111), lambda k: k <= least(length(stem), 110 - length(ending)) AND strlen(substr(stem, 1, k)) <= 200 - strlen(ending))) AS size FROM s)
+SELECT doc_id, CASE WHEN length(whole) > 110 OR strlen(whole) > 200 THEN regexp_replace(substr(stem, 1, size), '[. ]+$', '') || ending ELSE whole END AS name,
+       sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t || chr(10) || ' # effi' || 'x  ' || chr(10) || chr(10) || 'end', '([\pL\pN_\pM])-\n([a-z])', '\1\2', 'g'),
+           '[\t\f\r \x{a0}]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '(^|\n)([\t \x{a0}]*)#', '\1\2\\#', 'g'), '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')) AS clean,
+       sha256(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS line,
        ['top', 'middle', 'bottom'][least(floor((doc_id % 7) / 7.0 * 3), 2)::INT + 1] || ' ' || ['left', 'centre', 'right'][least(floor((doc_id % 10) / 10.0 * 3), 2)::INT + 1] AS region
-FROM d""",
+FROM k""",
     "hit_recheck": r"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, lang, text, CASE WHEN doc_id % 3 = 0 THEN 'the ' || regexp_replace(text, 'idiot', 'person', 'gi') ELSE text END AS now FROM d),

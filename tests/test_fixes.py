@@ -85,3 +85,19 @@ def test_names(spark):
     assert "needle" in shown and shown[0] == shown[-1] == "…" and len(shown) <= 322
     entries = spark.sql("SELECT array(struct('k' AS key, 1 AS value), struct('k' AS key, 2 AS value)) AS e")
     assert entries.select(names.first_wins(F.col("e"))).first()[0] == {"k": 1}
+
+
+def test_names_of_files(spark):
+    cases = {
+        "nul": "_nul", "Com1.tar.gz": "_Com1.tar.gz", "console": "console", " .x. ": "x", None: "untitled", "a\u00a0\u2028 b": "a b",
+        "x" * 200: "x" * 110, "x" * 200 + ".pdf": "x" * 106 + ".pdf", "x" * 200 + ".notanextension": "x" * 110,
+        "漢" * 90: "漢" * 66, "漢" * 90 + ".docx": "漢" * 65 + ".docx", "y" * 105 + ". . " + "z" * 9 + ".md": "y" * 105 + ".md",
+    }
+    frame = spark.createDataFrame([(k,) for k in cases], "n string").select("n", names.safe_name(F.col("n")).alias("got"))
+    assert {r.n: r.got for r in frame.collect()} == cases
+
+
+def test_clean_text(spark):
+    text = "ﬁn\u00ad al\u200b  \r\nhyphen-\nated Non-\nBreak\u2028 \u00a0\x0b\x0c\n  # head # two\n#\nend \t"
+    got = spark.createDataFrame([(text,)], "t string").select(names.clean_text(F.col("t"))).first()[0]
+    assert got == "fin al\nhyphenated Non-\nBreak\n\n  \\# head # two\n\\#\nend"
