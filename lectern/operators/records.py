@@ -94,11 +94,11 @@ def by_locator(citations: DataFrame, sections: DataFrame) -> DataFrame:
     own = norm_locator(F.col("locator"))
     number = F.regexp_extract(own, r"^((?:slide|page) \d+)\b", 1)
     names = sections.select("path", "sec_no", F.explode(F.array_distinct(F.filter(F.array(own, number), lambda n: n != ""))).alias("__name"))
-    marked = citations.withColumns({"__cite": F.monotonically_increasing_id(), "__name": own})
-    marked = materialize(marked, "citations")
-    hits = marked.join(names, ["path", "__name"]).groupBy("__cite").agg(F.count_distinct("sec_no").alias("n"), F.min("sec_no").alias("sec_no"))
-    error = F.when(F.col("n").isNull(), "missing_locator").when(F.col("n") > 1, "ambiguous_locator")
-    return marked.join(hits, "__cite", "left").withColumns({"error": error, "sec_no": F.when(F.col("n") == 1, F.col("sec_no"))}).drop("__cite", "__name", "n")
+    # one row a name before the join: a name of many sections meets its citations once
+    opened = names.groupBy("path", "__name").agg(F.count_distinct("sec_no").alias("__n"), F.min("sec_no").alias("__sec_no"))
+    found = citations.withColumn("__name", own).join(opened, ["path", "__name"], "left")
+    error = F.when(F.col("__n").isNull(), "missing_locator").when(F.col("__n") > 1, "ambiguous_locator")
+    return found.select(*citations.columns, error.alias("error"), F.when(F.col("__n") == 1, F.col("__sec_no")).alias("sec_no"))
 
 
 def as_of(rows: DataFrame, versions: DataFrame, key: str, at: str, since: str) -> DataFrame:

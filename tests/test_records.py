@@ -49,6 +49,33 @@ def test_locators(spark):
     assert got == {"slide 3": (0, None), "Slide 3 Duration": (0, None), "Example": (None, "ambiguous_locator"), "page 4": (3, None), "nope": (None, "missing_locator")}
 
 
+def join_rows(df):
+    """The most rows that a join of a frame's plan gives."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName().startswith("Adaptive"):
+            todo.append(plan.executedPlan())
+            continue
+        if "QueryStage" in plan.nodeName():
+            todo.append(plan.plan())
+            continue
+        if "Join" in plan.nodeName():
+            most = max(most, plan.metrics().apply("numOutputRows").value())
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return most
+
+
+def test_a_name_of_many_sections_meets_its_citations_once(spark):
+    same = spark.range(300).selectExpr("'d' AS path", "id AS sec_no", "'Example' AS locator")
+    cites = spark.range(200).selectExpr("id AS cite", "'d' AS path", "'example' AS locator").unionByName(frame(spark, [(200, None, "example")], "cite long, path string, locator string"))
+    found = records.by_locator(cites, same)
+    assert found.columns == ["cite", "path", "locator", "error", "sec_no"]
+    assert join_rows(found) <= 201
+    assert {(r.error, r.sec_no): r["count"] for r in found.groupBy("error", "sec_no").count().collect()} == {("ambiguous_locator", None): 200, ("missing_locator", None): 1}
+
+
 def test_as_of(spark):
     rows = frame(spark, [("k", 5), ("k", 10), ("k", 1), ("z", 9)], "key string, at int")
     versions = frame(spark, [("k", 5, "v5"), ("k", 7, "v7"), ("k", 11, "v11")], "key string, since int, name string")
