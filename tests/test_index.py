@@ -123,3 +123,27 @@ def test_a_heading_without_text_brings_what_is_below(spark):
     }
     short = retrieval.with_deeper(spark.createDataFrame(rows, "doc string, n int, level int, body string"), "doc", "n", "level", "body", most=2)
     assert short.where("doc = 'd' and n = 0").first().context == "\n "
+
+
+def test_an_index_without_changes_joins_no_tombstones_and_large_ones_have_more_files(spark, rows):
+    index = built(spark, rows)
+    assert "Join" not in index._living(index.postings())._jdf.queryExecution().toString()
+    assert index._slices(0) == 4 and index._slices(6 * 10**9) >= 60  # a file's postings are sorted in memory
+
+
+def test_postings_are_shuffled_as_batches_of_many(spark):
+    docs = spark.range(300).selectExpr("concat('k', id) AS path", "'the bond' AS title", "concat('the the price ', id) AS text", "'s' AS stamp")
+    index = InvertedIndex(spark, fresh_path(spark, "index"), "string", buckets=4)
+    index.build(docs, "path", F.col("stamp"))
+    found = {(r.term, r.key): (r.size, r["at"], r["head"]) for r in index.postings().collect()}
+    assert len(found) == 300 * 4 and found["the", "k7"] == (6, [0, 1], [0]) and found["bond", "k7"] == (6, [], [1]) and found["7", "k7"] == (6, [3], [])
+    # as it is shuffled: batches of a part, not a row for each word of a text
+    shuffled = index._posted(index._named(docs, "path", F.col("stamp"), "title", "text"), 0, 4, False)._jdf.queryExecution().toString()
+    assert "rows#" in shuffled and "posexplode" not in shuffled and "collect_list" not in shuffled
+
+
+def test_texts_of_one_key_are_one_document(spark):
+    index = built(spark, [("k", "bond", "price price", "s1"), ("k", None, "price yield", "s1"), ("m", "the", "yield", "s2")])
+    found = {(r.term, r.key): (sorted(r["at"]), sorted(r["head"])) for r in index.postings().collect()}
+    assert found == {("bond", "k"): ([], [0]), ("price", "k"): ([0, 0, 1], []), ("yield", "k"): ([1], []), ("the", "m"): ([], [0]), ("yield", "m"): ([0], [])}
+    assert index.statistics().first()["n"] == 3
