@@ -93,3 +93,19 @@ def test_reading_view_and_tables(spark):
     page = "Original file: x.pdf\n> Visual content: chart or diagram. View the slide image for exact details.\n[Slide 1 image 2](a.assets/p.png)\n\n\n\nend"
     assert values(spark, [page], text.reading_view) == ["> Visual: chart or diagram\nSlide 1 image 2\n\nend"]
     assert values(spark, ["a|b\nc"], lambda c: text.markdown_row(c, F.lit(None))) == ["| a\\|b c |  |"]
+
+
+def test_pages_of_a_batch_are_read_some_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    page = "<p>" + "word " * 4000 + "</p>"
+    batch = pa.array([page, None, ""] * 400)
+    tracemalloc.start()
+    found = html.read_pages(batch, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.to_pylist() == [html.read_html(page, True), None, ""] * 400
+    assert peak < 6_000_000  # all pages and texts at once are 16 MB
+    assert html.read_pages(pa.array([], pa.string()), False).to_pylist() == []
