@@ -11,6 +11,7 @@ one of its bucket keeps every component; the distance of each link is verified a
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,7 +33,10 @@ NEAR_WORDS, NEAR_SIMILARITY, PIECE = 5, 0.8, 28  # of near duplicates by similar
 LANES, CUT_LANES = 16, 9  # of 64 bits: those that tell how far two texts are apart, and those cut into pieces
 CHECK, CHECK_FAR = 16, 6  # bits of other lanes that travel with a piece, and how many may differ
 SPREAD = 3  # standard deviations of differing bits up to which a pair is worth a look at its shingles
-ALONG = 8  # neighbours in an order that a text is held against
+SLOT_BITS, SLOT_PARTS = 22, 64  # of the counts that tell rare shingles from common ones
+SLOTS = 1 << SLOT_BITS
+PARITIES = 8  # longs of bits that tell how far two sets of shingles are apart at least
+TURNS = 2  # times that texts of a bucket are held against a neighbour, before all against all
 BLOCK = 65_536  # shingles hashed at a time: bounds memory for very long texts
 
 
@@ -175,22 +179,136 @@ def pieces(lanes: list[str], piece: int = PIECE) -> list[Column]:
     return out
 
 
-def _meetings(narrow: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``(u, v)`` of all texts that can be alike in ``similarity``: of two such sets, the least
-    shingles (by hash) of both, as many as may differ and one, share one.  Every pair of a
-    shingle is emitted, so the cost is quadratic where many texts share their least ones."""
-    kind = narrow.schema["doc_id"].dataType.simpleString()
+def _levels(narrow: DataFrame, words: int) -> np.ndarray:
+    """How common the shingles of each of ``SLOTS`` slots are, in quarters of a power of two.
+    Counts of fixed size are summed in Spark, so that the driver gets ``SLOTS`` bytes."""
+    width = SLOTS // SLOT_PARTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, waiting = np.zeros(SLOTS, np.int32), [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                held.append((shingle_set(text.as_py(), words) >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
+                waiting += len(held[-1])
+                if waiting >= 1_000_000:
+                    seen += np.bincount(np.concatenate(held), minlength=SLOTS).astype(np.int32)
+                    held, waiting = [], 0
+        if held:
+            seen += np.bincount(np.concatenate(held), minlength=SLOTS).astype(np.int32)
+        for i in range(SLOT_PARTS):
+            packed = zlib.compress(seen[i * width : (i + 1) * width].tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed], pa.binary())], ["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(zlib.decompress(counts.as_py()), np.int32)
+                sums[part] = sums.get(part, 0) + own.astype(np.int64)
+        for part, own in sums.items():
+            level = np.minimum(255, np.round(4 * np.log2(own + 1))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["part", "counts"])
+
+    summed = narrow.select("text").mapInArrow(count, "part int, counts binary").repartition(SLOT_PARTS, "part").mapInArrow(add, "part int, counts binary")
+    out = np.zeros(SLOTS, np.uint8)
+    for part, own in summed.collect():
+        out[part * width : (part + 1) * width] = np.frombuffer(own, np.uint8)
+    return out
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Bits that tell in which of ``PARITIES`` times 64 classes a set has an odd number of shingles:
+    two sets differ in as many shingles as bits, at least."""
+    odd = np.bincount((hashes % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _differing(a: str, b: str) -> Column:
+    """Bits in which two arrays of longs differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+
+
+def _within(similarity: float, odd: tuple[str, str], sizes: tuple[str, str]) -> Column:
+    """Whether the parities of two sets leave them a chance to be alike."""
+    return _differing(*odd) <= (F.col(sizes[0]) + F.col(sizes[1])) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def _needed(similarity: float, a: Column | str, b: Column | str) -> Column:
+    """Shingles that sets of ``a`` and ``b`` must share to be alike."""
+    return F.ceil((F.col(a) + F.col(b)) * (similarity / (1 + similarity)) - 1e-6)
+
+
+def _shared(nodes: DataFrame, words: int, similarity: float, levels: np.ndarray) -> DataFrame:
+    """``(token, node, size, room, first)``: of each text's shingles, rarest first, those of which
+    two texts that are alike share one, if any other text has it among its own; ``room`` is how
+    many shingles of the text follow, itself included, and ``first`` the least text's row."""
+    kind = nodes.schema["doc_id"].dataType.simpleString()
+    names = ["token", "node", "shape"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                own = shingle_set(text.as_py(), words)
-                first = own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]
-                yield pa.RecordBatch.from_arrays([pa.repeat(doc, len(first)), pa.array(first.view(np.int64))], ["node", "least"])
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                tokens, shapes, sizes = [], [], []
+                for text in part.column(1):
+                    own = shingle_set(text.as_py(), words)
+                    first = len(own) - math.ceil(similarity * len(own) - 1e-6) + 1 if len(own) else 0
+                    order = np.lexsort((own, levels[own >> np.uint64(64 - SLOT_BITS)]))[:first]
+                    tokens.append(own[order].view(np.int64))
+                    shapes.append(np.int64(len(own) << 32) | (len(own) - np.arange(len(order), dtype=np.int64)))
+                    sizes.append(len(order))
+                node = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), sizes)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), node, pa.array(np.concatenate(shapes))], names)
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as asked: each row becomes many
+    rows = nodes.mapInArrow(run, f"token long, node {kind}, shape long").repartition(parts, "token")
+    bucket = W.partitionBy("token")
+    least = F.min(F.struct("node", "shape")).over(bucket)
+    met = rows.withColumn("many", F.count("*").over(bucket)).where("many > 1").withColumn("first", least)
+    size, room = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
+    return met.select(
+        "token", "node", size("shape").alias("size"), room("shape").alias("room"), F.col("first.node").alias("first"),
+        size("first.shape").alias("first_size"), room("first.shape").alias("first_room"),
+    )
+
 
-    met = materialize(narrow.mapInArrow(run, f"node {kind}, least long"), "least")
-    pairs = met.select("least", F.col("node").alias("u")).join(met.select("least", F.col("node").alias("v")), "least")
-    return materialize(pairs.where("u > v").select("u", "v").distinct(), "meetings")
+def _mixed_buckets(shared: DataFrame, odd: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(token, root, node, size, room, odd)`` of the shingles whose texts have several roots."""
+    known = odd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    told = shared.select("token", "node", "size", "room").join(known, "node")
+    bucket = W.partitionBy("token")
+    mixed = told.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low <> high")
+    return mixed.select("token", "root", "node", "size", "room", "odd").distinct()
+
+
+def _beside(mixed: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """``(u, v)`` of texts of different roots that follow each other in a shingle's bucket, in an
+    order that differs from bucket to bucket: one pair a row at most."""
+    order = W.partitionBy("token").orderBy(F.xxhash64("token", "node", F.lit(turn)), "node")
+    last = F.lag(F.struct("node", "root", "size", "room", "odd")).over(order)
+    met = mixed.withColumn("last", last).select("*", F.col("last.size").alias("last_size"))
+    met = met.where(_within(similarity, ("odd", "last.odd"), ("size", "last_size")))
+    fits = (F.col("last.root") != F.col("root")) & (F.least("room", "last.room") >= _needed(similarity, "size", "last_size"))
+    return met.where(fits).select(F.greatest("node", "last.node").alias("u"), F.least("node", "last.node").alias("v")).distinct()
+
+
+def _across(mixed: DataFrame, similarity: float) -> DataFrame:
+    """``(u, v)`` of all texts of different roots that may be alike: they share one of their rarest
+    shingles, with room after it for as many as alike texts share, and parities near enough.  Roots meet before texts do, so
+    a group that is linked already makes no pairs, whatever its size."""
+    group = mixed.groupBy("token", "root").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max("room").alias("room"))
+    named = lambda rows, end, *keep: rows.select(*keep, *(F.col(c).alias(f"{c}_{end}") for c in rows.columns if c not in keep))
+    g, h = named(group, "u", "token"), named(group, "v", "token")
+    fits = (
+        (F.col("root_u") > F.col("root_v")) & (F.least("room_u", "room_v") >= _needed(similarity, "least_u", "least_v"))
+        & (F.col("most_u") >= similarity * F.col("least_v") - 1e-6) & (F.col("most_v") >= similarity * F.col("least_u") - 1e-6)
+    )
+    groups = materialize(g.join(h, "token").where(fits).select("token", "root_u", "root_v"), "groups")
+    a = mixed.select("token", F.col("root").alias("root_u"), F.col("node").alias("u"), F.col("size").alias("size_u"), F.col("room").alias("room_u"), F.col("odd").alias("odd_u"))
+    b = mixed.select("token", F.col("root").alias("root_v"), F.col("node").alias("v"), F.col("size").alias("size_v"), F.col("room").alias("room_v"), F.col("odd").alias("odd_v"))
+    alike = (F.least("room_u", "room_v") >= _needed(similarity, "size_u", "size_v")) & _within(similarity, ("odd_u", "odd_v"), ("size_u", "size_v"))
+    met = groups.join(a, ["token", "root_u"]).join(b, ["token", "root_v"]).where(alike)
+    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def _verified(pairs: DataFrame, narrow: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -215,37 +333,6 @@ def _verified(pairs: DataFrame, narrow: DataFrame, words: int, similarity: float
     return materialize(both.where(shared / (F.size("a") + F.size("b") - shared) >= similarity).select("u", "v").distinct(), "alike")
 
 
-def _along(rows: DataFrame, limit: int, neighbours: int) -> DataFrame:
-    """``(u, v)`` of ``(node, root, mine)`` rows: nodes of different roots within ``limit``
-    bits and ``neighbours`` places of each other in one of 32 orders, by each lane and by
-    each lane from its middle.  An order spans many tasks; a row is emitted at most
-    ``neighbours`` times for each."""
-    kind = rows.schema["node"].dataType.simpleString()
-    turned = F.transform("mine", lambda x: F.shiftleft(x, 32).bitwiseOR(F.shiftrightunsigned(x, 32)))
-    keyed = rows.select(F.posexplode(F.concat("mine", turned)).alias("order", "key"), "node", "root", "mine")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            own = pa.Table.from_batches([batch])
-            table = own if held is None else pa.concat_tables([held, own])
-            old = 0 if held is None else len(held)
-            order, node = table.column(0).to_numpy(), table.column(2).combine_chunks()
-            root = table.column(3).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            f = table.column(4).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, LANES)
-            for step in range(1, min(neighbours, len(table) - 1) + 1):
-                at = np.arange(max(step, old), len(table))
-                at = at[(order[at] == order[at - step]) & (root[at] != root[at - step])]
-                near = at[np.bitwise_count(f[at] ^ f[at - step]).sum(axis=1, dtype=np.int32) <= limit]
-                u, v = node.take(pa.array(near)), node.take(pa.array(near - step))
-                yield pa.RecordBatch.from_arrays([u, v], ["u", "v"])
-            held = table.slice(max(0, len(table) - neighbours)).combine_chunks()
-
-    ordered = keyed.repartitionByRange("order", "key", "node").sortWithinPartitions("order", "key", "node")
-    pairs = ordered.mapInArrow(run, f"u {kind}, v {kind}")
-    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """``pairs`` (``u``, ``v``) whose ends no links join."""
     a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("u", "v"))
@@ -255,27 +342,23 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def similar_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY,
-    piece: int = PIECE, check_far: int = CHECK_FAR, along: int = ALONG, exact: bool = False,
+    piece: int = PIECE, check_far: int = CHECK_FAR, along: int | None = None, exact: bool = True,
 ) -> DataFrame:
     """``(doc_id, component_id)`` per row, linked at a Jaccard similarity of shingle sets.
 
-    Texts with equal sets are one node.  Fingerprints of ``CUT_LANES`` times 64 bits find
-    candidates: each of their pieces is hashed by its own ball of radius two, so documents
-    meet if any piece is within two bits, and all ``LANES`` together may not be farther
-    apart than ``farthest``.  A candidate counts if the shingles themselves say so.
-
-    Texts with an equal piece are held against the least of them, which stands for them in
-    the balls, and so is each member of a ball against its least one, if ``CHECK`` other bits
-    of both differ in ``check_far`` at most: that spares most pairs which meet by chance
-    (``CHECK`` spares none).  Texts that no link joins to the least one of three or more that
-    met are then put in several orders by their bits and held against their ``along``
-    neighbours in each, so that near copies among many documents that share a passage find
-    each other past the strangers between them.  Both steps give a number of pairs in
-    proportion to the rows, whatever the size of a group, and can miss links; with
-    ``exact`` none is missed, as candidates are all texts that share one of the shingles
-    which alike texts must share, at a cost that grows with the square of their number.
-    From about ten million distinct texts on, buckets hold strangers by chance: take a
-    longer ``piece`` (of 22 to 32 bits) there.
+    Texts with equal sets are one node.  Fingerprints of ``CUT_LANES`` times 64 bits find most
+    links: texts with an equal piece are held against the least of them, if ``CHECK`` other bits
+    of both differ in ``check_far`` at most and all ``LANES`` together are not farther apart
+    than ``farthest``.  A candidate counts if the shingles themselves say so.
+
+    With ``exact`` no link between two components is missed: two texts that are alike share one
+    of the shingles that come first in each, rarest first, with room after it for all that they
+    must share.  A text is held against the least one that shares such a shingle, ``TURNS`` times
+    against one of another component in each shingle's bucket, and then all texts that share
+    such a shingle and are not joined by links yet are held against each other.  The number of
+    these pairs grows with the square of texts that are nearly alike and not linked, and with
+    nothing else: what is linked already makes no pairs, a passage that many texts share comes
+    last, and the parities of the shingles rule out most pairs that are not quite alike.  ``along`` has no effect any more.
 
     Null, empty and blank texts have one shingle set and are linked.  Rows with a null id
     have a null component.  Repeated rows stay.  Very long texts are hashed in blocks.
@@ -287,81 +370,51 @@ def similar_components(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, same = np.empty((batch.num_rows, LANES), np.uint64), []
+            fps, same, odd = np.empty((batch.num_rows, LANES), np.uint64), [], []
             for i, t in enumerate(batch.column(1)):
                 own = shingle_set(t.as_py(), words)
                 fps[i] = set_fingerprint(own, LANES)
                 same.append(xxhash.xxh3_128_digest(own.tobytes()))
+                odd.append(parities(own))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(same, pa.binary()), *(pa.array(fps[:, i].view(np.int64)) for i in range(LANES))],
-                ["doc_id", "same", *names],
+                [batch.column(0), pa.array(same, pa.binary()), pa.array(odd, pa.list_(pa.int64())), *(pa.array(fps[:, i].view(np.int64)) for i in range(LANES))],
+                ["doc_id", "same", "odd", *names],
             )
 
-    marked = materialize(narrow.mapInArrow(run, f"doc_id {kind}, same binary, " + ", ".join(f"{n} long" for n in names)), "wide")
+    marked = materialize(narrow.mapInArrow(run, f"doc_id {kind}, same binary, odd array<long>, " + ", ".join(f"{n} long" for n in names)), "wide")
     least = materialize(
-        marked.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), *(F.first(n).alias(n) for n in names)), "distinct"
+        marked.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), *(F.first(n).alias(n) for n in ("odd", *names))), "distinct"
     )
-    if exact:
-        chosen = narrow.join(least.select("node"), F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"])
-        roots = components(_verified(_meetings(chosen, words, similarity), narrow, words, similarity))
-        rooted = least.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
-        return marked.join(materialize(rooted, "rooted"), "same", "left").select("doc_id", "component_id")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as asked: each row becomes many
     per_lane = 64 // CHECK
     check = lambda i: F.shiftrightunsigned(names[CUT_LANES + i // per_lane], CHECK * (i % per_lane)).bitwiseAND(F.lit((1 << CHECK) - 1))
     tables = F.array(*(
         F.struct(F.lit(i << piece).bitwiseOR(p).alias("part"), check(i).alias("check")) for i, p in enumerate(pieces(names[:CUT_LANES], piece))
     ))
-    cut = materialize(least.repartition(parts, "node").select("node", F.explode(tables).alias("t")).select("node", "t.*"), "pieces")
-    # equal pieces are folded first: of three or more, the least member goes on alone and stands for the others
-    crowds = materialize(cut.groupBy("part").agg(F.count("*").alias("size"), F.min(F.struct("node", "check")).alias("first")).where("size > 2"), "crowds")
-    told = cut.join(crowds.hint("merge"), "part", "left")
-    standing = told.where("size is null or first.node = node")
-    differing = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= check_far
-    folded = told.where("first.node <> node").select(F.col("node").alias("u"), F.col("first.node").alias("v"), "size", differing("check", "first.check").alias("near"))
-    # so a bucket has at most the members of a ball of pieces, twice, whatever the size of a group
-    ball_of = F.lit([0] + [1 << b for b in range(piece)]).cast("array<bigint>")
-    met = standing.select("node", "part", "check", F.col("size").isNotNull().cast("long").alias("crowd"), F.explode(ball_of).alias("mask"))
-    packed = F.shiftleft(F.col("part").bitwiseXOR(F.col("mask")), CHECK + 1).bitwiseOR(F.shiftleft("check", 1)).bitwiseOR(F.col("crowd"))
-    keyed = met.select("node", packed.alias("packed"))
-    variant = F.shiftright("packed", CHECK + 1)
-    keyed = keyed.repartition(4 * parts, variant).select("node", "packed", variant.alias("variant"))
-    bucket = W.partitionBy("variant")
-    shared = keyed.withColumn("many", F.count("*").over(bucket)).where("many > 1")  # most rows go before the least is looked for
-    hub = shared.withColumn("first", F.min(F.struct("node", "packed")).over(bucket)).where("first.node <> node")
-    crowd = (F.col("many") > 2) | (F.col("packed").bitwiseOR(F.col("first.packed")) % 2 == 1)
-    balled = hub.select(
-        F.col("node").alias("u"), F.col("first.node").alias("v"), F.when(crowd, 3).otherwise(2).cast("long").alias("size"),
-        (F.bit_count(F.shiftright(F.col("packed").bitwiseXOR(F.col("first.packed")), 1)) <= check_far).alias("near"),
-    )
-    met = folded.unionByName(balled).where("near").groupBy("u", "v").agg(F.max("size").alias("size"))
-    edges = materialize(met.withColumn("least", F.min("v").over(W.partitionBy("u"))), "hubs")
+    cut = least.select("node", F.explode(tables).alias("t")).select("node", "t.*").repartition(parts, "part")
+    hub = cut.withColumn("first", F.min(F.struct("node", "check")).over(W.partitionBy("part"))).where("first.node <> node")
+    near = F.bit_count(F.col("check").bitwiseXOR(F.col("first.check"))) <= check_far
+    pairs = hub.where(near).groupBy(F.col("node").alias("u")).agg(F.min("first.node").alias("v"))
     prints, limit = least.select("node", F.array(*names).alias("mine")), farthest(similarity, 64 * LANES)
     left, right = (prints.select(F.col("node").alias(c), F.col("mine").alias(f"of_{c}")) for c in ("u", "v"))
-    bits = F.aggregate(F.zip_with("of_u", "of_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
-
-    def close(pairs: DataFrame) -> DataFrame:
-        return materialize(pairs.join(left, "u").join(right, "v").where(bits <= limit).select("u", "v"), "close")
-
-    # a text is held against its least partner first; against another only if that link fails, or
-    # if its partners are not linked with each other by then
-    tested = close(edges.where("v = least").select("u", "v"))
+    tested = materialize(materialize(pairs, "hubs").join(left, "u").join(right, "v").where(_differing("of_u", "of_v") <= limit).select("u", "v"), "close")
     good = _verified(tested, narrow, words, similarity)
     roots = materialize(components(good), "roots")
-    other = edges.where("v <> least")
-    split = _apart(materialize(other.select(F.col("least").alias("u"), "v").distinct(), "partners"), roots)
-    failed = materialize(edges.where("v = least").join(good, ["u", "v"], "left_anti"), "failed")
-    again = other.join(split.select(F.col("u").alias("least"), "v"), ["least", "v"], "left_semi").unionByName(other.join(failed.select("u"), "u", "left_semi"))
-    rest = materialize(_apart(again.select("u", "v", "size").distinct(), roots), "rest")
-    more = close(rest.select("u", "v"))
-    good, tested = good.unionByName(_verified(more, narrow, words, similarity)), tested.unionByName(more)
-    roots = materialize(components(good), "roots")
-    crowded = failed.select("u", "v", "size").unionByName(rest).where("size > 2")
-    strangers = materialize(_apart(crowded, roots).select(F.col("u").alias("node")).distinct(), "strangers")
-    rooted = strangers.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    met = _along(materialize(rooted.join(prints, "node"), "crowd"), limit, along)
-    fresh = materialize(_apart(met, roots).join(tested, ["u", "v"], "left_anti"), "fresh")
-    roots = components(good.unionByName(_verified(fresh, narrow, words, similarity)))
+    if exact:
+        copies = materialize(marked.where("doc_id is not null").join(least.select("same", "node"), "same").where("doc_id <> node").select("doc_id"), "copies")
+        nodes = sieve.without(narrow.where("doc_id is not null"), copies, {"doc_id": F.col("doc_id")})
+        shared = materialize(_shared(nodes, words, similarity, _levels(narrow, words)), "shared")
+        room = F.least("room", "first_room") >= _needed(similarity, "size", "first_size")
+        pairs = shared.where((F.col("first") != F.col("node")) & room).groupBy(F.col("node").alias("u")).agg(F.min("first").alias("v"))
+        fresh = materialize(_apart(materialize(pairs, "hubs"), roots).join(tested, ["u", "v"], "left_anti"), "fresh")
+        tested, good = tested.unionByName(fresh), good.unionByName(_verified(fresh, narrow, words, similarity))
+        roots = materialize(components(good), "roots")
+        for turn in range(TURNS + 1):
+            mixed = materialize(_mixed_buckets(shared, least.select("node", "odd"), roots), "mixed")
+            pairs = _beside(mixed, similarity, turn) if turn < TURNS else _across(mixed, similarity)
+            fresh = materialize(pairs.join(tested, ["u", "v"], "left_anti"), "fresh")
+            tested, good = tested.unionByName(fresh), good.unionByName(_verified(fresh, narrow, words, similarity))
+            roots = materialize(components(good), "roots")
     rooted = least.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
     return marked.join(materialize(rooted, "rooted"), "same", "left").select("doc_id", "component_id")
 

@@ -229,6 +229,36 @@ def test_similar_components_within_a_family(spark):
     assert sum(got[10_000 + i] == i for i in range(n - 150, n)) == 150
 
 
+def test_similar_components_miss_no_link(spark):
+    """By default too, in a family of texts that are just alike, nearly alike or strangers to its least ones."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    base, rows = rng.choices(words, k=300), []
+    for i in range(300):
+        own = list(base)
+        for at in rng.sample(range(300), 5 if i < 200 else 6):  # alike in about 0.7; a third have a partner at about 0.8
+            own[at] = rng.choice(words)
+        rows.append((i, " ".join(own)))
+        if i >= 200:
+            for at in rng.sample(range(300), 6):
+                own[at] = rng.choice(words)
+            rows.append((1000 + i, " ".join(own)))
+    rows = [(i, t) for i, (_, t) in enumerate(sorted(rows))]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in rows]
+    root, linked = list(range(len(rows))), 0
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                linked += 1
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    found = simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert linked > 20 and len(set(root)) > 20
+    odd = [simhash.parities(np.fromiter(own, np.uint64)).view(np.uint64) for own in sets]
+    assert all(np.bitwise_count(odd[0] ^ o).sum() <= len(sets[0] ^ s) for o, s in zip(odd, sets, strict=True))
+    assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(root))
+
+
 # mixing
 
 
