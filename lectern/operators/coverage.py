@@ -19,6 +19,14 @@ def islands(units: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
     return units.distinct().withColumn("__run", run).groupBy(*keys, "__run").agg(F.min(number).alias("first"), F.max(number).alias("last")).drop("__run")
 
 
+def gaps(present: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
+    """Runs of numbers from 1 to a key's largest that no row has: ``keys..., first, last``, found
+    between a row and the one before it.  Repeated rows, and numbers that are null or below 1, do not matter."""
+    before = F.lag(number).over(W.partitionBy(*keys).orderBy(number))
+    found = present.select(*keys, number).where(F.col(number) >= 1).withColumn("first", F.coalesce(before, F.lit(0)) + 1)
+    return found.where(F.col("first") < F.col(number)).select(*keys, "first", (F.col(number) - 1).alias("last"))
+
+
 def worded(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``keys..., units`` such as ``1-3, 5``."""
     label = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("-", "first", "last"))

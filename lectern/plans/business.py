@@ -16,15 +16,12 @@ POSSIBLE = 50.0  # points of an item
 
 def missed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line numbers below an order's largest that no line has."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    expected = lines.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("top")).select(
-        "l_orderkey", F.explode(F.sequence(F.lit(1), "top")).alias("l_linenumber")
-    )
-    return coverage.missing_units(expected, lines, ["l_orderkey", "l_linenumber"])
+    gaps = coverage.gaps(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber")
+    return gaps.select("l_orderkey", F.explode(F.sequence("first", "last")).alias("l_linenumber"))
 
 
 def unit_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = coverage.islands(missed_units(spark, sf_dir), ["l_orderkey"], "l_linenumber")
+    runs = coverage.gaps(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber")
     return coverage.worded(runs, ["l_orderkey"])
 
 

@@ -126,3 +126,14 @@ def test_progress_and_headers(spark):
     lines = spark.createDataFrame([("d", "head", p) for p in range(4)] + [("d", f"only {p}", p) for p in range(4)], "d string, line string, page int")
     assert [r.line for r in coverage.frequent_lines(lines, "d", "line", "page", 3, 0.3).collect()] == ["head"]
     assert Counter(r.group for r in coverage.gap_groups(spark.createDataFrame([("k", t) for t in (0, 5, 20, 26)], "k string, t int"), ["k"], "t", 10).collect()) == {0: 2, 1: 2}
+
+
+def test_gaps_between_numbers(spark):
+    """As the expected numbers without those present, for repeated, null and low numbers and keys that are null."""
+    rows = [(1, 1), (1, 4), (1, 4), (1, 7), (2, 3), (2, None), (3, None), (4, 0), (4, -2), (5, 1), (5, 2), (None, 2), (None, 4)]
+    present = spark.createDataFrame(rows, "k int, n int")
+    found = {tuple(r) for r in coverage.gaps(present, ["k"], "n").collect()}
+    assert found == {(1, 2, 3), (1, 5, 6), (2, 1, 2), (None, 1, 1), (None, 3, 3)}
+    assert coverage.gaps(present, ["k"], "n").schema.simpleString() == "struct<k:int,first:int,last:int>"
+    worded = {tuple(r) for r in coverage.worded(coverage.gaps(present, ["k"], "n"), ["k"]).collect()}
+    assert worded == {(1, "2-3, 5-6"), (2, "1-2"), (None, "1, 3")}
