@@ -277,10 +277,13 @@ def _verified(docs: DataFrame, seeds: DataFrame, doc_id: str, text: str, least_w
             size = np.maximum(0, last - first + 1)
             own = np.repeat(np.arange(len(part)), size)
             index = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            found, lead = hashes[index], np.zeros(len(own), bool)
+            lead[np.lexsort((found, own))[np.flatnonzero(np.diff(own, prepend=-1))]] = True
             for i in range(0, len(own), _OUT):
                 some = own[i : i + _OUT]
-                columns = (np.full(len(some), row), field("run")[some], hashes[index[i : i + _OUT]])
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row_no", "run", "window"])
+                columns = (np.full(len(some), row), field("run")[some], found[i : i + _OUT])
+                arrays = [*(pa.array(c, pa.int64()) for c in columns), pa.array(lead[i : i + _OUT])]
+                yield pa.RecordBatch.from_arrays(arrays, ["row_no", "run", "window", "lead"])
             at = stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,11 +297,24 @@ def _verified(docs: DataFrame, seeds: DataFrame, doc_id: str, text: str, least_w
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    windows = materialize(maybe.join(asked, "row_no").select("row_no", "text", "runs", "doc_id").mapInArrow(run, "row_no long, run long, window long"), "windows")
+    windows = materialize(
+        maybe.join(asked, "row_no").select("row_no", "text", "runs", "doc_id").mapInArrow(run, "row_no long, run long, window long, lead boolean"), "windows"
+    )
     place = F.struct("row_no", "run") if within else F.struct("row_no")
     counted = windows.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-    shared = materialize(counted.where("a <> b").select("window"), "shared")
-    return windows.where("run >= 0").join(shared, "window").select("row_no", "run").distinct()
+    return _settled(windows.where("run >= 0"), materialize(counted.where("a <> b").select("window"), "shared"))
+
+
+def _settled(windows: DataFrame, shared: DataFrame) -> DataFrame:
+    """``(row_no, run)`` of the runs with a window that is ``shared``.  One window a run, its
+    ``lead``, is looked up first, which settles most runs of a passage that many rows hold; the
+    other windows are looked up for the runs that are open then."""
+    leads, runs = windows.where("lead"), ["row_no", "run"]
+    first = materialize(leads.join(shared, "window").select(*runs), "led")
+    left = materialize(leads.select(*runs).join(first, runs, "left_anti"), "open")
+    # a run that the sieve lets through by chance is looked up again and found again
+    maybe = sieve.mark(windows.where("not lead"), sieve.build(left, F.struct(*runs)), F.struct(*runs), "maybe").where("maybe")
+    return first.unionByName(maybe.join(shared, "window").select(*runs)).distinct()
 
 
 def repeated_runs(docs: DataFrame, doc_id: str, text: str, least_words: int, within: bool) -> DataFrame:

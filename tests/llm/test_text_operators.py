@@ -451,6 +451,28 @@ def test_cut_leaves_each_passage_once(spark):
     assert sum(map(len, left)) < sum(len(t or "") for _, t in rows) - len(a) - len(b) - 2 * len(c)
 
 
+def test_windows_of_a_common_passage_settle_by_one_a_run(spark, monkeypatch):
+    """Copies of near copies, whose runs are all short: one window settles a run, and all are found."""
+    rng = np.random.default_rng(29)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
+    common, family = [word() for _ in range(300)], []
+    for i in range(20):
+        own = list(common)
+        for k in range(2 * i, 300, 40):  # so the rows that first hold its chunks change
+            own[k] = word()
+        family.append(" ".join(own))
+    rows = [(i, family[i % 20]) for i in range(120)]
+    made, write = {}, chunks.materialize
+    monkeypatch.setattr(chunks, "materialize", lambda df, name="table": made.setdefault(name, write(df, name)))
+    chunks.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    windows = made["windows"].where("run >= 0")
+    looked_up = windows.where("lead").count() + windows.where("not lead").join(made["open"], ["row_no", "run"], "left_semi").count()
+    assert windows.where("lead").count() == windows.select("row_no", "run").distinct().count()
+    assert 0 < looked_up < windows.join(made["shared"], "window").count() / 5
+    every = {tuple(r) for r in windows.join(made["shared"], "window").select("row_no", "run").distinct().collect()}
+    assert every and {tuple(r) for r in made["verified"].collect()} == every
+
+
 def test_repeated_passages_odd_rows(spark, odd, empty):
     got = chunks.repeated_passages(odd).collect()
     assert {6, 7} <= {r.doc_id for r in got} and chunks.repeated_passages(empty).count() == 0
