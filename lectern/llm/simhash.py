@@ -191,10 +191,10 @@ def _levels(narrow: DataFrame, words: int) -> np.ndarray:
                 held.append((shingle_set(text.as_py(), words) >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
                 waiting += len(held[-1])
                 if waiting >= 1_000_000:
-                    seen += np.bincount(np.concatenate(held), minlength=SLOTS).astype(np.int32)
+                    np.add.at(seen, np.concatenate(held), 1)  # in place: counts of all slots are made once a task
                     held, waiting = [], 0
         if held:
-            seen += np.bincount(np.concatenate(held), minlength=SLOTS).astype(np.int32)
+            np.add.at(seen, np.concatenate(held), 1)
         for i in range(SLOT_PARTS):
             packed = zlib.compress(seen[i * width : (i + 1) * width].tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed], pa.binary())], ["part", "counts"])
@@ -325,12 +325,14 @@ def _verified(pairs: DataFrame, narrow: DataFrame, words: int, similarity: float
                 own = [shingle_set(t.as_py(), words).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "own"])
 
-    sets = materialize(named.join(asked, "doc_id").mapInArrow(run, f"doc_id {kind}, own array<long>"), "sets")
+    # dealt by id here, so that one exchange serves both ends and no table of sets is written
+    sets = named.join(asked, "doc_id").mapInArrow(run, f"doc_id {kind}, own array<long>").repartition("doc_id")
     both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("own").alias("a")), "u").join(
         sets.select(F.col("doc_id").alias("v"), F.col("own").alias("b")), "v"
     )
     shared = F.size(F.array_intersect("a", "b"))
-    return materialize(both.where(shared / (F.size("a") + F.size("b") - shared) >= similarity).select("u", "v").distinct(), "alike")
+    alike = both.where(shared / (F.size("a") + F.size("b") - shared) >= similarity).select("u", "v").distinct()
+    return materialize(alike.hint("rebalance"), "alike")  # few rows, so few files
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -410,8 +412,8 @@ def similar_components(
         tested, good = tested.unionByName(fresh), good.unionByName(_verified(fresh, narrow, words, similarity))
         roots = materialize(components(good), "roots")
         for turn in range(TURNS + 1):
-            mixed = materialize(_mixed_buckets(shared, least.select("node", "odd"), roots), "mixed")
-            pairs = _beside(mixed, similarity, turn) if turn < TURNS else _across(mixed, similarity)
+            mixed = _mixed_buckets(shared, least.select("node", "odd"), roots)  # read once by a turn
+            pairs = _beside(mixed, similarity, turn) if turn < TURNS else _across(materialize(mixed, "mixed"), similarity)
             fresh = materialize(pairs.join(tested, ["u", "v"], "left_anti"), "fresh")
             tested, good = tested.unionByName(fresh), good.unionByName(_verified(fresh, narrow, words, similarity))
             roots = materialize(components(good), "roots")

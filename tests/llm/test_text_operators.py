@@ -169,6 +169,20 @@ def test_similar_components_find_edited_copies(spark):
     assert near >= 114 and all(got[2 * i] == 2 * i for i in range(120))
 
 
+def test_similar_components_write_few_tables(spark, monkeypatch):
+    """Sets of shingles pass one exchange and buckets that are read once are not written: each
+    file costs an executor a process or more where Hadoop's native code is missing."""
+    rng = np.random.default_rng(31)
+    text = lambda n: [str(w) for w in rng.integers(0, 10_000, n)]
+    base = [text(60) for _ in range(10)]
+    rows = [(2 * i, " ".join(w)) for i, w in enumerate(base)] + [(2 * i + 1, " ".join([*w, "more"])) for i, w in enumerate(base)]
+    names, write = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name="table": names.append(name) or write(df, name))
+    found = simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(d, d - d % 2) for d, _ in rows}
+    assert "sets" not in names and names.count("mixed") == 1 and "alike" in names
+
+
 def test_similar_components_exactly(spark):
     """With ``exact``, the components of all pairs at 0.8 or more by brute force."""
     rng = random.Random(8)
