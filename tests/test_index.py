@@ -147,3 +147,18 @@ def test_texts_of_one_key_are_one_document(spark):
     found = {(r.term, r.key): (sorted(r["at"]), sorted(r["head"])) for r in index.postings().collect()}
     assert found == {("bond", "k"): ([], [0]), ("price", "k"): ([0, 0, 1], []), ("yield", "k"): ([1], []), ("the", "m"): ([], [0]), ("yield", "m"): ([0], [])}
     assert index.statistics().first()["n"] == 3
+
+
+def test_packed_postings_come_back_part_by_part(monkeypatch):
+    import pyarrow as pa
+
+    from lectern.operators import index as stored
+
+    monkeypatch.setattr(stored, "BLOCK_POSTINGS", 5)
+    rows = [{"part": i * 7 % 3, "term": f"w{i // 2}", "key": None if i == 4 else i, "at": [i] * (i % 3), "head": []} for i in range(14)]
+    kind = pa.schema([("part", pa.int32()), ("term", pa.string()), ("key", pa.int64()), ("at", pa.list_(pa.int32())), ("head", pa.list_(pa.int32()))])
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 3], kind) for i in range(0, 14, 3)] + [pa.RecordBatch.from_pylist([], kind)]
+    sent = list(stored._resent(iter(batches)))
+    assert len(sent) == 3 and all(len(set(b.column(0).to_pylist())) == b.num_rows <= 3 for b in sent)
+    got = {p: [r for b in sent for q in range(b.num_rows) if b.column(0)[q].as_py() == p for d in stored._dealt([b.slice(q, 1)]) for r in d.to_pylist()] for p in range(3)}
+    assert got == {p: [{k: v for k, v in r.items() if k != "part"} for r in rows if r["part"] == p] for p in range(3)}
