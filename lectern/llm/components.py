@@ -28,7 +28,7 @@ def _star(pairs: DataFrame) -> DataFrame:
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _star(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _star(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))  # repeats go in ``_small``
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -40,6 +40,14 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether distinct ``edges``, each from ``u`` to a lesser ``v``, are stars: each u has one v,
+    which has none.  Then every v is the root of its component, and no round changes it."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down")))
+    marks = ends.groupBy("node").agg(F.sum("down").alias("down"), F.min("down").alias("least"))
+    return marks.where("down > 1 or (down = 1 and least = 0)").isEmpty()
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """``(node, root)`` for every node of an edge; root is the least node it can reach.
 
@@ -49,16 +57,24 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     ends = edges.where(F.col(u).isNotNull() & F.col(v).isNotNull())
     first = materialize(ends.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
     loops = first.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("root"))
-    now, before, before_last = first.where("u <> v"), None, None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or mark[0] == 0:
-            break
-        before = mark
-        after = materialize(_small(_large(now)), "stars")
-        if before_last is not None:
-            discard(before_last)
-        now = before_last = after
+    now, before = first.where("u <> v"), None
+    while not _settled(now):
+        now = materialize(_small(_large(now)), "stars")
+        if before is not None:
+            discard(before)
+        before = now
     found = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return found.unionByName(roots).unionByName(loops).groupBy("node").agg(F.min("root").alias("root"))
+
+
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots``, as ``components`` gives them, after ``links`` (``u``, ``v``) are added: only the
+    components that a link joins are searched, each as one node."""
+    top = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    ends = links.join(top("u"), "u", "left").join(top("v"), "v", "left")
+    tops = ends.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")).where("u <> v")
+    joined = materialize(components(tops), "joined")
+    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    fresh = joined.join(roots, "node", "left_anti")
+    return moved.select("node", F.coalesce("top", "root").alias("root")).unionByName(fresh)

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm import sieve
-from lectern.llm.components import components
+from lectern.llm.components import components, extended
 from lectern.storage import materialize
 
 SHINGLE_WORDS = 3
@@ -335,6 +335,14 @@ def _verified(pairs: DataFrame, narrow: DataFrame, words: int, similarity: float
     return materialize(alike.hint("rebalance"), "alike")  # few rows, so few files
 
 
+def _linked(fresh: DataFrame, tested: DataFrame, roots: DataFrame, narrow: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``tested`` and ``roots`` after written ``fresh`` pairs are verified, as they were if there are none."""
+    if fresh.isEmpty():
+        return tested, roots
+    found = _verified(fresh, narrow, words, similarity)
+    return tested.unionByName(fresh), roots if found.isEmpty() else materialize(extended(roots, found), "roots")
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """``pairs`` (``u``, ``v``) whose ends no links join."""
     a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("u", "v"))
@@ -400,8 +408,7 @@ def similar_components(
     prints, limit = least.select("node", F.array(*names).alias("mine")), farthest(similarity, 64 * LANES)
     left, right = (prints.select(F.col("node").alias(c), F.col("mine").alias(f"of_{c}")) for c in ("u", "v"))
     tested = materialize(materialize(pairs, "hubs").join(left, "u").join(right, "v").where(_differing("of_u", "of_v") <= limit).select("u", "v"), "close")
-    good = _verified(tested, narrow, words, similarity)
-    roots = materialize(components(good), "roots")
+    roots = materialize(components(_verified(tested, narrow, words, similarity)), "roots")
     if exact:
         copies = materialize(marked.where("doc_id is not null").join(least.select("same", "node"), "same").where("doc_id <> node").select("doc_id"), "copies")
         nodes = sieve.without(narrow.where("doc_id is not null"), copies, {"doc_id": F.col("doc_id")})
@@ -409,14 +416,12 @@ def similar_components(
         room = F.least("room", "first_room") >= _needed(similarity, "size", "first_size")
         pairs = shared.where((F.col("first") != F.col("node")) & room).groupBy(F.col("node").alias("u")).agg(F.min("first").alias("v"))
         fresh = materialize(_apart(materialize(pairs, "hubs"), roots).join(tested, ["u", "v"], "left_anti"), "fresh")
-        tested, good = tested.unionByName(fresh), good.unionByName(_verified(fresh, narrow, words, similarity))
-        roots = materialize(components(good), "roots")
+        tested, roots = _linked(fresh, tested, roots, narrow, words, similarity)
         for turn in range(TURNS + 1):
             mixed = _mixed_buckets(shared, least.select("node", "odd"), roots)  # read once by a turn
             pairs = _beside(mixed, similarity, turn) if turn < TURNS else _across(materialize(mixed, "mixed"), similarity)
             fresh = materialize(pairs.join(tested, ["u", "v"], "left_anti"), "fresh")
-            tested, good = tested.unionByName(fresh), good.unionByName(_verified(fresh, narrow, words, similarity))
-            roots = materialize(components(good), "roots")
+            tested, roots = _linked(fresh, tested, roots, narrow, words, similarity)
     rooted = least.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
     return marked.join(materialize(rooted, "rooted"), "same", "left").select("doc_id", "component_id")
 

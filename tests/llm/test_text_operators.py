@@ -139,6 +139,21 @@ def test_components_of_long_chain_and_hub(spark):
     assert got == {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(500)} | {7000: 7000}
 
 
+def test_components_of_stars_take_no_round_and_grow_by_links(spark, monkeypatch):
+    from lectern.llm import components
+
+    written, write = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda rows, name: written.append(name) or write(rows, name))
+    frame = lambda edges: spark.createDataFrame(edges, "u long, v long")
+    old = [(2, 1), (3, 1), (3, 1), (5, 5), (11, 10), (21, 20), (22, 20)]
+    roots = write(components.components(frame(old)), "roots")
+    assert dict(pairs(roots, "node", "root")) == {1: 1, 2: 1, 3: 1, 5: 5, 10: 10, 11: 10, 20: 20, 21: 20, 22: 20}
+    assert written == ["edges"]
+    for links in ([], [(3, 2)], [(22, 11), (30, 21)], [(0, 3), (41, 40), (42, 41), (22, 0)], [(11, 3), (22, 11), (5, 22), (50, 5)]):
+        every = dict(pairs(components.components(frame(old + links)), "node", "root"))
+        assert dict(pairs(components.extended(roots, frame(links)), "node", "root")) == every
+
+
 def test_simhash_components_odd_rows(spark, odd, empty):
     got = simhash.simhash_components(odd).collect()
     assert len(got) == odd.count()
