@@ -104,6 +104,29 @@ def test_many_queries_at_once_rank_as_one_by_one(spark, rows):
     assert got.where("q = 'q3'").count() == 0
 
 
+def test_ranked_keeps_the_best_and_the_best_complete_ones(spark, rows):
+    index = built(spark, rows)
+    asked = spark.createDataFrame([("q1", "bond"), ("q1", "yield"), ("q2", "the"), ("q3", "none"), ("q4", "a"), ("q4", "none")], "q string, term string")
+    every = [tuple(r) for r in index.ranked(asked, "q").collect()]
+    for most in (1, 3):
+        kept = [tuple(r) for r in index.ranked(asked, "q", most=most).collect()]
+        assert {r for r in kept if r[-1] <= most} == {r for r in every if r[-1] <= most}
+        assert {r[0] for r in kept if r[3] == r[4]} == {r[0] for r in every if r[3] == r[4]}
+        assert {r[:-1] for r in kept} <= {r[:-1] for r in every} and len(kept) <= 4 * 2 * most
+
+
+def test_passages_of_all_lengths_are_found_without_dealing_texts(spark, tmp_path):
+    docs = [(1, "a b c d e f g h"), (2, "xa b  c\td e f gx"), (3, "b"), (4, ""), (5, None), (6, "a b c a b c"), (7, "c d e f")]
+    items = [(0, "a b c d e f g"), (1, "b"), (2, ""), (3, "a b"), (4, "a b c"), (5, "c d e f"), (6, None), (7, "a b c a b c"), (8, "b c d e")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = plans._passages(spark, str(tmp_path))
+    flat = {d: " ".join((t or "").split()) for d, t in docs}
+    assert {tuple(r) for r in found.collect()} == {(i, d) for i, p in items if p is not None for d, t in flat.items() if p in t}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "met-" in "".join(found.inputFiles()) and "Generate explode" not in plan
+
+
 def test_terms_of_a_query_keep_their_star():
     assert query_terms('show me "bond Price" of conv* the') == ["bond price", "conv*"]
 
